@@ -124,7 +124,7 @@ def capitalize_text(df: DataFrame, log: ChangeLog | None = None) -> DataFrame:
 
 
 def remove_special_chars(df: DataFrame, log: ChangeLog | None = None) -> DataFrame:
-    keep = r"(?U)[^\w\s.,@\-]"
+    keep = r"(?U)[^\p{L}\p{N}_\s.,@\-]"
     return rewrite(df, {c: F.regexp_replace(col(c), keep, "") for c in text_columns(df)}, log)
 
 
