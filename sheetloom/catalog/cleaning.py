@@ -187,8 +187,8 @@ def _title(c: str) -> str:
     )
 
 
-SALARY = """CASE WHEN id % 4 IN (0, 1) THEN CAST(regexp_extract("Salary", '[0-9.]+') AS DOUBLE)
-                 WHEN id % 4 = 2 THEN -CAST(regexp_extract("Salary", '[0-9.]+') AS DOUBLE)
+SALARY = """CASE WHEN id % 4 IN (0, 1) THEN CAST(regexp_extract("Salary", '[0-9][0-9.]*') AS DOUBLE)
+                 WHEN id % 4 = 2 THEN -CAST(regexp_extract("Salary", '[0-9][0-9.]*') AS DOUBLE)
                  ELSE TRY_CAST("Salary" AS DOUBLE) END"""
 YES = "('yes', 'y', 'true', '1', 'haan', 'ha')"
 NO = "('no', 'n', 'false', '0', 'nahi', 'nahin')"
@@ -238,7 +238,7 @@ QUERIES = {
     "fix_accounting_negatives": Query(
         partial(fixed, fix_id="accounting_negatives", columns=["Salary"]),
         _contact_sql(
-            {"Salary": """CASE WHEN id % 4 = 2 THEN CAST(-CAST(regexp_extract("Salary", '[0-9.]+') AS DOUBLE) AS VARCHAR)
+            {"Salary": """CASE WHEN id % 4 = 2 THEN CAST(-CAST(regexp_extract("Salary", '[0-9][0-9.]*') AS DOUBLE) AS VARCHAR)
                                ELSE trim("Salary") END"""},
             ["Salary"],
         ),

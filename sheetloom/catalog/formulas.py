@@ -299,7 +299,7 @@ QUERIES = {
     "text_mid": Query(
         partial(text_part, mode="mid", start=5, length=20), "SELECT doc_id, substr(text, 6, 20) AS part FROM documents"
     ),
-    "text_len": Query(partial(text_part, mode="len"), "SELECT doc_id, length(text) AS part FROM documents"),
+    "text_len": Query(partial(text_part, mode="len"), "SELECT doc_id, CAST(length(text) AS INTEGER) AS part FROM documents"),
     "drop_rows_by_id": Query(
         drop_rows_by_id,
         "SELECT event_id, user_id, event_type, value FROM events WHERE value <= 50 OR value IS NULL",

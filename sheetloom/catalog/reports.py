@@ -225,7 +225,7 @@ def rate_limit_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rate_limit_admitted(spark: SparkSession, sf: str) -> DataFrame:
-    out = limits.admitted(table(spark, sf, "events"), ["event_type"], "ts", "event_id", 20, 3_600)
+    out = limits.admitted(table(spark, sf, "events"), ["event_type"], "ts", "event_id", 2, 3_600)
     return out.select("event_id", "event_type", "window_start")
 
 
@@ -336,7 +336,7 @@ QUERIES = {
     "rate_limit_admitted": Query(
         rate_limit_admitted,
         f"""SELECT event_id, event_type, {HOUR_WINDOW} AS window_start FROM events
-            QUALIFY row_number() OVER (PARTITION BY event_type, {HOUR_WINDOW} ORDER BY ts, event_id) <= 20""",
+            QUALIFY row_number() OVER (PARTITION BY event_type, {HOUR_WINDOW} ORDER BY ts, event_id) <= 2""",
     ),
     "rate_limit_usage": Query(rate_limit_usage, USAGE),
     "rate_limit_stream": Query(rate_limit_stream, USAGE),

@@ -150,7 +150,7 @@ QUERIES = {
             FROM (SELECT * FROM ({plain(MESSY_ORDERS)}) ORDER BY o_orderkey LIMIT 10)""",
     ),
     "write_csv_roundtrip": Query(
-        write_csv_roundtrip, "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+        write_csv_roundtrip, "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
     ),
     "snapshot_undo_redo_reset": Query(
         snapshot_undo_redo_reset,
