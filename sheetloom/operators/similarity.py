@@ -44,7 +44,7 @@ DEFAULT_THRESHOLD = 87
 SKETCH_SIZE = 1 << 18
 BLOCK = 512
 SLICE_LETTERS = 50_000
-LINK_ROUNDS = 3  # neighbour links only save work; they need not be complete
+LINK_ROUNDS = 1  # neighbour links only save work; they need not be complete
 SEPARATOR = " | "
 
 

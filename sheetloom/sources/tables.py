@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,7 +143,10 @@ def _number_rows(df: DataFrame) -> DataFrame:
 
 
 def _join_file_number(df: DataFrame, files: list[str], shift: int) -> DataFrame:
-    order = df.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __file_path string")
+    # local paths come with one slash or three
+    numbered = [(i, re.sub(r"^file:/+", "file:/", f)) for i, f in enumerate(files)]
+    df = df.withColumn("__path", F.regexp_replace("__path", "^file:/+", "file:/"))
+    order = df.sparkSession.createDataFrame(numbered, "__file long, __file_path string")
     unknown = F.raise_error(F.concat(F.lit("file not in listing: "), F.col("__path"))).cast("long")
     number = F.coalesce(F.col("__file"), unknown)
     joined = df.join(order, F.col("__path") == F.col("__file_path"), "left")
