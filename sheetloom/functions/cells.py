@@ -14,18 +14,22 @@ ACCOUNTING_TEXT = r"^\(\s*([\d,]+(?:\.\d+)?)\s*\)$"
 SCIENTIFIC_TEXT = r"^-?\d+(\.\d+)?[eE][+-]?\d+$"
 PLAIN_NUMBER_TEXT = r"^\s*-?\d+(\.\d+)?\s*$"
 
-ANY_SPACE = r"(?U)\s+"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters that count as white space at the ends of a cell.
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+ANY_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only the blank."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.trim(c, F.lit(SPACE_CHARACTERS))
 
 
 def squeeze(c: Column) -> Column:
     """Trim, and collapse inner white space to one blank."""
-    return F.regexp_replace(strip(c), ANY_SPACE, " ")
+    return F.trim(F.regexp_replace(c, ANY_SPACE, " "))
 
 
 def text_to_number(c: Column) -> Column:
@@ -92,10 +96,21 @@ def as_identifier_text(df: DataFrame, name: str) -> Column:
     return F.when(whole, value.try_cast("decimal(38,0)").cast("string")).otherwise(double_to_text(value))
 
 
+MARK = "\ufffe"  # a non-character; texts that hold it take the slow way
+RUN_START = r"(?<!\p{L})(?=\p{L})"
+
+
 def proper_case(c: Column) -> Column:
-    """First letter of every letter run upper, the rest lower."""
-    runs = F.split(F.lower(c), r"(?<!\p{L})(?=\p{L})")
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """First letter of every letter run upper, the rest lower.
+
+    ``initcap`` starts a word after blanks only, so every run is put after a
+    marked blank, which is taken out again.
+    """
+    low = F.lower(c)
+    marked = F.initcap(F.regexp_replace(low, RUN_START, MARK + " "))
+    fast = F.replace(marked, F.lit(MARK + " "), F.lit(""))
+    slow = F.array_join(F.transform(F.split(low, RUN_START), F.initcap), "")
+    return F.when(F.contains(c, F.lit(MARK)), slow).otherwise(fast)
 
 
 def currency_text(c: Column) -> Column:

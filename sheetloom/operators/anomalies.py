@@ -57,13 +57,15 @@ def detect_anomalies(
     spreads = column_spreads(df, names, small_rows)
     if not spreads:
         return df.sparkSession.createDataFrame([], ANOMALY_SCHEMA)
-    cells = []
-    for c, spread in spreads.items():
-        value = to_number(df, c)
-        score = spread.score(value)
+    numbers = {f"__v{i}": to_number(df, c) for i, c in enumerate(spreads)}
+    cells, any_flagged = [], F.lit(False)
+    for tmp, (c, spread) in zip(numbers, spreads.items()):
+        value, score = F.col(tmp), spread.score(F.col(tmp))
         cell = F.struct(F.lit(c).alias("column"), value.alias("value"), score.alias("score"))
         cells.append(F.when(score > threshold, cell))
-    flagged = df.select(F.col(ROW_ID), F.inline(F.array_compact(F.array(*cells))))
+        any_flagged = any_flagged | F.coalesce(score > threshold, F.lit(False))
+    wide = df.select(F.col(ROW_ID), *[e.alias(tmp) for tmp, e in numbers.items()]).where(any_flagged)
+    flagged = wide.select(F.col(ROW_ID), F.inline(F.array_compact(F.array(*cells))))
     return flagged.select(
         ROW_ID, "column", "value", round_half_even(F.col("score")).alias("anomaly_score")
     ).orderBy(F.col("anomaly_score").desc(), "column", ROW_ID)

@@ -118,8 +118,7 @@ def trim_spaces(df: DataFrame, log: ChangeLog | None = None) -> DataFrame:
 def capitalize_text(df: DataFrame, log: ChangeLog | None = None) -> DataFrame:
     cells = {}
     for c in text_columns(df):
-        s = strip(col(c))
-        cells[c] = F.when(s != "", proper_case(s)).otherwise(col(c))
+        cells[c] = F.when(col(c).rlike(r"(?U)\S"), proper_case(strip(col(c)))).otherwise(col(c))
     return rewrite(df, cells, log)
 
 

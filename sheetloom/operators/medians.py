@@ -63,7 +63,9 @@ def exact_medians(
     """
     if not values and not extra:
         return {}, {}
-    targets = [_Target(n, e, up) for n, e in values.items() for up in (False, True)]
+    # a projection below the aggregate: each value is computed once per row
+    df = df.withColumns({f"__x{i}": e for i, e in enumerate(values.values())}) if values else df
+    targets = [_Target(n, F.col(f"__x{i}"), up) for i, n in enumerate(values) for up in (False, True)]
     extras: dict = {}
     first = True
     while first or any(not t.done for t in targets):

@@ -9,14 +9,16 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Header lookups are exact, timestamps are zone-free, and skewed joins are
-# split at run time: a hot key on the big side must not become one long task.
+# Header lookups are exact, timestamps are zone-free, skewed joins are split at
+# run time (a hot key on the big side must not become one long task), and
+# row-number limits are applied before the shuffle for large limits too.
 ENGINE_CONF = {
     "spark.sql.caseSensitive": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -66,7 +68,7 @@ _shipped: set[str] = set()
 
 def ship_package() -> None:
     """Hand this package to the Python workers, once per application."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
