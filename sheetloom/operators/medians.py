@@ -3,23 +3,25 @@
 Spark's ``median`` keeps every distinct value of a group in one task.  That is
 fine for small inputs and is used there.  Beyond a checked row count:
 
-* column medians bracket the wanted rank with a quantile sketch, count exactly
-  what lies below the bracket, and look only at the values inside it;
+* column medians bracket the wanted rank with a sketch of a sample, count
+  exactly what lies below the bracket, and look only at the values inside it;
 * grouped medians count (group, value) pairs and accumulate the counts over
   range buckets of the value, so one large group spreads over many tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetloom.rows import BUCKET, add_bucket, bucket_bounds, col
 
-SKETCH_ACCURACY = 10_000
 SMALL_ROWS = 1_000_000
+SAMPLE_ROWS = 1_000_000
+SKETCH_ACCURACY = 10_000
+SPREAD = 0.003  # half width of the bracket, several times the sampling error
 
 
 @dataclass
@@ -28,20 +30,16 @@ class _Target:
 
     name: str
     expr: Column
-    upper: bool  # the higher of the two middle ranks
+    rank: int
+    size: int  # rows inside the bracket
     low: float | None = None  # open bracket
     high: float | None = None
-    below: int = 0  # rows at or under ``low``
-    size: int | None = None  # rows inside the bracket
-    total: int = 0  # numbers in the whole column
-    rank: int | None = None
+    below: int = 0  # rows under the bracket
     value: float | None = None
-    done: bool = False
-    points: tuple[float, float] = field(default=(0.0, 0.0))
 
     def inside(self) -> Column:
         """The column's value if it lies in the open bracket, else null."""
-        keep = F.lit(True)
+        keep = self.expr.isNotNull()
         if self.low is not None:
             keep = keep & (self.expr > F.lit(self.low))
         if self.high is not None:
@@ -57,91 +55,92 @@ def exact_medians(
 ) -> tuple[dict[str, tuple[int, float | None]], dict]:
     """``{name: (count, median)}`` for several DOUBLE columns at once.
 
-    ``extra`` aggregates ride along in the first pass.  Small columns take two
-    passes without any shuffle of data; each further factor of about a
-    thousand rows adds one narrowing step.
+    ``extra`` aggregates ride along in the first pass.  Columns of up to
+    ``small_rows`` numbers take one more pass.  Larger ones are narrowed
+    first: a sketch over a bounded sample proposes a bracket, an exact count
+    confirms or corrects it.  No pass shuffles data.
     """
+    extra = extra or {}
     if not values and not extra:
         return {}, {}
-    # a projection below the aggregate: each value is computed once per row
-    df = df.withColumns({f"__x{i}": e for i, e in enumerate(values.values())}) if values else df
-    targets = [_Target(n, F.col(f"__x{i}"), up) for i, n in enumerate(values) for up in (False, True)]
-    extras: dict = {}
-    first = True
-    while first or any(not t.done for t in targets):
-        open_targets = [t for t in targets if not t.done]
-        aggs = []
-        for i, t in enumerate(open_targets):
-            if t.size is None:
-                middle = 0.5
-            else:
-                middle = (t.rank - t.below + 0.5) / t.size
-            spread = 5.0 / SKETCH_ACCURACY
-            ask = [max(0.0, middle - spread), min(1.0, middle + spread)]
-            aggs += [
-                F.count(t.inside()).alias(f"n{i}"),
-                F.percentile_approx(t.inside(), ask, SKETCH_ACCURACY).alias(f"p{i}"),
-            ]
-        if first and extra:
-            aggs += [e.alias(f"x_{n}") for n, e in extra.items()]
-        row = df.agg(*aggs).first()
-        if first and extra:
-            extras = {n: row[f"x_{n}"] for n in extra}
-        for i, t in enumerate(open_targets):
-            t.size = row[f"n{i}"]
-            if t.rank is None:
-                t.total = t.size
-                t.rank = t.size // 2 if t.upper else (t.size - 1) // 2
-            if t.size == 0:
-                t.done = True
-            else:
-                t.points = tuple(row[f"p{i}"])
-        _count_and_narrow(df, [t for t in targets if not t.done], small_rows)
-        first = False
-
-    out = {}
-    for low, high in zip(targets[::2], targets[1::2]):
-        out[low.name] = (low.total, None if low.value is None else (low.value + high.value) / 2.0)
-    return out, extras
-
-
-def _count_and_narrow(df: DataFrame, targets: list[_Target], small_rows: int) -> None:
-    """One pass: settle each target, or shrink its bracket around the rank."""
+    # a projection below the aggregates: each value is computed once per row
+    columns = {n: F.col(f"__x{i}") for i, n in enumerate(values)}
+    numbered = {f"__x{i}": e for i, e in enumerate(values.values())}
+    df = df.withColumns({**numbered, "__u": F.rand(17)})
+    counts = [F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]
+    row = df.agg(*counts, *[e.alias(f"e{i}") for i, e in enumerate(extra.values())]).first()
+    extras = {n: row[f"e{i}"] for i, n in enumerate(extra)}
+    total = {n: row[f"n{i}"] for i, n in enumerate(columns)}
+
+    medians: dict[str, float | None] = dict.fromkeys(columns)
+    small = [n for n in columns if 0 < total[n] <= small_rows]
+    if small:
+        row = df.agg(*[F.median(columns[n]) for n in small]).first()
+        medians |= dict(zip(small, row))
+
+    targets = [
+        _Target(n, c, rank, total[n])
+        for n, c in columns.items()
+        if total[n] > small_rows
+        for rank in sorted({(total[n] - 1) // 2, total[n] // 2})
+    ]
+    while waiting := [t for t in targets if t.value is None]:
+        wide = [t for t in waiting if t.size > small_rows]
+        if wide:
+            _narrow(df, wide)
+        else:
+            _pick(df, waiting)
+    for n in columns:
+        found = [t.value for t in targets if t.name == n]
+        if found:
+            medians[n] = (found[0] + found[-1]) / 2.0
+    return {n: (total[n], medians[n]) for n in columns}, extras
+
+
+def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    """Shrink the brackets around their ranks, or hit the value at once."""
+    sketches = []
+    for i, t in enumerate(targets):
+        # few rows per task reach the sketch, so merging many tasks stays cheap
+        sampled = F.when(F.col("__u") < SAMPLE_ROWS / t.size, t.inside())
+        at = (t.rank - t.below + 0.5) / t.size
+        ask = [max(0.0, at - SPREAD), min(1.0, at + SPREAD)]
+        sketches.append(F.percentile_approx(sampled, ask, SKETCH_ACCURACY).alias(f"p{i}"))
+    points = df.agg(*sketches).first()
     aggs = []
     for i, t in enumerate(targets):
-        a, b = t.points
+        a, b = points[f"p{i}"]
         v = t.inside()
-        between = F.when((v > F.lit(a)) & (v < F.lit(b)), v)
         aggs += [
             F.count_if(v < F.lit(a)).alias(f"lt{i}"),
             F.count_if(v == F.lit(a)).alias(f"at{i}"),
-            F.count(between).alias(f"in{i}"),
-            F.count_if(v == F.lit(b)).alias(f"top{i}"),
+            F.count_if((v > F.lit(a)) & (v < F.lit(b))).alias(f"in{i}"),
+            F.count_if((v == F.lit(b)) & F.lit(b > a)).alias(f"top{i}"),
         ]
-        if t.size <= small_rows:  # bounded: a list of at most small_rows numbers
-            aggs.append(F.sort_array(F.collect_list(between)).alias(f"list{i}"))
-    if not aggs:
-        return
     row = df.agg(*aggs).first()
     for i, t in enumerate(targets):
-        a, b = t.points
-        lt, at, inner = row[f"lt{i}"], row[f"at{i}"], row[f"in{i}"]
-        top = row[f"top{i}"] if b > a else 0
+        a, b = points[f"p{i}"]
+        lt, at, inner, top = (row[f"{k}{i}"] for k in ("lt", "at", "in", "top"))
         r = t.rank - t.below
         if r < lt:
             t.high, t.size = a, lt
         elif r < lt + at:
-            t.value, t.done = a, True
+            t.value = a
         elif r < lt + at + inner:
-            if t.size <= small_rows:
-                t.value, t.done = row[f"list{i}"][r - lt - at], True
-            else:
-                t.low, t.high, t.below, t.size = a, b, t.below + lt + at, inner
+            t.low, t.high, t.below, t.size = a, b, t.below + lt + at, inner
         elif r < lt + at + inner + top:
-            t.value, t.done = b, True
+            t.value = b
         else:
             t.low, t.below = b, t.below + lt + at + inner + top
-            t.size = t.size - lt - at - inner - top
+            t.size -= lt + at + inner + top
+
+
+def _pick(df: DataFrame, targets: list[_Target]) -> None:
+    """Read the wanted values from brackets that hold few rows, by exact count."""
+    ordered = [F.sort_array(F.collect_list(t.inside())) for t in targets]
+    row = df.agg(*[F.element_at(o, t.rank - t.below + 1) for o, t in zip(ordered, targets)]).first()
+    for t, value in zip(targets, row):
+        t.value = value
 
 
 def grouped_median(

@@ -42,6 +42,7 @@ from sheetloom.session import materialize, ship_package
 
 DEFAULT_THRESHOLD = 87
 SKETCH_SIZE = 1 << 18
+SKETCH_TEXTS = 1_000_000
 BLOCK = 512
 SLICE_LETTERS = 50_000
 LINK_ROUNDS = 1  # neighbour links only save work; they need not be complete
@@ -335,9 +336,14 @@ def _representatives(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Data
 
 
 def _gram_sketch(reps: DataFrame, threshold: int):
-    """Gram frequencies in a fixed number of cells, shared with the tasks."""
+    """Key frequencies in a fixed number of cells, shared with the tasks.
+
+    They only steer which chunks a text is indexed under, so a sample will do.
+    """
+    share = SKETCH_TEXTS / max(reps.count(), 1)
+    texts = reps.select("s")
     cells = (
-        reps.select("s")
+        (texts.sample(fraction=share, seed=17) if share < 1 else texts)
         .mapInPandas(_sketch_batches(threshold), "cell long, n long")
         .groupBy("cell")
         .agg(F.sum("n").alias("n"))

@@ -19,6 +19,7 @@ from sheetloom.session import shuffle_partitions
 ROW_ID = "_row_id"
 BUCKET = "__bucket"
 MAX_BUCKETS = 20_000
+SAMPLE_PER_BUCKET = 200
 
 
 def quoted(name: str) -> str:
@@ -96,13 +97,20 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def bucket_bounds(df: DataFrame, value: Column, buckets: int | None = None) -> tuple[int, list[float]]:
-    """(non-null count, ascending distinct cut points) from one sketch pass."""
+    """(non-null count, ascending distinct cut points).
+
+    The cut points come from a sample of bounded size: they decide how even
+    the buckets are, never the result, and a sketch of every row would be a
+    heavy thing to merge from very many tasks.
+    """
     n = buckets or bucket_count(df)
-    row = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value.cast("double"), [i / n for i in range(1, n)], 10 * n).alias("p"),
-    ).first()
-    return row["n"], sorted(set(row["p"] or []))
+    source = df.select(value.cast("double").alias("v"))
+    count = source.agg(F.count("v")).first()[0]
+    share = SAMPLE_PER_BUCKET * n / max(count, 1)
+    if share < 1:
+        source = source.where("v IS NOT NULL").sample(fraction=share, seed=17)
+    cuts = source.agg(F.percentile_approx("v", [i / n for i in range(1, n)], 10 * n)).first()[0]
+    return count, sorted(set(cuts or []))
 
 
 def add_bucket(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:

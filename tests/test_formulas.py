@@ -213,7 +213,9 @@ def test_unique_and_duplicates(sheet):
     assert values(distinct.drop_missing_rows(df, "City"), "City") == ["Mumbai", "Pune", "Mumbai"]
 
 
-def test_exact_medians_with_narrowing(spark):
+@pytest.mark.parametrize("sample", [300, 10**6])
+def test_exact_medians_with_narrowing(spark, monkeypatch, sample):
+    monkeypatch.setattr(medians, "SAMPLE_ROWS", sample)  # a poor sample must only cost passes
     df = spark.range(20001).select(
         (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("a"),
         F.when(F.col("id") % 3 != 0, 5.0).otherwise(F.col("id").cast("double")).alias("hot"),
