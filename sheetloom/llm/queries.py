@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheetloom.catalog.inputs import Query
 from sheetloom.llm.license_scan import license_report
+from sheetloom.llm.pieces import read_model, token_report
+from sheetloom.llm.pii import pii_report
 from sheetloom.llm.quality_rules import quality_report
 
 
@@ -13,6 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """A model file; without a path the 32,000-piece vocabulary of the installed package."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return read_model(path)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -24,6 +43,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii": Query(op2_pii),
+    "op4_sentencepiece": Query(op4_sentencepiece),
     "op7_quality_rules": Query(op7_quality_rules),
     "op9_license_scan": Query(op9_license_scan),
 }
