@@ -210,8 +210,11 @@ def pii_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return find_pii(docs, doc_id, text).select(
-        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"),
+        "doc_id", *map(count, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"),
         F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("max_score"),
     )
