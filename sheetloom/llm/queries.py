@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheetloom.catalog.inputs import Query
+from sheetloom.llm.chat_format import PART, format_chats
 from sheetloom.llm.license_scan import license_report
 from sheetloom.llm.pieces import read_model, token_report
 from sheetloom.llm.pii import pii_report
 from sheetloom.llm.quality_rules import quality_report
+from sheetloom.llm.source_mix import mix_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,27 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = f"""
+WITH chats AS (
+  SELECT conv_id, list({{'r': COALESCE(role, ''), 't': COALESCE(text, '')}} ORDER BY turn NULLS LAST, COALESCE(role, '')) AS s
+  FROM conversations GROUP BY conv_id),
+kept AS (
+  SELECT conv_id, s, (SELECT COUNT(*) FROM chats c WHERE c.s = a.s) AS n_equal FROM chats a
+  WHERE NOT EXISTS (SELECT 1 FROM chats b WHERE len(b.s) > len(a.s) AND b.s[1:len(a.s)] = a.s)
+    AND NOT EXISTS (SELECT 1 FROM chats b WHERE b.conv_id < a.conv_id AND b.s = a.s)),
+parts AS (
+  SELECT conv_id, n_equal, p AS part, s[p * {PART} + 1 : (p + 1) * {PART}] AS s
+  FROM kept, LATERAL (SELECT unnest(range(0, (len(s) + {PART} - 1) // {PART})) AS p))
+SELECT conv_id, part, len(s)::BIGINT AS n_turns, n_equal,
+       array_to_string(list_transform(s, x -> '<|' || x.r || '|>' || chr(10) || replace(x.t, '<|', '< |') || '<|end|>' || chr(10)), '') AS chat
+FROM parts
+"""
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_table(spark, sf_dir, "documents"), piece_model())
 
@@ -42,9 +66,73 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_table(spark, sf_dir, "documents")).drop("n_detections")
 
 
+#: Domains of the sources, the same text for both engines.
+DOMAIN = """CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') THEN 'web'
+     WHEN source IN ('src10', 'src11', 'src12', 'src13', 'src14') THEN 'reference' ELSE 'forum' END"""
+MIX_WEIGHTS = {("web",): 5, ("reference",): 3, ("forum",): 2} | {
+    (domain, lang): weight
+    for domain in ("web", "reference", "forum")
+    for lang, weight in (("en", 5), ("de", 2), ("fr", 2), ("es", 1))
+}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 3, 7
+
+
+def mix_keys() -> dict:
+    return {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(
+        _table(spark, sf_dir, "documents"), mix_keys(), MIX_WEIGHTS, percent=MIX_PERCENT, max_epochs=MIX_EPOCHS, seed=MIX_SEED
+    )
+
+
+def _dealt(level: str, nodes: str, parent: str, name: str) -> str:
+    """SQL that deals ``budget`` among siblings: the common tables `level`_left, `level`_marked and `level`."""
+    return f"""
+{level}_left AS (
+  SELECT *, budget - COALESCE(SUM(capacity) OVER (PARTITION BY {parent} ORDER BY CAST(capacity AS DOUBLE) / CAST(weight AS DOUBLE), {name}
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+         SUM(weight) OVER (PARTITION BY {parent} ORDER BY CAST(capacity AS DOUBLE) / CAST(weight AS DOUBLE), {name}
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unfilled
+  FROM ({nodes})),
+{level}_marked AS (SELECT *, capacity * unfilled <= remaining * weight AS filled FROM {level}_left),
+{level} AS (
+  SELECT *, CASE WHEN filled THEN capacity
+                 ELSE (MAX(remaining) FILTER (NOT filled) OVER (PARTITION BY {parent}) * weight)
+                      // MAX(unfilled) FILTER (NOT filled) OVER (PARTITION BY {parent}) END AS share
+  FROM {level}_marked)"""
+
+
+OP10_SQL = f"""
+WITH counted AS (
+  SELECT doc_id, {DOMAIN} AS domain, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+         CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS HUGEINT) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, SUM(tokens)::HUGEINT AS tokens FROM counted GROUP BY ALL),
+{_dealt("d1", f"""SELECT domain, (SUM(tokens) * {MIX_EPOCHS})::HUGEINT AS capacity, CAST(CASE domain WHEN 'web' THEN 5 WHEN 'reference' THEN 3 ELSE 2 END AS HUGEINT) AS weight,
+   (SELECT SUM(tokens) * {MIX_PERCENT} // 100 FROM leaves)::HUGEINT AS budget FROM leaves GROUP BY domain""", "1", "domain")},
+{_dealt("d2", f"""SELECT l.*, d1.share::HUGEINT AS budget FROM (SELECT domain, lang, (SUM(tokens) * {MIX_EPOCHS})::HUGEINT AS capacity,
+   CAST(CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS HUGEINT) AS weight FROM leaves GROUP BY domain, lang) l JOIN d1 USING (domain)""", "domain", "lang")},
+{_dealt("d3", f"""SELECT l.*, d2.share::HUGEINT AS budget FROM (SELECT domain, lang, source, (tokens * {MIX_EPOCHS})::HUGEINT AS capacity,
+   1::HUGEINT AS weight FROM leaves) l JOIN d2 USING (domain, lang)""", "domain, lang", "source")},
+begun AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs,
+         CASE WHEN tokens > 0 THEN share % tokens ELSE 0 END AS left_over
+  FROM leaves JOIN d3 USING (domain, lang, source)),
+placed AS (
+  SELECT c.*, epochs, left_over, md5(concat_ws(':', '{MIX_SEED}', epochs::VARCHAR, doc_id::VARCHAR)) AS place
+  FROM counted c JOIN begun USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS n_tokens,
+       (epochs + CASE WHEN SUM(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) <= left_over THEN 1 ELSE 0 END)::BIGINT AS n_copies
+FROM placed
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op2_pii": Query(op2_pii),
+    "op3_chat_format": Query(op3_chat_format, OP3_SQL),
     "op4_sentencepiece": Query(op4_sentencepiece),
+    "op10_source_mix": Query(op10_source_mix, OP10_SQL),
     "op7_quality_rules": Query(op7_quality_rules),
     "op9_license_scan": Query(op9_license_scan),
 }
