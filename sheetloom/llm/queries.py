@@ -47,7 +47,7 @@ parts AS (
   SELECT conv_id, n_equal, p AS part, s[p * {PART} + 1 : (p + 1) * {PART}] AS s
   FROM kept, LATERAL (SELECT unnest(range(0, (len(s) + {PART} - 1) // {PART})) AS p))
 SELECT conv_id, part, len(s)::BIGINT AS n_turns, n_equal,
-       array_to_string(list_transform(s, x -> '<|' || x.r || '|>' || chr(10) || replace(x.t, '<|', '< |') || '<|end|>' || chr(10)), '') AS chat
+       array_to_string(list_transform(s, lambda x: '<|' || x.r || '|>' || chr(10) || replace(x.t, '<|', '< |') || '<|end|>' || chr(10)), '') AS chat
 FROM parts
 """
 
