@@ -12,6 +12,7 @@ from sheetloom.llm.pieces import read_model, token_report
 from sheetloom.llm.pii import pii_report
 from sheetloom.llm.quality_rules import quality_report
 from sheetloom.llm.source_mix import mix_report
+from sheetloom.llm.substring_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Unlike the engine's hashes, this joins whole windows as text.
+OP8_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(words[p + 1 : p + 13], ' ') AS content
+  FROM (SELECT doc_id, words, unnest(range(0, len(words) - 12)) AS p FROM w WHERE len(words) >= 13)),
+later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, MIN(doc_id) OVER (PARTITION BY content) AS least FROM windows) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM later),
+lists AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, COALESCE(len(places), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+         [x FOR x, i IN words IF NOT list_contains(places, i - 1)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id)
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_table(spark, sf_dir, "documents")).drop("n_detections")
 
@@ -134,5 +156,6 @@ QUERIES: dict[str, Query] = {
     "op4_sentencepiece": Query(op4_sentencepiece),
     "op10_source_mix": Query(op10_source_mix, OP10_SQL),
     "op7_quality_rules": Query(op7_quality_rules),
+    "op8_substring_dedup": Query(op8_substring_dedup, OP8_SQL),
     "op9_license_scan": Query(op9_license_scan),
 }
