@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheetloom.catalog.inputs import Query
 from sheetloom.llm.chat_format import PART, format_chats
 from sheetloom.llm.license_scan import license_report
+from sheetloom.llm.near_dup import near_duplicates
 from sheetloom.llm.pieces import read_model, token_report
 from sheetloom.llm.pii import pii_report
 from sheetloom.llm.quality_rules import quality_report
@@ -28,6 +29,10 @@ def piece_model(path: str | None = None) -> bytes:
     return read_model(path)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -151,6 +156,7 @@ FROM placed
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_dedup": Query(op1_near_dedup),
     "op2_pii": Query(op2_pii),
     "op3_chat_format": Query(op3_chat_format, OP3_SQL),
     "op4_sentencepiece": Query(op4_sentencepiece),
