@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.catalog.inputs import Query
 from sheetloom.llm.chat_format import PART, format_chats
+from sheetloom.llm.language_id import identify_languages
 from sheetloom.llm.license_scan import license_report
 from sheetloom.llm.near_dup import near_duplicates
 from sheetloom.llm.pieces import read_model, token_report
@@ -14,6 +15,7 @@ from sheetloom.llm.pii import pii_report
 from sheetloom.llm.quality_rules import quality_report
 from sheetloom.llm.source_mix import mix_report
 from sheetloom.llm.substring_dedup import remove_repeats
+from sheetloom.llm.vector_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,26 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -161,6 +183,8 @@ QUERIES: dict[str, Query] = {
     "op3_chat_format": Query(op3_chat_format, OP3_SQL),
     "op4_sentencepiece": Query(op4_sentencepiece),
     "op10_source_mix": Query(op10_source_mix, OP10_SQL),
+    "op5_top_k": Query(op5_top_k, OP5_SQL),
+    "op6_language_id": Query(op6_language_id),
     "op7_quality_rules": Query(op7_quality_rules),
     "op8_substring_dedup": Query(op8_substring_dedup, OP8_SQL),
     "op9_license_scan": Query(op9_license_scan),
