@@ -228,9 +228,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
         return F.struct(p["from"].alias("from"), p["to"].alias("to"), F.flatten(F.transform(live, lambda r: _detections(p, r))).alias("all"))
 
     found = cut.withColumn("hits", F.transform("pieces", hits)).drop("pieces")
-    return found.select(
-        "doc_id",
-        "n_words",
+    # out of a generator, so that no filter on the spans is moved below and computes them anew
+    spans = F.struct(
         F.flatten(
             F.transform("hits", lambda p: owned(p, F.filter(p["all"], lambda d: d["rank"] < len(base_rules(ordered)))))
         ).alias("base"),
@@ -243,6 +242,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
             )
         ).alias("detections"),
     )
+    return found.select("doc_id", "n_words", F.inline(F.array(spans)))
 
 
 def base_rules(rules: list[Signature]) -> list[Signature]:

@@ -109,9 +109,10 @@ def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
         lambda seen, p: F.struct((seen["n"] + F.least(F.lit(WINDOW), p - seen["last"])).alias("n"), p.alias("last")),
         lambda seen: seen["n"],
     )
-    return ordered.withColumn(names["n_repeat_words"], F.when(s.isNull(), 0).otherwise(covered).cast("long")).drop(
-        names["words"], names["lines"], names["hashes"], names["sorted"]
-    )
+    counted = ordered.withColumn(names["n_repeat_words"], F.when(s.isNull(), 0).otherwise(covered).cast("long"))
+    # the counts come out of a generator, so that no filter on them is moved below and computes them anew
+    counts = F.struct(*(F.col(v) for k, v in names.items() if k.startswith("n_") or k == "word_chars"))
+    return counted.select(*(counted[f"`{c}`"] for c in docs.columns), F.inline(F.array(counts)))
 
 
 def _ratios(prefix: str) -> dict[str, Column]:
