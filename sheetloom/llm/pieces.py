@@ -3,7 +3,8 @@
 Encoding keeps an agenda of adjacent symbol pairs that together are a piece;
 the pair with the best score is merged first, the leftmost of equals.  A text
 is first cut where no piece can cross, so that most cuts repeat and are
-encoded once per worker.  Every cut that is encoded anew is held against the
+encoded once per worker; new short cuts of a batch go through their agendas
+side by side, in numpy.  Every cut that is encoded anew is held against the
 sentencepiece library within its Arrow batch; a difference fails the task.
 """
 
@@ -22,8 +23,8 @@ from sheetloom.session import ship_package
 
 SPACE = "\u2581"
 CACHED_CUTS = 400_000  # per worker; a full cache is emptied
-SHORT = 48  # characters up to which the agenda is a plain list
-NONE = float("inf")
+SHORT = 64  # characters up to which cuts are merged side by side; longer ones have a heap each
+NO_RANK = (1 << 31) - 1
 _CUTS = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*").findall
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 
@@ -65,11 +66,11 @@ class PieceModel:
         self.surface_at = np.concatenate([[0], np.cumsum([len(x) for x in surface])])
         self.surface_bytes = np.frombuffer(b"".join(surface), np.uint8)
         self.library = SentencePieceProcessor(model_proto=model) if check else None
+        self._pair_table()
         self.forget()
 
     def forget(self) -> None:
         self.cuts = _Numbered()
-        self.cut_ids: list[tuple[int, ...]] = []
         self.flat, self.flat_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @staticmethod
@@ -86,27 +87,130 @@ class PieceModel:
         cuts = _CUTS(SPACE + text.replace(" ", SPACE))
         return [c if c[0] == "\n" else c[1:] for c in cuts]
 
+    def _pair_table(self) -> None:
+        """All pairs of symbols that together are a piece, in a hash table of numpy arrays.
+
+        A symbol is a piece's id; characters of pieces that are none themselves get numbers behind those.
+        """
+        symbol = dict(self.id)
+        for char in {c for p in self.id for c in p}:
+            symbol.setdefault(char, len(self.is_byte) + len(symbol))
+        self.of_char = np.full(0x110000, -1, np.int64)
+        for text, number in symbol.items():
+            if len(text) == 1:
+                self.of_char[ord(text)] = number
+        order = {score: i for i, score in enumerate(sorted(set(self.rank.values())))}
+        rows = [
+            ((symbol[p[:k]] << 32) | symbol[p[k:]], order[self.rank[p]], self.id[p])
+            for p in self.id
+            for k in range(1, len(p))
+            if p[:k] in symbol and p[k:] in symbol
+        ]
+        keys, ranks, ids = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        size = 1 << (4 * len(keys)).bit_length()
+        self.slot_mask = size - 1
+        self.slot_key, self.slot_rank, self.slot_id = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):  # keys whose slot is taken go one further
+            free = self.slot_key[slot[todo]] == -1
+            _, one = np.unique(slot[todo[free]], return_index=True)
+            put = todo[free][one]
+            self.slot_key[slot[put]], self.slot_rank[slot[put]], self.slot_id[slot[put]] = keys[put], ranks[put], ids[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + (self.slot_key[slot[todo]] != -1)) & self.slot_mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & self.slot_mask
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (`NO_RANK` if none) and id of the piece that two symbols make."""
+        keys = (left << 32) | right
+        keys[(left < 0) | (right < 0)] = -2
+        slot = self._slot(keys)
+        found = self.slot_key[slot]
+        on = np.flatnonzero((found != keys) & (found != -1))
+        while len(on):
+            slot[on] = (slot[on] + 1) & self.slot_mask
+            found[on] = self.slot_key[slot[on]]
+            on = on[(found[on] != keys[on]) & (found[on] != -1)]
+        hit = found == keys
+        return np.where(hit, self.slot_rank[slot], NO_RANK), self.slot_id[slot]
+
+    def merge_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols left of many texts, and how many each has; characters that are no piece as -1 - code point.
+
+        Each round takes the best pair of every text's agenda, so that texts go on side by side.
+        """
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        symbol = self.of_char[points]
+        symbol = np.where(symbol < 0, -1 - points, symbol)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        text = np.arange(len(texts))[sizes > 0]
+        left = sizes[text]
+        last = np.zeros(len(symbol), bool)
+        last[np.cumsum(left) - 1] = True
+        rank, made = np.full(len(symbol), NO_RANK), np.zeros(len(symbol), np.int64)
+        at = np.flatnonzero(~last)
+        rank[at], made[at] = self._pairs(symbol[at], symbol[at + 1])
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(text):
+            heads = np.cumsum(left) - left
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), heads)
+            live = best >> 32 < NO_RANK
+            if not live.all():
+                rows = np.repeat(live, left)
+                done.append((text[~live], left[~live], symbol[~rows]))
+                # where a symbol will stand when the finished texts are gone
+                moved = np.cumsum(rows) - 1
+                symbol, rank, made, last = symbol[rows], rank[rows], made[rows], last[rows]
+                text, left, best = text[live], left[live], moved[best[live] & 0xFFFFFFFF]
+                if not len(text):
+                    break
+                heads = np.cumsum(left) - left
+            else:
+                best &= 0xFFFFFFFF
+            symbol[best] = made[best]
+            last[best] |= last[best + 1]
+            keep = np.ones(len(symbol), bool)
+            keep[best + 1] = False
+            symbol, rank, made, last = symbol[keep], rank[keep], made[keep], last[keep]
+            order = np.arange(len(best))  # one symbol less for each text before
+            best, heads, left = best - order, heads - order, left - 1
+            ends = last[best]
+            rank[best[ends]] = NO_RANK
+            at = np.concatenate([best[~ends], best[best > heads] - 1])
+            rank[at], made[at] = self._pairs(symbol[at], symbol[at + 1])
+        if not done:
+            return np.zeros(0, np.int64), sizes
+        who, many, what = (np.concatenate(x) for x in zip(*done, strict=True))
+        out = np.zeros(len(texts), np.int64)
+        out[who] = many
+        start = np.zeros(len(texts), np.int64)
+        start[who] = np.cumsum(many) - many
+        return _gather(what, start, out), out
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts (spaces escaped) and how many each has; what is no piece becomes its bytes."""
+        symbols, sizes = self.merge_many(texts)
+        odd = np.flatnonzero((symbols < 0) | (symbols >= len(self.is_byte)))
+        if not len(odd):
+            return symbols, sizes
+        names = {int(n): chr(c) for c in np.flatnonzero(self.of_char >= len(self.is_byte)) for n in [self.of_char[c]]}
+        spelled = {s: [self.bytes[b] for b in (chr(-1 - s) if s < 0 else names[s]).encode()] for s in set(symbols[odd].tolist())}
+        extra = np.ones(len(symbols), np.int64)
+        extra[odd] = [len(spelled[s]) for s in symbols[odd].tolist()]
+        out = np.repeat(symbols, extra)
+        starts = np.cumsum(extra) - extra
+        flat = np.array([b for s in symbols[odd].tolist() for b in spelled[s]], np.int64)
+        out[_gather(np.arange(len(out)), starts[odd], extra[odd])] = flat
+        ends = np.concatenate([[0], np.cumsum(extra)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return out, np.diff(ends)
+
     def merge(self, text: str) -> list[str]:
-        """The symbols left when no adjacent pair is a piece any more."""
-        return self._merge_short(text) if len(text) <= SHORT else self._merge_long(text)
-
-    def _merge_short(self, text: str) -> list[str]:
-        """The agenda as a list with one score for each pair; its least is found by looking."""
-        score = self.rank.get
-        symbols = list(text)
-        agenda = [score(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == NONE:
-                break
-            i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            agenda.pop(i)
-            if i < len(agenda):
-                agenda[i] = score(symbols[i] + symbols[i + 1], NONE)
-            if i:
-                agenda[i - 1] = score(symbols[i - 1] + symbols[i], NONE)
-        return symbols
+        """The symbols left of one text when no adjacent pair is a piece any more."""
+        return self._merge_long(text)
 
     def _merge_long(self, text: str) -> list[str]:
         """The agenda as a heap over linked symbols; entries of symbols merged meanwhile are passed over."""
@@ -134,27 +238,26 @@ class PieceModel:
                     heapq.heappush(agenda, (rank[both], h, both))
         return [s for s in symbols if s is not None]
 
-    def _ids(self, cut: str) -> tuple[int, ...]:
-        out: list[int] = []
+    def _ids(self, text: str) -> list[int]:
         own = self.id
-        for symbol in self.merge(cut if cut[:1] == "\n" else SPACE + cut):
-            if symbol in own:
-                out.append(own[symbol])
-            else:
-                out.extend(self.bytes[b] for b in symbol.encode())
-        return tuple(out)
+        return [i for symbol in self.merge(text) for i in ([own[symbol]] if symbol in own else [self.bytes[b] for b in symbol.encode()])]
 
     def _learn(self, cuts: list[str]) -> None:
         """Ids of new cuts, held against the library: behind a line end, where nothing joins them to what precedes."""
-        own = [self._ids(cut) for cut in cuts]
+        texts = [cut if cut[:1] == "\n" else SPACE + cut for cut in cuts]
+        ids, sizes = self.ids_of([t if len(t) <= SHORT else "" for t in texts])
+        if max(map(len, texts)) > SHORT:
+            rows = np.split(ids, np.cumsum(sizes)[:-1])
+            rows = [np.array(self._ids(t), np.int64) if len(t) > SHORT else row for t, row in zip(texts, rows, strict=True)]
+            ids, sizes = np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
         if self.library is not None:
-            shown = ["\n" + (cut if cut[:1] == "\n" else " " + cut.replace(SPACE, " ")) for cut in cuts]
+            shown = ["\n" + t.replace(SPACE, " ") for t in texts]
             lead = len(self.library.encode("\n"))
-            for cut, ids, theirs in zip(cuts, own, self.library.encode(shown, num_threads=1), strict=True):
-                if list(ids) != theirs[lead:]:
-                    raise RuntimeError(f"the encoding of {cut!r} differs from the library's")
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(own), np.int32)])
-        self.flat_at = np.concatenate([self.flat_at, self.flat_at[-1] + np.cumsum([len(x) for x in own])])
+            theirs = self.library.encode(shown, num_threads=1)
+            if [i for row in theirs for i in row[lead:]] != ids.tolist() or [len(row) - lead for row in theirs] != sizes.tolist():
+                raise RuntimeError("an encoding differs from the library's")
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.flat_at = np.concatenate([self.flat_at, self.flat_at[-1] + np.cumsum(sizes)])
 
     def encode_batch(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offset of each text in it."""
