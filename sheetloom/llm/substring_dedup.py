@@ -33,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetloom.llm.batches import ready_workers
 from sheetloom.llm.words import Words, cut_words, text_words
-from sheetloom.session import materialize, ship_package
+from sheetloom.session import materialize
 
 WINDOW = 13
 MER = 2
 BUCKET_CHARS = 4_000_000  # characters of text for each bucket
 LEAST_BUCKETS = 64
 SAMPLE_DOCS = 4_000
+CHUNK = 1 << 21  # bytes of text within which windows are compared first
 LATE = np.uint64(1 << 63)
 
 BLOB = "bucket int, texts binary, sizes binary, docs binary"
@@ -50,6 +52,8 @@ _ROW = np.dtype([("doc", "<i8"), ("key", "<i4"), ("at", "<i4"), ("n", "<i4")])
 
 def _runs(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Windows at consecutive places of one text as (doc, key, at, n); the same place may come twice."""
+    if not len(at):
+        return np.empty(0, _ROW)
     order = np.lexsort((at, key, doc))
     doc, key, at = doc[order], key[order], at[order]
     new = np.ones(len(at), bool)
@@ -199,7 +203,7 @@ def _text_key():
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Runs of windows of ``docs (doc_id, text)`` that a smaller doc_id holds: doc_id, text_key, start, n."""
-    ship_package()
+    ready_workers(docs.sparkSession)
     n_docs, chars = docs.agg(F.count("doc_id"), F.sum(F.length("text"))).first()
     buckets = max(LEAST_BUCKETS, math.ceil((chars or 0) / BUCKET_CHARS))
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(docs, n_docs, buckets))
@@ -208,7 +212,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            for words in text_words(batch.column(2)):
+            for words in text_words(batch.column(2), chunk=CHUNK):
                 part = slice(words.row, words.row + words.n_docs)
                 rows = _pack(words, ids[part], keys[part], buckets, heavy.value)
                 if rows:
