@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from sheetloom.llm.batches import ready_workers
 from sheetloom.llm.words import Words, mix, text_words
 from sheetloom.operators.components import connected_components
-from sheetloom.session import materialize, ship_package
+from sheetloom.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
@@ -91,7 +92,7 @@ def _sketch(values: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: n_shingles, two set digests, the signature and the tree keys (null without shingles)."""
-    ship_package()
+    ready_workers(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,8 +100,9 @@ def document_sets(docs: DataFrame) -> DataFrame:
             for words in text_words(batch.column(1), lower=True):
                 values, first = _shingles(words)
                 sizes = np.diff(first)
-                a, b = np.concatenate([[0], np.cumsum(values)]), np.concatenate([[0], np.cumsum(mix(values ^ np.uint64(0xA5A5)))])
-                one, two = (a.astype(np.uint64)[first], b.astype(np.uint64)[first])
+                zero = np.zeros(1, np.uint64)
+                one = np.concatenate([zero, np.cumsum(values, dtype=np.uint64)])[first]
+                two = np.concatenate([zero, np.cumsum(mix(values ^ np.uint64(0xA5A5)), dtype=np.uint64)])[first]
                 sketches = [_sketch(values[x:y]) if x < y else (None, None) for x, y in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -146,46 +148,76 @@ def _alike(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(cells: DataFrame, least: int, forest: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b, of ``cells (cell, rep, signature, component)`` within a cell and across components."""
-    groups = max(LEAST_GROUPS, math.ceil(cells.count() / GROUP_ROWS))
+def _sorted_cells(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows by cell, with the first row and the number of rows of each."""
+    cell = table["cell"].to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    return table.take(pa.array(order)), heads, np.diff(np.append(heads, len(cell)))
 
-    def compare(table: pa.Table) -> pa.Table:
-        cell = table["cell"].to_numpy()
-        order = np.argsort(cell, kind="stable")
-        cell, rep = cell[order], table["rep"].to_numpy()[order]
-        component = table["component"].to_numpy()[order]
-        raw = b"".join(table["signature"].to_pylist())
-        signature = np.frombuffer(raw, np.uint8).reshape(-1, SIGNATURE)[order]
-        heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sizes = np.diff(np.append(heads, len(cell)))
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+
+
+def _in_groups(cells: DataFrame, rows: int) -> GroupedData:
+    """Whole cells dealt into groups of about so many rows."""
+    groups = max(LEAST_GROUPS, math.ceil(cells.count() / rows))
+    return cells.withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups))).groupBy("group")
+
+
+def _proposed(cells: DataFrame, least: int) -> DataFrame:
+    """Pairs ``(a, b)``, a < b: a maximum spanning forest of each of ``cells (cell, rep, signature)`` by signature."""
+
+    def propose(table: pa.Table) -> pa.Table:
+        table, heads, sizes = _sorted_cells(table)
+        rep, signature = table["rep"].to_numpy(), _signatures(table)
         twos = heads[sizes == 2]
-        hit = twos[((signature[twos] == signature[twos + 1]).sum(axis=1) >= least) & (component[twos] != component[twos + 1])]
+        hit = twos[(signature[twos] == signature[twos + 1]).sum(axis=1) >= least]
         left, right = [rep[hit]], [rep[hit + 1]]
         for h, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own = component[h : h + n]
-            if (own == own[0]).all():
-                continue
-            alike = _alike(signature[h : h + n])
-            if forest:
-                pairs = np.array(_forest(np.where(own[:, None] == own[None, :], -1, alike), least), np.int64).reshape(-1, 2)
-                i, j = pairs[:, 0], pairs[:, 1]
-            else:
-                i, j = np.nonzero(np.triu(alike >= least, 1) & (own[:, None] != own[None, :]))
-            left.append(rep[h + i])
-            right.append(rep[h + j])
+            pairs = np.array(_forest(_alike(signature[h : h + n]), least), np.int64).reshape(-1, 2)
+            left.append(rep[h + pairs[:, 0]])
+            right.append(rep[h + pairs[:, 1]])
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dealt = cells.withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(compare, "a bigint, b bigint").where("a < b").distinct()
+    return _in_groups(cells, GROUP_ROWS).applyInArrow(propose, "a bigint, b bigint").where("a < b").distinct()
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    n_ids = ids.count()
-    small = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
+def _near_others(signature: np.ndarray, component: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows outside the main component, and for each which rows of other components its signature is near."""
+    names, times = np.unique(component, return_counts=True)
+    others = np.flatnonzero(component != names[times.argmax()])
+    near = np.zeros((len(others), len(component)), bool)
+    for a in range(0, len(others), 64):
+        part = others[a : a + 64]
+        near[a : a + 64] = (signature[part, None, :] == signature[None, :, :]).sum(axis=2, dtype=np.int16) >= least
+        near[a : a + 64] &= component[part, None] != component[None, :]
+    return others, near
+
+
+def _touched(cells: DataFrame, least: int) -> DataFrame:
+    """The rows of ``cells (cell, rep, signature, component)`` with a near signature of another component in their cell."""
+
+    def touch(table: pa.Table) -> pa.Table:
+        table, heads, sizes = _sorted_cells(table)
+        component, signature = table["component"].to_numpy(), _signatures(table)
+        keep = np.zeros(len(component), bool)
+        for h, n in zip(heads.tolist(), sizes.tolist(), strict=True):
+            others, near = _near_others(signature[h : h + n], component[h : h + n], least)
+            keep[h : h + n] = near.any(axis=0)
+            keep[h + others] |= near.any(axis=1)
+        return table.filter(pa.array(keep)).select(["cell", "rep", "signature", "component"])
+
+    return _in_groups(cells, GROUP_ROWS).applyInArrow(touch, "cell bigint, rep bigint, signature binary, component bigint")
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, shingles)`` of the documents with these ids."""
+    ids = materialize(ids.distinct(), "near-ids")
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.join(small, docs["doc_id"] == small["id"], "left_semi").select("doc_id", "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +227,12 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.row, words.n_docs), lists], ["id", "shingles"])
 
-    sets = materialize(chosen.mapInArrow(spell, "id bigint, shingles array<bigint>"), "near-sets")
+    return materialize(chosen.mapInArrow(spell, "id bigint, shingles array<bigint>"), "near-sets")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough."""
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -203,6 +240,41 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return counted.where(100 * F.col("shared") >= percent * F.col("union")).select("a", "b")
 
 
+def _confirmed_across(docs: DataFrame, touched: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components in a cell whose full sets are similar enough.
+
+    A cell gets every set once, however many near pairs it has.
+    """
+    sets = _full_sets(docs, touched.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        table, heads, sizes = _sorted_cells(table)
+        rep, component, signature = table["rep"].to_numpy(), table["component"].to_numpy(), _signatures(table)
+        lists = table["shingles"].combine_chunks()
+        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for h, n in zip(heads.tolist(), sizes.tolist(), strict=True):
+            others, near = _near_others(signature[h : h + n], component[h : h + n], least)
+            if not near.any():
+                continue
+            starts = at[h : h + n + 1] - at[h]
+            names, shingle = np.unique(flat[at[h] : at[h + n]], return_inverse=True)
+            size = np.diff(starts)
+            for i, row in zip(others.tolist(), near, strict=True):
+                if row.any():
+                    own = np.zeros(len(names), bool)
+                    own[shingle[starts[i] : starts[i + 1]]] = True
+                    shared = np.add.reduceat(own[shingle], starts[:-1], dtype=np.int64)
+                    linked = np.flatnonzero(row & (100 * shared >= percent * (size[i] + size - shared)))
+                    left.append(np.full(len(linked), rep[h + i]))
+                    right.append(rep[h + linked])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    rows = touched.join(sets, "rep").select("cell", "rep", "signature", "component", "shingles")
+    return _in_groups(rows, LEAF).applyInArrow(confirm, "a bigint, b bigint").where("a < b").distinct()
+
+
 def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     found = components.select(F.col("node").alias("rep"), F.col("component").alias("found"))
     return rows.join(found, "rep", "left").withColumn("component", F.coalesce("found", "rep")).drop("found")
@@ -279,15 +351,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = materialize(shared.join(classes.select("rep", "signature"), "rep"), "near-roots")
     parted = rows.select(
         F.when(F.col("n") <= LEAF, F.col("cell")).otherwise(F.xxhash64("cell", _part(F.col("rep"), F.col("cell"), _parts(F.col("n"))))).alias("cell"),
-        "rep", "signature", F.col("rep").alias("component"),
+        "rep", "signature",
     )
-    tried = materialize(_compare(parted, least, forest=True), "near-tried")
-    links = materialize(_confirm(named, tried, percent), "near-links")
+    tried = materialize(_proposed(parted, least), "near-tried")
+    links = materialize(_confirmed(named, tried, percent), "near-links")
     components = materialize(connected_components(links.toDF("u", "v")), "near-components")
     cells = materialize(_walk(_with_component(rows.select("cell", "rep", "signature"), components)), "near-leaves")
-    rest = materialize(_compare(cells, least, forest=False).join(tried, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        more = _confirm(named, rest, percent)
+    touched = materialize(_touched(cells, least), "near-touched")
+    more = materialize(_confirmed_across(named, touched, least, percent), "near-more")
+    if not more.isEmpty():
         components = materialize(connected_components(links.unionByName(more).toDF("u", "v")), "near-components")
     # classes that hold one doc_id are one document, and so are rows of a class
     member = known.select(*same, "doc_id").distinct().join(classes.select(*same, "rep"), same)

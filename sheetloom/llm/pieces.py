@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.session import ship_package
+from sheetloom.llm.batches import ready_workers
 
 SPACE = "\u2581"
 CACHED_CUTS = 400_000  # per worker; a full cache is emptied
@@ -382,64 +382,89 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-SLICE = 1 << 22  # characters encoded at once
+SLICE = 1 << 20  # characters encoded at once, ids decoded at once
+
+
+def _encode(own: PieceModel, texts: pa.Array, end: bool) -> tuple[np.ndarray, np.ndarray]:
+    values, sizes = [], [np.zeros(1, np.int64)]
+    part: list[str] = []
+    held = 0
+
+    def flush() -> None:
+        ids, offsets = own.encode_batch(part, end)
+        values.append(ids)
+        sizes.append(np.diff(offsets))
+
+    for value in texts:
+        part.append(value.as_py() or "")
+        held += len(part[-1])
+        if held >= SLICE:
+            flush()
+            part, held = [], 0
+    flush()
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
+
+
+def _decode(own: PieceModel, ids: np.ndarray, at: np.ndarray) -> list[str]:
+    whole: list[str] = []
+    step = 0
+    for k in range(1, len(at)):
+        if at[k] - at[step] >= SLICE or k == len(at) - 1:
+            whole += own.decode_batch(ids[at[step] : at[k]], at[step : k + 1] - at[step])
+            step = k
+    return whole
+
+
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode_column(docs: DataFrame, text: Column, model: bytes, end: bool = True, check: bool = True) -> Column:
     """Token ids of a text as ``array<int>``; a null text counts as empty."""
-    ship_package()
+    ready_workers(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        own = _model(data.value, check)
-        values, sizes = [], [0]
-        part: list[str] = []
-        held = 0
-
-        def flush() -> None:
-            ids, offsets = own.encode_batch(part, end)
-            values.append(ids)
-            sizes.extend(np.diff(offsets).tolist())
-
-        for value in texts:
-            part.append(value.as_py() or "")
-            held += len(part[-1])
-            if held >= SLICE:
-                flush()
-                part, held = [], 0
-        flush()
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(values), pa.int32()))
+        return _lists(*_encode(_model(data.value, check), texts, end))
 
     return encoded(text)
 
 
 def decode_column(docs: DataFrame, ids: Column, model: bytes) -> Column:
     """The text of token ids; null for null."""
-    ship_package()
+    ready_workers(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        own = _model(data.value, True)
-        flat = lists.values.to_numpy(zero_copy_only=False)
-        at = lists.offsets.to_numpy()
-        whole: list[str] = []
-        step = 0
-        for k in range(1, len(at)):
-            if at[k] - at[step] >= SLICE or k == len(at) - 1:
-                whole += own.decode_batch(flat[at[step] : at[k]], at[step : k + 1] - at[step])
-                step = k
+        whole = _decode(_model(data.value, True), lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy())
         return pa.array([None if null else t for t, null in zip(whole, lists.is_null().to_pylist(), strict=True)], pa.string())
 
     return decoded(ids)
 
 
+def coded_column(docs: DataFrame, text: Column, model: bytes, end: bool = True, check: bool = True) -> Column:
+    """``struct<ids, decoded>``: the token ids of a text and the text of those ids, in one pass.
+
+    Chained columns would encode twice, once for the ids and once for their text.
+    """
+    ready_workers(docs.sparkSession)
+    data = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def coded(texts: pa.Array) -> pa.Array:
+        own = _model(data.value, check)
+        ids, at = _encode(own, texts, end)
+        return pa.StructArray.from_arrays([_lists(ids, at), pa.array(_decode(own, ids, at), pa.string())], ["ids", "decoded"])
+
+    return coded(text)
+
+
 def encode_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", check: bool = True) -> DataFrame:
     """Per row: doc_id, ``ids`` (an end id last) and ``decoded``, their text."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = named.select("doc_id", encode_column(docs, F.col("text"), model, check=check).alias("ids"))
-    return coded.withColumn("decoded", decode_column(docs, F.col("ids"), model))
+    return named.select("doc_id", coded_column(docs, F.col("text"), model, check=check).alias("c")).select("doc_id", "c.ids", "c.decoded")
 
 
 def token_report(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.session import ship_package
+from sheetloom.llm.batches import ready_workers
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "ssn", "secret")
@@ -170,9 +170,9 @@ def redact(text: str | None) -> str | None:
     return "".join(out)
 
 
-def spans_column(text: Column) -> Column:
+def spans_column(docs: DataFrame, text: Column) -> Column:
     """All spans of a text as array<struct<kind, start, end, score>>."""
-    ship_package()
+    ready_workers(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     @F.arrow_udf("array<struct<kind:string,start:int,end:int,score:double>>")
@@ -182,8 +182,8 @@ def spans_column(text: Column) -> Column:
     return spans(text)
 
 
-def redacted_column(text: Column) -> Column:
-    ship_package()
+def redacted_column(docs: DataFrame, text: Column) -> Column:
+    ready_workers(docs.sparkSession)
 
     @F.arrow_udf("string")
     def redacted(texts: pa.Array) -> pa.Array:
@@ -194,12 +194,12 @@ def redacted_column(text: Column) -> Column:
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id and ``spans``.  Repeated rows get equal results."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("doc_id", spans_column(F.col("text")).alias("spans"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("doc_id", spans_column(docs, F.col("text")).alias("spans"))
 
 
 def redact_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with found spans replaced in the text; all rows and columns stay."""
-    return docs.withColumn(text, redacted_column(F.col(text)))
+    return docs.withColumn(text, redacted_column(docs, F.col(text)))
 
 
 def pii_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.session import materialize, ship_package
+from sheetloom.llm.batches import ready_workers
+from sheetloom.session import materialize
 
 SCALE = 256
 SHARD = 8192  # vectors of a shard, about
@@ -160,7 +161,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
 
     `is_query` is a condition on ``id``.
     """
-    ship_package()
+    ready_workers(vectors.sparkSession)
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     points = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
     points = points.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & fine).withColumn("dim", F.size("vector"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21  # bytes of text worked on at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # bytes of text worked on at once; a longer text is a chunk of its own
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
