@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm.near_dup import drop_near_duplicates
-from sheetloom.llm.pieces import decode_column, encode_column
+from sheetloom.llm.pieces import coded_column
 from sheetloom.llm.pii import redact_documents
 from sheetloom.llm.quality_rules import filter_documents
 from sheetloom.llm.queries import MIX_SEED, MIX_WEIGHTS, mix_keys, piece_model
@@ -50,10 +50,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with an end id, and whether they decode to the text."""
     model = piece_model()
-    coded = docs.select("doc_id", "text", encode_column(docs, F.col("text"), model).alias("ids"))
-    decoded = coded.withColumn("decoded", decode_column(docs, F.col("ids"), model))
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.coalesce(F.col("decoded") == F.col("text"), F.lit(False)).alias("round_trip")
+    coded = docs.select("doc_id", "text", coded_column(docs, F.col("text"), model).alias("c"))
+    return coded.select(
+        "doc_id", F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", F.coalesce(F.col("c.decoded") == F.col("text"), F.lit(False)).alias("round_trip")
     )
 
 
