@@ -14,6 +14,10 @@ ACCOUNTING_TEXT = r"^\(\s*([\d,]+(?:\.\d+)?)\s*\)$"
 SCIENTIFIC_TEXT = r"^-?\d+(\.\d+)?[eE][+-]?\d+$"
 PLAIN_NUMBER_TEXT = r"^\s*-?\d+(\.\d+)?\s*$"
 
+# Currency words, and what is left out of amounts.
+CURRENCY_WORD = r"(?i)\brs\.?\s*"
+CURRENCY_MARKS = r"(?U)[₹$,\s]"
+
 # The characters that count as white space at the ends of a cell.
 SPACE_CHARACTERS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -97,11 +101,12 @@ def as_identifier_text(df: DataFrame, name: str) -> Column:
 
 
 MARK = "\ufffe"  # a non-character; texts that hold it take the slow way
-RUN_START = r"(?<!\p{L})(?=\p{L})"
+CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
+RUN_START = f"(?<!{CASED})(?={CASED})"
 
 
 def proper_case(c: Column) -> Column:
-    """First letter of every letter run upper, the rest lower.
+    """First letter of every run of cased letters upper, the rest lower.
 
     ``initcap`` starts a word after blanks only, so every run is put after a
     marked blank, which is taken out again.
@@ -118,8 +123,8 @@ def currency_text(c: Column) -> Column:
     s = strip(c)
     inner = F.regexp_extract(s, ACCOUNTING_TEXT, 1)
     signed = F.when(inner != "", F.concat(F.lit("-"), F.replace(inner, F.lit(","), F.lit("")))).otherwise(s)
-    no_word = F.regexp_replace(signed, r"(?i)\brs\.?\s*", "")
-    return F.regexp_replace(no_word, r"(?U)[₹$,\s]", "")
+    no_word = F.regexp_replace(signed, CURRENCY_WORD, "")
+    return F.regexp_replace(no_word, CURRENCY_MARKS, "")
 
 
 def round_half_even(c: Column, digits: int = 2) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import operator
 from typing import Any
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ def mostly_numbers(df: DataFrame, name: str) -> bool:
     return share is not None and share > 0.5
 
 
+def _require_pattern(df: DataFrame, pattern: str) -> None:
+    """A pattern that does not compile is a bad argument, found before any job."""
+    try:
+        df.sparkSession.range(1).select(F.lit("").rlike(f"(?i){pattern}")).collect()
+    except SparkRuntimeException as error:
+        raise ValueError(f"{pattern!r} is not a valid pattern") from error
+
+
 def condition(df: DataFrame, name: str, op: str, value: Any, numeric: bool | None = None) -> Column:
     """A never-null BOOLEAN column for ``name op value``.
 
@@ -43,6 +52,7 @@ def condition(df: DataFrame, name: str, op: str, value: Any, numeric: bool | Non
     if op not in OPERATORS:
         raise ValueError(f"operator {op!r} is not supported; use one of {', '.join(OPERATORS)}")
     if op in ("contains", "not_contains"):
+        _require_pattern(df, str(value))
         found = F.coalesce(as_text(df, name).rlike(f"(?i){value}"), F.lit(False))
         return ~found if op == "not_contains" else found
     on_null = F.lit(op == "!=")

@@ -65,7 +65,7 @@ ERROR_TOKENS = ("#N/A", "#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "#NULL!", "#NUM
 YES_TOKENS = ("yes", "y", "true", "1", "haan", "ha")
 NO_TOKENS = ("no", "n", "false", "0", "nahi", "nahin")
 BLANK_FILLER = "N/A"
-SAMPLE_CELLS = 50
+AMOUNT_TEXT = r"^-?\d+(\.\d+)?$"
 NUMBER_SHARE = 0.6
 DATE_SHARE = 0.5
 YES_NO_SHARE = 0.8
@@ -175,32 +175,33 @@ def standardize_yesno(df: DataFrame, log: ChangeLog | None = None) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def number_like_columns(df: DataFrame) -> list[str]:
-    """Text columns whose first cells look like amounts and whose header is no ID.
+def number_like_columns(df: DataFrame, sample_cells: int | None = None) -> list[str]:
+    """Text columns most of whose filled cells look like amounts and whose header is no ID.
 
-    The first cells of all columns are found in one pass; the row-number limit
-    is applied inside each task before the shuffle.
+    All cells count; `sample_cells` looks at that many of the first ones only.
     """
-    require_row_id(df)
     names = [c for c in text_columns(df) if not any(f in f" {c.lower()} " for f in ID_HEADER_FRAGMENTS)]
     if not names:
         return []
-    cells = df.unpivot([ROW_ID], [col(c) for c in names], "__column", "__cell").where("__cell IS NOT NULL")
-    first = Window.partitionBy("__column").orderBy(ROW_ID)
-    sample = cells.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= SAMPLE_CELLS)
-    like = currency_text(F.col("__cell")).rlike(r"^-?\d+(\.\d+)?$")
-    shares = sample.groupBy("__column").agg(_share(like).alias("s"), F.count("*").alias("n")).collect()
-    chosen = {r["__column"] for r in shares if r["n"] and r["s"] > NUMBER_SHARE}
-    return [c for c in names if c in chosen]
+    if sample_cells is not None:
+        require_row_id(df)
+        cells = df.unpivot([ROW_ID], [col(c) for c in names], "__column", "__cell").where("__cell IS NOT NULL")
+        first = Window.partitionBy("__column").orderBy(ROW_ID)
+        sample = cells.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= sample_cells)
+        like = currency_text(F.col("__cell")).rlike(AMOUNT_TEXT)
+        found = {r["__column"]: r["s"] for r in sample.groupBy("__column").agg(_share(like).alias("s")).collect()}
+    else:
+        found = profile(df, {c: F.avg(F.when(col(c).isNotNull(), currency_text(col(c)).rlike(AMOUNT_TEXT).cast("double"))) for c in names})
+    return [c for c in names if (found.get(c) or 0) > NUMBER_SHARE]
 
 
 def clean_currency(
-    df: DataFrame, log: ChangeLog | None = None, columns: list[str] | None = None
+    df: DataFrame, log: ChangeLog | None = None, columns: list[str] | None = None, sample_cells: int | None = None
 ) -> DataFrame:
     """Amounts written as text become numbers, if most of the column parses."""
     if columns is not None:
         require_columns(df, *columns)
-    names = number_like_columns(df) if columns is None else [c for c in columns if is_text(df, c)]
+    names = number_like_columns(df, sample_cells) if columns is None else [c for c in columns if is_text(df, c)]
     numbers = {c: text_to_number(currency_text(col(c))) for c in names}
     shares = profile(df, {c: _share(n.isNotNull()) for c, n in numbers.items()})
     return rewrite(df, {c: numbers[c] for c in names if (shares[c] or 0) > NUMBER_SHARE}, log)

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sheetloom.rows import col, field_type, require_columns
 
-from sheetloom.rows import col, require_columns
 
+def window_start(df: DataFrame, ts: str, seconds: int) -> Column:
+    """Start of the fixed window, in seconds since the epoch.
 
-def window_start(ts: Column, seconds: int) -> Column:
-    """Start of the fixed window, in seconds since the epoch."""
-    epoch = F.unix_micros(ts.cast("timestamp"))
+    A timestamp without a zone counts from the epoch's own wall clock, whatever the session's zone.
+    """
+    if isinstance(field_type(df, ts), T.TimestampNTZType):
+        epoch = F.timestamp_diff("MICROSECOND", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"), col(ts))
+    else:
+        epoch = F.unix_micros(col(ts).cast("timestamp"))
     return (F.floor(epoch / F.lit(1_000_000 * seconds)) * seconds).cast("long")
 
 
 def _window(df: DataFrame, ts: str, seconds: int) -> DataFrame:
-    return df.withColumn("window_start", window_start(col(ts), seconds))
+    return df.withColumn("window_start", window_start(df, ts, seconds))
 
 
 def admitted(

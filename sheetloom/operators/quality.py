@@ -14,7 +14,6 @@ from sheetloom.operators.missing import report_aggregates, report_lines
 from sheetloom.rows import col, data_columns, is_numeric, text_columns
 
 # Checks, caps and grades of the score.
-MAX_NUMERIC_COLUMNS = 30
 MIXED_MIN_CELLS = 5
 MIXED_LOW, MIXED_HIGH = 0.15, 0.85
 GRADES = ((90, "A"), (75, "B"), (60, "C"), (40, "D"))
@@ -96,8 +95,11 @@ class QualityReport:
         return self.to_frame(spark).select(F.inline("issues"))
 
 
-def quality_report(df: DataFrame, max_numeric_columns: int = MAX_NUMERIC_COLUMNS) -> QualityReport:
-    """Score a table from its blanks, exact duplicates, outliers and mixed columns."""
+def quality_report(df: DataFrame, max_numeric_columns: int | None = None) -> QualityReport:
+    """Score a table from its blanks, exact duplicates, outliers and mixed columns.
+
+    Outliers are looked for in all numeric columns, or in the first `max_numeric_columns`.
+    """
     names = data_columns(df)
     found = (
         df.agg(*report_aggregates(df), *_mixed_aggregates(df))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetloom.operators.fixes import apply_fix
@@ -34,7 +35,6 @@ ACTION_LABELS = {
     "hlookup": "HLOOKUP",
 }
 LOOKUP_ACTIONS = ("vlookup", "index_match", "hlookup")
-MAX_LOGGED_STEPS = 50
 
 
 @dataclass
@@ -92,8 +92,9 @@ LOOKUP_STEPS: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {
 def apply_recipe(df: DataFrame, steps: list[dict[str, Any]], lookup_df: DataFrame | None = None) -> Replay:
     """Run the steps in order; a step that fails is skipped with its reason.
 
-    Errors are found while the plan is built (missing columns, bad arguments,
-    unresolved expressions), so skipping needs no job of its own.
+    A step is skipped for what is wrong with it: missing columns or parameters,
+    bad arguments, expressions that do not resolve.  A job that fails, as some
+    steps profile the table first, ends the replay.
     """
     replay = Replay(df)
     for i, step in enumerate(steps, start=1):
@@ -109,7 +110,7 @@ def apply_recipe(df: DataFrame, steps: list[dict[str, Any]], lookup_df: DataFram
                 replay.df = STEPS[action](replay.df, params)
             else:
                 raise ValueError("this action cannot be replayed")
-        except Exception as error:  # noqa: BLE001 - one bad step must not stop the rest
+        except (ValueError, KeyError, TypeError, AnalysisException) as error:
             replay.skipped.append({**entry, "reason": _reason(error)})
         else:
             replay.applied.append(entry)
@@ -121,15 +122,18 @@ def _reason(error: Exception) -> str:
 
 
 class StepLog:
-    """The newest replayable steps of a session; row-position edits are left out."""
+    """The replayable steps of a session, all of them or the newest `limit`; row-position edits are left out."""
 
-    def __init__(self, steps: list[dict] | None = None) -> None:
+    def __init__(self, steps: list[dict] | None = None, limit: int | None = None) -> None:
         self.steps = list(steps or [])
+        self.limit = limit
 
     def record(self, action: str, params: dict) -> None:
         if action not in ACTION_LABELS:
             return
-        self.steps = [*self.steps, {"action": action, "params": params}][-MAX_LOGGED_STEPS:]
+        self.steps = [*self.steps, {"action": action, "params": params}]
+        if self.limit is not None:
+            self.steps = self.steps[max(0, len(self.steps) - self.limit) :]
 
 
 def labelled(steps: list[dict]) -> list[dict]:

@@ -17,8 +17,6 @@ from sheetloom.session import scratch_path
 from sheetloom.sources.files import delete, exists, list_entries
 from sheetloom.sources.workbook import SheetNotFound
 
-MAX_VERSIONS = 15
-
 
 class SessionNotFound(KeyError):
     """No session in that folder."""
@@ -37,6 +35,10 @@ class NoLookupTable(LookupError):
 
 
 class SheetSession:
+    """``retention``: how many versions undo and redo go back at most; all, if None."""
+
+    retention: int | None = None
+
     def __init__(self, spark: SparkSession, root: str, state: dict) -> None:
         self.spark = spark
         self.root = root
@@ -122,7 +124,10 @@ class SheetSession:
         return self.working
 
     def _push(self, stack: str) -> None:
-        self._state[stack] = [*self._state[stack], self._state["working"]][-MAX_VERSIONS:]
+        kept = [*self._state[stack], self._state["working"]]
+        if self.retention is not None:
+            kept = kept[max(0, len(kept) - self.retention) :]
+        self._state[stack] = kept
 
     def undo(self) -> DataFrame:
         if not self._state["undo"]:

@@ -19,6 +19,7 @@ from sheetloom.session import shuffle_partitions
 ROW_ID = "_row_id"
 BUCKET = "__bucket"
 MAX_BUCKETS = 20_000
+ROWS_PER_BUCKET = 1_000_000
 SAMPLE_PER_BUCKET = 200
 
 
@@ -96,6 +97,11 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, 4 * shuffle_partitions(df.sparkSession)))
 
 
+def buckets_for(df: DataFrame, rows: int) -> int:
+    """At least :func:`bucket_count`, more where a bucket would hold over ``ROWS_PER_BUCKET`` rows."""
+    return max(bucket_count(df), min(MAX_BUCKETS, rows // ROWS_PER_BUCKET + 1))
+
+
 def bucket_bounds(df: DataFrame, value: Column, buckets: int | None = None) -> tuple[int, list[float]]:
     """(non-null count, ascending distinct cut points).
 
@@ -103,9 +109,9 @@ def bucket_bounds(df: DataFrame, value: Column, buckets: int | None = None) -> t
     the buckets are, never the result, and a sketch of every row would be a
     heavy thing to merge from very many tasks.
     """
-    n = buckets or bucket_count(df)
     source = df.select(value.cast("double").alias("v"))
     count = source.agg(F.count("v")).first()[0]
+    n = buckets or buckets_for(df, count)
     share = SAMPLE_PER_BUCKET * n / max(count, 1)
     if share < 1:
         source = source.where("v IS NOT NULL").sample(fraction=share, seed=17)

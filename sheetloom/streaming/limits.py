@@ -28,8 +28,8 @@ def admit_stream(
     state of a key and window is one counter; it is dropped once the watermark
     has passed the window, and events later than that are ignored.
     """
-    source = events.withColumn(ts, col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    source = source.withColumn("window_start", window_start(col(ts), window_seconds))
+    source = events.withColumn("window_start", window_start(events, ts, window_seconds))
+    source = source.withColumn(ts, col(ts).cast("timestamp")).withWatermark(ts, lateness)
     schema = T.StructType([*source.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def count(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

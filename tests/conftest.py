@@ -36,10 +36,10 @@ def sheet(spark):
 @pytest.fixture(scope="session")
 def messy(sheet):
     return sheet(
-        "Name string, Age long, City string",
+        "Tool string, Weight long, Shelf string",
         [
-            ("Ravi Kumar", 25, "Mumbai"), ("ravi  kumar", 25, "mumbai"), ("Amit", 30, "Pune"), (None, 40, "Delhi"),
-            ("Sunita", None, "Pune"), ("Amit", 30, "Pune"), ("", 22, "Delhi"), ("Priya", 9999, "Delhi"),
+            ("Hammer", 5, "A1"), (" hammer", 5, "a1"), ("Saw", None, "B2"), ("Torque wrench", 12, "C3"), (None, 7, None),
+            ("Saw", None, "B2"), ("Level", 3, "   "), ("Clamp", 70, "K9"), ("Vice", 71, "D4"), ("Hammer", 5, "A1"),
         ],
     )
 
@@ -47,8 +47,8 @@ def messy(sheet):
 @pytest.fixture(scope="session")
 def sales(sheet):
     return sheet(
-        "Region string, Product string, Sales long",
-        [("North", "A", 100), ("South", "A", 200), ("North", "B", 150), ("South", "B", 250)],
+        "Port string, Cargo string, Tons long",
+        [("Bergen", "ore", 7), ("Aden", "oil", 31), ("Bergen", "oil", 12), ("Aden", "ore", 4), ("Aden", "oil", 9)],
     )
 
 

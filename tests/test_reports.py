@@ -90,10 +90,10 @@ def test_quality(sheet, messy):
     report = quality.quality_report(messy)
     assert report.score < 100
     assert {i["type"] for i in report.issues} >= {"missing_values", "duplicate_rows"}
-    assert report.duplicate_rows == 1 and report.total_missing_cells == 3
-    # 3 of 24 cells: 12.5 % -> 18.75; 1 of 8 rows: 12.5 % -> 25
-    assert report.score == round(100 - 18.75 - 25)
-    assert report.as_dict()["missing_by_column"][0]["column"] == "Name"
+    assert report.duplicate_rows == 2 and report.total_missing_cells == 5
+    # 5 of 30 cells: 16.7 % -> 25.05; 2 of 10 rows: 20 % -> 25
+    assert report.score == round(100 - 25.05 - 25)
+    assert report.as_dict()["missing_by_column"][0]["column"] == "Weight"
 
 
 def test_quality_mixed_and_anomalies(sheet, spark):
