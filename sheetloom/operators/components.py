@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sheetloom.session import materialize
 
+EDGES_PER_FILE = 100_000
+LEAST_FILES = 6
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least node around it."""
@@ -24,8 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a written table, with a fingerprint taken while writing."""
+def _written(edges: DataFrame, known: int | None = None) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with a fingerprint taken while writing.
+
+    ``known`` is the number of edges of the round before; few edges go to few files.
+    """
+    if known is not None:
+        edges = edges.coalesce(max(LEAST_FILES, known // EDGES_PER_FILE + 1))
     seen = Observation()
     digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("h")), "edges")
@@ -47,7 +55,7 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
     current, before = _written(edges.select("u", "v").where("u <> v").distinct())
     done = 0
     while before[0] and (max_rounds is None or done < max_rounds):
-        current, after = _written(_small_star(_large_star(current)))
+        current, after = _written(_small_star(_large_star(current)), before[0])
         done += 1
         if after == before:
             break
