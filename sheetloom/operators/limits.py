@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +14,12 @@ def window_start(df: DataFrame, ts: str, seconds: int) -> Column:
 
     A timestamp without a zone counts from the epoch's own wall clock, whatever the session's zone.
     """
+    at = col(ts)
     if isinstance(field_type(df, ts), T.TimestampNTZType):
-        epoch = F.timestamp_diff("MICROSECOND", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"), col(ts))
+        whole = F.unix_date(at.cast("date")).cast("long") * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60 + F.second(at)
     else:
-        epoch = F.unix_micros(col(ts).cast("timestamp"))
-    return (F.floor(epoch / F.lit(1_000_000 * seconds)) * seconds).cast("long")
+        whole = F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(1_000_000))
+    return (F.floor(whole / F.lit(seconds)) * seconds).cast("long")
 
 
 def _window(df: DataFrame, ts: str, seconds: int) -> DataFrame:
