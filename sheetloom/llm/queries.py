@@ -12,7 +12,7 @@ from sheetloom.llm.license_scan import license_report
 from sheetloom.llm.near_dup import near_duplicates
 from sheetloom.llm.pieces import read_model, token_report
 from sheetloom.llm.pii import pii_report
-from sheetloom.llm.quality_rules import quality_report
+from sheetloom.llm.quality_rules import RULES, STOP_WORDS, quality_report
 from sheetloom.llm.source_mix import mix_report
 from sheetloom.llm.substring_dedup import remove_repeats
 from sheetloom.llm.vector_search import top_k
@@ -111,6 +111,45 @@ FROM w LEFT JOIN lists USING (doc_id)
 """
 
 
+_RATIOS = {
+    "n_words": "n_words",
+    "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
+    "mean_word_length": "word_chars / greatest(n_words, 1)",
+    "symbol_ratio": "n_symbols / greatest(n_words, 1)",
+    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    "alpha_ratio": "n_letters / greatest(word_chars, 1)",
+    "upper_ratio": "n_upper / greatest(n_letters, 1)",
+    "stop_ratio": "n_stop / greatest(n_words, 1)",
+}
+_BROKEN = " OR ".join(
+    f"(n_words >= {r.min_words} AND ({_RATIOS[r.metric]}) {sign} {limit})"
+    for r in RULES
+    for sign, limit in (("<", r.low), (">", r.high))
+    if limit is not None
+)
+
+OP7_SQL = f"""
+WITH w AS (
+  SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+         list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(words[p + 1 : p + 8], ' ') AS content
+  FROM (SELECT doc_id, words, unnest(range(0, len(words) - 7)) AS p FROM w WHERE len(words) >= 8)),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, COUNT(*) OVER (PARTITION BY doc_id, content) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, COUNT(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS i FROM twice) GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, COALESCE(n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(words, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop,
+         length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper
+  FROM w LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_BROKEN}) AS kept FROM judged
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_table(spark, sf_dir, "documents")).drop("n_detections")
 
@@ -185,7 +224,7 @@ QUERIES: dict[str, Query] = {
     "op10_source_mix": Query(op10_source_mix, OP10_SQL),
     "op5_top_k": Query(op5_top_k, OP5_SQL),
     "op6_language_id": Query(op6_language_id),
-    "op7_quality_rules": Query(op7_quality_rules),
+    "op7_quality_rules": Query(op7_quality_rules, OP7_SQL),
     "op8_substring_dedup": Query(op8_substring_dedup, OP8_SQL),
     "op9_license_scan": Query(op9_license_scan),
 }
