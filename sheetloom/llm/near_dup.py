@@ -45,6 +45,8 @@ SIGNATURE = 128
 MAX_DEPTH = 6
 GROUP_ROWS = 4096
 LEAST_GROUPS = 64
+DOCS_PER_FILE = 20_000
+LEAST_FILES = 6
 BROADCAST_IDS = 1_000_000  # ids of checked documents that are broadcast at most (8 MB); beyond it, a shuffle join
 
 _SEEDS = np.arange(1, 1000, dtype=np.uint64)
@@ -52,6 +54,11 @@ _BYTE_FACTORS = (mix(_SEEDS[:SIGNATURE] * np.uint64(0x51ED2701)) >> np.uint64(32
 _TREE_FACTORS = mix(_SEEDS[:TREES] * np.uint64(0x2545F491)) | np.uint64(1)
 
 
+def _saved(df: DataFrame, label: str, n_docs: int) -> DataFrame:
+    """A written table in files of the results for about `DOCS_PER_FILE` documents; many tiny files cost more than their rows."""
+    return materialize(df.coalesce(max(LEAST_FILES, math.ceil(n_docs / DOCS_PER_FILE))), label)
+
+
 def least_matches(percent: int) -> int:
     """Equal signature bytes below which a pair of that similarity is 4 standard deviations off."""
     p = percent / 100
@@ -214,9 +221,9 @@ def _touched(cells: DataFrame, least: int) -> DataFrame:
     return _in_groups(cells, GROUP_ROWS).applyInArrow(touch, "cell bigint, rep bigint, signature binary, component bigint")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, ids: DataFrame, n_docs: int) -> DataFrame:
     """``(id, shingles)`` of the documents with these ids."""
-    ids = materialize(ids.distinct(), "near-ids")
+    ids = _saved(ids.distinct(), "near-ids", n_docs)
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.join(small, docs["doc_id"] == small["id"], "left_semi").select("doc_id", "text")
 
@@ -230,9 +237,9 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(chosen.mapInArrow(spell, "id bigint, shingles array<bigint>"), "near-sets")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, n_docs: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
-    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n_docs)
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -240,12 +247,12 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return counted.where(100 * F.col("shared") >= percent * F.col("union")).select("a", "b")
 
 
-def _confirmed_across(docs: DataFrame, touched: DataFrame, least: int, percent: int) -> DataFrame:
+def _confirmed_across(docs: DataFrame, touched: DataFrame, least: int, percent: int, n_docs: int) -> DataFrame:
     """Pairs ``(a, b)`` of different components in a cell whose full sets are similar enough.
 
     A cell gets every set once, however many near pairs it has.
     """
-    sets = _full_sets(docs, touched.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    sets = _full_sets(docs, touched.select(F.col("rep").alias("id")), n_docs).withColumnRenamed("id", "rep")
 
     def confirm(table: pa.Table) -> pa.Table:
         table, heads, sizes = _sorted_cells(table)
@@ -310,7 +317,7 @@ def _branched(rows: DataFrame) -> DataFrame:
     return picked.select(F.xxhash64("cell", "pick", value).alias("cell"), "rep", "signature", "component")
 
 
-def _walk(rows: DataFrame) -> DataFrame:
+def _walk(rows: DataFrame, n_docs: int) -> DataFrame:
     """The cells to be compared across components, from the roots down."""
     cells = []
     for depth in range(MAX_DEPTH + 1):
@@ -321,7 +328,7 @@ def _walk(rows: DataFrame) -> DataFrame:
         mixed = sizes.where("components > 1").select(
             "cell", "n", F.col("main.component").alias("main"), (F.col("n") - F.col("main.n")).alias("n_other")
         )
-        sized = materialize(rows.join(mixed, "cell"), "near-cells")
+        sized = _saved(rows.join(mixed, "cell"), "near-cells", n_docs)
         cells.append(sized.where(F.col("n") <= LEAF).select("cell", "rep", "signature", "component"))
         large = sized.where(F.col("n") > LEAF)
         few = F.lit(True) if depth == MAX_DEPTH else F.col("n_other") <= LEAF
@@ -339,28 +346,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row: doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether that is the row's own)."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = materialize(document_sets(named), "near-documents")
+    n_docs = sets.count()
     least = least_matches(percent)
     same = ["set_a", "set_b", "n_shingles"]
     known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(
-        known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "near-classes"
-    )
+    classes = _saved(
+        known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "near-classes", n_docs)
     roots = classes.select("rep", F.explode("keys").alias("cell"))
     sizes = roots.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = roots.join(sizes, "cell")
-    rows = materialize(shared.join(classes.select("rep", "signature"), "rep"), "near-roots")
+    rows = _saved(shared.join(classes.select("rep", "signature"), "rep"), "near-roots", n_docs)
     parted = rows.select(
         F.when(F.col("n") <= LEAF, F.col("cell")).otherwise(F.xxhash64("cell", _part(F.col("rep"), F.col("cell"), _parts(F.col("n"))))).alias("cell"),
         "rep", "signature",
     )
-    tried = materialize(_proposed(parted, least), "near-tried")
-    links = materialize(_confirmed(named, tried, percent), "near-links")
-    components = materialize(connected_components(links.toDF("u", "v")), "near-components")
-    cells = materialize(_walk(_with_component(rows.select("cell", "rep", "signature"), components)), "near-leaves")
-    touched = materialize(_touched(cells, least), "near-touched")
-    more = materialize(_confirmed_across(named, touched, least, percent), "near-more")
+    tried = _saved(_proposed(parted, least), "near-tried", n_docs)
+    links = _saved(_confirmed(named, tried, percent, n_docs), "near-links", n_docs)
+    components = _saved(connected_components(links.toDF("u", "v")), "near-components", n_docs)
+    cells = _saved(_walk(_with_component(rows.select("cell", "rep", "signature"), components), n_docs), "near-leaves", n_docs)
+    touched = _saved(_touched(cells, least), "near-touched", n_docs)
+    more = _saved(_confirmed_across(named, touched, least, percent, n_docs), "near-more", n_docs)
     if not more.isEmpty():
-        components = materialize(connected_components(links.unionByName(more).toDF("u", "v")), "near-components")
+        components = _saved(connected_components(links.unionByName(more).toDF("u", "v")), "near-components", n_docs)
     # classes that hold one doc_id are one document, and so are rows of a class
     member = known.select(*same, "doc_id").distinct().join(classes.select(*same, "rep"), same)
     of_id = _with_component(member.select("doc_id", "rep"), components)
