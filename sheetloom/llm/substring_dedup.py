@@ -43,6 +43,7 @@ BUCKET_CHARS = 4_000_000  # characters of text for each bucket
 LEAST_BUCKETS = 64
 SAMPLE_DOCS = 4_000
 CHUNK = 1 << 21  # bytes of text within which windows are compared first
+FLUSH = 24_000_000  # bytes of strings that a task holds before it compresses them by bucket
 LATE = np.uint64(1 << 63)
 
 BLOB = "bucket int, texts binary, sizes binary, docs binary"
@@ -102,54 +103,80 @@ def _minimisers(words: Words, n: int, heavy: np.ndarray) -> np.ndarray:
     return least[:n]
 
 
-def _pack(words: Words, doc_id: np.ndarray, key: np.ndarray, buckets: int, heavy: np.ndarray) -> list[tuple]:
-    """Rows of `BLOB`: super-k-mers by bucket, and the windows settled within the chunk."""
-    import zstandard
+class _Buckets:
+    """Super-k-mers and settled runs of a task by bucket; they leave compressed, `FLUSH` bytes at a time."""
 
-    pack = zstandard.ZstdCompressor(level=3).compress
-    h, inside = words.windows(WINDOW)
-    h2, _ = words.windows(WINDOW, seed=1)
-    place = np.flatnonzero(inside)
-    if not len(place):
-        return []
-    doc = doc_id[words.doc[place]]
-    settled = _later(h[place], h2[place], doc)
-    rows = []
-    if settled.any():
-        at = place[settled]
-        own = words.doc[at]
-        runs = _runs(doc[settled], key[own], (at - words.first[own]).astype(np.int64))
-        # settled runs go along, dealt evenly behind the buckets
-        rows.append((buckets + int(h[place[0]] % np.uint64(buckets)), b"", b"", pack(runs.tobytes())))
-    least = _minimisers(words, len(h), heavy)
-    at = place[~settled]
-    if not len(at):
-        return rows
-    rank = least[at]
-    alone = rank >= LATE
-    rank = np.where(alone, h[at], rank)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1]) | alone[1:] | (words.doc[at[1:]] != words.doc[at[:-1]])
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(at)) - 1
-    bucket = (rank[heads] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    heads, tails, bucket = heads[order], tails[order], bucket[order]
-    first, last = at[heads], at[tails] + WINDOW - 1
-    begin, end = words.starts[first], words.ends[last]
-    own = words.doc[first]
-    entries = np.empty(len(heads), _ROW)
-    entries["doc"], entries["key"], entries["at"], entries["n"] = doc_id[own], key[own], first - words.first[own], 0
-    flat = words.data.tobytes()
-    strings = [flat[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-        fields = entries[a:b]
-        packed = b"".join(fields[c].tobytes() for c in ("doc", "key", "at"))
-        rows.append(
-            (int(bucket[a]), pack(b"".join(strings[a:b])), pack((end[a:b] - begin[a:b]).astype("<i4").tobytes()), pack(packed))
-        )
-    return rows
+    def __init__(self, buckets: int, heavy: np.ndarray):
+        self.buckets, self.heavy = buckets, heavy
+        self.clear()
+
+    def clear(self) -> None:
+        self.strings: dict[int, list[bytes]] = {}
+        self.sizes: dict[int, list[np.ndarray]] = {}
+        self.rows: dict[int, list[np.ndarray]] = {}
+        self.held = 0
+
+    def add(self, words: Words, doc_id: np.ndarray, key: np.ndarray) -> None:
+        h, inside = words.windows(WINDOW)
+        h2, _ = words.windows(WINDOW, seed=1)
+        place = np.flatnonzero(inside)
+        if not len(place):
+            return
+        doc = doc_id[words.doc[place]]
+        settled = _later(h[place], h2[place], doc)
+        if settled.any():
+            at = place[settled]
+            own = words.doc[at]
+            runs = _runs(doc[settled], key[own], (at - words.first[own]).astype(np.int64))
+            # settled runs go along, dealt evenly behind the buckets
+            self.rows.setdefault(self.buckets + int(h[place[0]] % np.uint64(self.buckets)), []).append(runs)
+        least = _minimisers(words, len(h), self.heavy)
+        at = place[~settled]
+        if not len(at):
+            return
+        rank = least[at]
+        alone = rank >= LATE
+        rank = np.where(alone, h[at], rank)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1]) | alone[1:] | (words.doc[at[1:]] != words.doc[at[:-1]])
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(at)) - 1
+        bucket = (rank[heads] % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        heads, tails, bucket = heads[order], tails[order], bucket[order]
+        first, last = at[heads], at[tails] + WINDOW - 1
+        begin, end = words.starts[first], words.ends[last]
+        own = words.doc[first]
+        entries = np.empty(len(heads), _ROW)
+        entries["doc"], entries["key"], entries["at"], entries["n"] = doc_id[own], key[own], first - words.first[own], 0
+        flat, sizes = words.data.tobytes(), (end - begin).astype("<i4")
+        strings = [flat[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+            k = int(bucket[a])
+            self.strings.setdefault(k, []).append(b"".join(strings[a:b]))
+            self.sizes.setdefault(k, []).append(sizes[a:b])
+            self.rows.setdefault(k, []).append(entries[a:b])
+        self.held += int(sizes.sum())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """Rows of `BLOB`."""
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        out = []
+        for k, parts in sorted(self.rows.items()):
+            rows = np.concatenate(parts)
+            if k >= self.buckets:
+                out.append((k, b"", b"", pack(rows.tobytes())))
+            else:
+                fields = b"".join(rows[c].tobytes() for c in ("doc", "key", "at"))
+                out.append((k, pack(b"".join(self.strings[k])), pack(np.concatenate(self.sizes[k]).tobytes()), pack(fields)))
+        self.clear()
+        if out:
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "texts", "sizes", "docs"])
 
 
 def _settle(bucket: int, table: pa.Table, buckets: int) -> np.ndarray:
@@ -209,17 +236,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(docs, n_docs, buckets))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Buckets(buckets, heavy.value)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for words in text_words(batch.column(2), chunk=CHUNK):
                 part = slice(words.row, words.row + words.n_docs)
-                rows = _pack(words, ids[part], keys[part], buckets, heavy.value)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)],
-                        ["bucket", "texts", "sizes", "docs"],
-                    )
+                held.add(words, ids[part], keys[part])
+                if held.held >= FLUSH:
+                    yield from held.flush()
+        yield from held.flush()
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         runs = _settle(key[0].as_py(), table, buckets)
