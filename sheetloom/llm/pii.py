@@ -30,7 +30,8 @@ DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")  # tried only where a n
 SPACED = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{16,512})")
 
@@ -107,8 +108,30 @@ def _phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in PHONE.finditer(text) if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15]
 
 
+def _iban_end(text: str, start: int) -> int:
+    """The last word end at which the account number that starts here has fitting check digits, else -1."""
+    rest = IBAN_REST.match(text, start + 4)
+    end = rest.end() if rest else start
+    if text[end : end + 1].isascii() and text[end : end + 1].isalnum():  # beyond the longest number: back to a word's end
+        end = text.rfind(" ", start, end)
+    while end > start:
+        number = text[start:end].replace(" ", "")
+        if len(number) < 15:
+            break
+        if mod97(number):
+            return end
+        end = text.rfind(" ", start, end)  # what follows the number may be words in capitals
+    return -1
+
+
 def _ibans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+    out, m = [], IBAN.search(text)
+    while m:
+        end = _iban_end(text, m.start())
+        if end >= 0:
+            out.append((m.start(), end))
+        m = IBAN.search(text, max(end, m.end()))
+    return out
 
 
 def _ssns(text: str) -> list[tuple[int, int]]:

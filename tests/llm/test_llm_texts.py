@@ -106,6 +106,18 @@ def test_more_kinds_need_a_checksum_or_context():
     assert kinds('token = "24be64439e3e49cf46b2d7c90f3602a3"') == ["secret"] and kinds("x = 24be64439e3e49cf46b2d7c90f3602a3") == []
 
 
+def test_an_iban_ends_where_its_check_digits_fit():
+    ibans = lambda text: [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"]
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO9386011117947"
+    for after in ("", " BIC DEUTDEFF", " 2024", " A", ", BIC", " and", " " + "X" * 40, " 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"):
+        for number in (gb, de, no):
+            assert ibans(f"IBAN {number}{after}") == [number], (number, after)
+    assert ibans(f"AB12 CODE {gb} {de} {no}") == [gb, de, no]
+    assert ibans("GB82 WEST 1234 5698 7654 33 BIC DEUTDEFF") == [] and ibans(f"{de}X") == [] and ibans(f"X{de}") == []
+    assert pii.redact(f"IBAN {gb} BIC DEUTDEFF") == "IBAN [IBAN] BIC DEUTDEFF"
+    pii.find_spans("AB12 " * 200_000)
+
+
 def test_pii_over_a_table(spark, docs, none):
     rows = spark.createDataFrame([(1, "é a@b.co"), (2, None), (2, None)], "doc_id long, text string")
     found = sorted(pii.pii_report(rows).collect(), key=lambda r: r["doc_id"])
