@@ -21,7 +21,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "ssn", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 MIN_SCORE = 0.5
-CONTEXT = 40  # characters before a span in which context words count
+CONTEXT = 40  # characters on either side of a span in which context words count
 
 # The base patterns' parts.
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -33,7 +33,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{16,512})")
+ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{16,})")
 
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "secret": 0.2}
 CONTEXT_WORDS = {
@@ -152,9 +152,9 @@ _A_DIGIT = re.compile("[0-9]").search
 _ASSIGNS = re.compile("[=:]").search
 
 
-def score(text: str, kind: str, start: int) -> float:
-    near = text[max(0, start - CONTEXT) : start].lower()
-    return min(1.0, SCORES[kind] + CONTEXT_BONUS * any(word in near for word in CONTEXT_WORDS[kind]))
+def score(text: str, kind: str, start: int, end: int) -> float:
+    before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
+    return min(1.0, SCORES[kind] + CONTEXT_BONUS * any(word in before or word in after for word in CONTEXT_WORDS[kind]))
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -170,7 +170,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
             kinds.append("phone")
         if _ASSIGNS(text):
             kinds.append("secret")
-    out = [(kind, a, b, score(text, kind, a)) for kind in kinds for a, b in FINDERS[kind](text)]
+    out = [(kind, a, b, score(text, kind, a, b)) for kind in kinds for a, b in FINDERS[kind](text)]
     return sorted((s for s in out if s[0] in BASE_KINDS or s[3] >= MIN_SCORE), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

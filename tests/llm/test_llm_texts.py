@@ -118,6 +118,18 @@ def test_an_iban_ends_where_its_check_digits_fit():
     pii.find_spans("AB12 " * 200_000)
 
 
+def test_secrets_are_whole_and_context_may_follow():
+    for n in (16, 512, 513, 900, 100_000):
+        value = ("aB3dE5gH" * (n // 8 + 1))[:n]
+        assert pii.redact(f'token = "{value}"; end') == 'token = "[SECRET]"; end'
+    kinds = lambda text: [s[0] for s in pii.find_spans(text)]
+    assert kinds("123-45-6789 (SSN)") == ["ssn"] and kinds("123-45-6789" + " " * 40 + "SSN") == []
+    assert kinds("x = 24be64439e3e49cf46b2d7c90f3602a3 (the API key)") == ["secret"]
+    assert kinds("so 123-45-6789 cial") == []  # the sides are not read as one
+    for text in ("=" * 1_000_000, "=a" * 500_000, ": a1b2c3d4" * 100_000):
+        pii.find_spans(text)
+
+
 def test_pii_over_a_table(spark, docs, none):
     rows = spark.createDataFrame([(1, "é a@b.co"), (2, None), (2, None)], "doc_id long, text string")
     found = sorted(pii.pii_report(rows).collect(), key=lambda r: r["doc_id"])
