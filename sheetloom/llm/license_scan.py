@@ -33,8 +33,8 @@ BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general publi
 
 # Hand-written names of license families: label, keyword, ways of naming it.
 FAMILIES = {
-    "mit": ("mit", ("mit", "x11", "expat")),
-    "apache": ("apache", ("apache", "apache software", "asl 2 0", "apache 2 0")),
+    "mit": ("mit|x11|expat", ("mit", "x11", "expat")),
+    "apache": ("apache|asl", ("apache", "apache software", "asl 2 0", "apache 2 0")),
     "gpl": ("gpl|gnu", ("gpl", "gnu gpl", "gplv2", "gplv3", "gnu general public", "gpl 2 0", "gpl 3 0")),
     "lgpl": ("lgpl|lesser|library", ("lgpl", "gnu lgpl", "lgplv2 1", "lgplv3", "gnu lesser general public", "gnu library general public", "lesser general public")),
     "agpl": ("agpl|affero", ("agpl", "gnu agpl", "agplv3", "gnu affero general public", "affero general public")),
@@ -81,7 +81,7 @@ CITATIONS = (
 SENTENCES = (
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
-    ("apache", "apache", "you may not use this file except in compliance with the license"),
+    ("apache", "compliance", "you may not use this file except in compliance with the license"),
     ("apache", "apache org", "apache org licenses license 2 0"),
     ("gpl", "free software", "this program is free software you can redistribute it and or modify"),
     ("gpl", "gnu org", "gnu org licenses gpl(?: [0-9] [0-9])?"),
@@ -104,7 +104,7 @@ SENTENCES = (
 @dataclass(frozen=True)
 class Signature:
     label: str
-    keyword: str  # alternatives split by |
+    keyword: str  # alternatives split by |, of which every match of the pattern holds one
     pattern: str
     priority: int
     score: float

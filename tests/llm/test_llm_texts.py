@@ -1,6 +1,7 @@
 """Row-wise operators: quality rules, PII, SentencePiece, license scans, language identification."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -222,6 +223,48 @@ def test_contained_detections_are_suppressed(spark):
     assert len(license_scan.signatures()) > 200
 
 
+def _shortest(parsed):
+    """What matches of a parsed pattern look like that take every branch, and as little as they can of what repeats."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "IN":
+            own = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg]
+        elif name == "NOT_LITERAL":
+            own = ["~"]
+        elif name == "BRANCH":
+            own = [x for part in arg[1] for x in _shortest(part)]
+        elif name == "MAX_REPEAT":
+            own = ["".join(c) for c in itertools.product(_shortest(arg[2]), repeat=arg[0])]
+        else:
+            assert name == "SUBPATTERN", name
+            own = _shortest(arg[-1])
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_every_license_rule_implies_its_keyword_and_the_gate():
+    for rule in license_scan.signatures():
+        found = _shortest(re._parser.parse(rule.pattern))
+        assert found
+        for text in found:
+            assert re.fullmatch(rule.pattern, text), (rule, text)
+            assert any(k in text for k in rule.keyword.split("|")), (rule, text)
+            assert any(k in text for k in license_scan.GATE), (rule, text)
+
+
+def test_license_names_need_no_other_word_beside_them(spark):
+    texts = {
+        "Licensed under the Expat License": "mit", "X11 license": "mit", "ASL 2.0 license": "apache",
+        "You may not use this file except in compliance with the License.": "apache",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["labels"] for r in license_scan.license_report(docs).collect()}
+    assert found == dict(enumerate(texts.values()))
+
+
 def test_suffix_automaton_parses_into_longest_matches():
     import random
 
