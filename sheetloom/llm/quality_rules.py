@@ -3,7 +3,12 @@
 Everything is row-local and native: no shuffle, no user function.  Texts are
 read whole; a null text counts as empty.  Rows are neither merged nor
 reordered, so repeated rows get equal results, and an empty table gives an
-empty table.  Other columns of the input pass through `filter_documents`
+empty table.
+
+The stop-word rule holds only documents of a language whose words are listed:
+mostly Latin letters, and a label of such a language or, without a label, at
+least one listed word.  Words are compared without the punctuation around them.
+Other columns of the input pass through `filter_documents`
 untouched; `quality_report` returns only its own columns.
 """
 
@@ -30,6 +35,10 @@ STOP_WORDS = (
     "o os as e do da em um uma para com não que se na no "
     "het een van en dat op te zijn voor niet met aan"
 ).split()
+#: The languages of these words, as labels name them (a region or script after - or _ does not count).
+STOP_WORD_LANGUAGES = ("en", "eng", "de", "deu", "ger", "fr", "fra", "fre", "es", "spa", "it", "ita", "pt", "por", "nl", "nld", "dut")
+UNKNOWN_LANGUAGES = ("", "und", "unknown", "mul", "zxx")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»‹›“”„‚‘’…–—·¡¿"
 
 
 @dataclass(frozen=True)
@@ -59,13 +68,13 @@ def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
     """`docs` with the counts and ratios that rules speak of, under ``prefix``.
 
     Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words,
-    n_upper, n_letters and n_repeat_words.  Repeated windows are
+    n_upper, n_letters, n_latin and n_repeat_words.  Repeated windows are
     found by their 64-bit hash within the row: windows are sorted with their
     position, equal neighbours are marked, and their spans united.
     """
     names = {n: f"{prefix}{n}" for n in (
         "words", "lines", "hashes", "sorted", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        "n_stop_words", "n_upper", "n_letters", "n_repeat_words",
+        "n_stop_words", "n_upper", "n_letters", "n_latin", "n_repeat_words",
     )}
     col = {k: F.col(v) for k, v in names.items()}
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -75,6 +84,7 @@ def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
             names["lines"]: F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(WORD)),
             names["n_upper"]: F.length(F.regexp_replace(whole, r"\P{Lu}+", "")).cast("long"),
             names["n_letters"]: F.length(F.regexp_replace(whole, r"\P{L}+", "")).cast("long"),
+            names["n_latin"]: F.length(F.regexp_replace(whole, r"\P{IsLatin}+", "")).cast("long"),
             names["n_symbols"]: (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long"),
         }
     )
@@ -85,7 +95,7 @@ def quality_metrics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
             names["word_chars"]: F.length(F.array_join(col["words"], "")).cast("long"),
             names["n_lines"]: F.size(col["lines"]).cast("long"),
             names["n_dup_lines"]: (F.size(col["lines"]) - F.size(F.array_distinct(col["lines"]))).cast("long"),
-            names["n_stop_words"]: F.size(F.filter(col["words"], lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
+            names["n_stop_words"]: F.size(F.filter(col["words"], lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))).isin(STOP_WORDS))).cast("long"),
             names["hashes"]: F.when(
                 n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(col["words"], i + k) for k in range(WINDOW))))
             ).otherwise(F.array().cast("array<bigint>")),
@@ -131,8 +141,18 @@ def _ratios(prefix: str) -> dict[str, Column]:
     }
 
 
-def compile_rules(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
-    """The names of the rules a document breaks, as one array expression."""
+def _stop_words_apply(prefix: str, lang: Column | None) -> Column:
+    """Whether a document is in a language whose stop words are listed."""
+    latin = 2 * F.col(f"{prefix}n_latin") >= F.col(f"{prefix}n_letters")
+    sign = F.col(f"{prefix}n_stop_words") > 0
+    if lang is None:
+        return latin & sign
+    label = F.coalesce(F.lower(F.regexp_extract(F.trim(lang.cast("string")), "^[^-_]*", 0)), F.lit(""))
+    return latin & (label.isin(*STOP_WORD_LANGUAGES) | (label.isin(*UNKNOWN_LANGUAGES) & sign))
+
+
+def compile_rules(rules: tuple[Rule, ...] = RULES, prefix: str = "", lang: Column | None = None) -> Column:
+    """The names of the rules a document breaks, as one array expression; ``lang`` is the label of its language."""
     ratios = _ratios(prefix)
 
     def broken(rule: Rule) -> Column:
@@ -142,28 +162,34 @@ def compile_rules(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
             out = out | (value < rule.low)
         if rule.high is not None:
             out = out | (value > rule.high)
+        if rule.metric == "stop_ratio":
+            out = out & _stop_words_apply(prefix, lang)
         return F.when(out & (F.col(f"{prefix}n_words") >= rule.min_words), F.lit(rule.name))
 
     return F.array_compact(F.array(*map(broken, rules)))
 
 
-def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_report(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
     """Per row: the id, the counts, ``base_failed``, ``broken`` (rule names) and ``kept``.
 
     A null or empty text has no words and is not kept.  Ratios of empty
-    documents are taken as zero.
+    documents are taken as zero.  The label of the language is used where the table has that column.
     """
-    counted = quality_metrics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    label = F.col(lang) if lang in docs.columns else F.lit(None)
+    counted = quality_metrics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), label.cast("string").alias("lang")))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = counted.drop("text").withColumns({"base_failed": base, "broken": compile_rules(rules)})
+    judged = counted.withColumns({"base_failed": base, "broken": compile_rules(rules, lang=F.col("lang"))}).drop("text", "lang")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
-def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of `docs` that pass the base test and every rule, with their columns."""
     prefix = "__quality_"
     counted = quality_metrics(docs, text, prefix)
     base = (F.col(f"{prefix}n_words") < MIN_WORDS) | (
         100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{prefix}n_words")
     )
-    return counted.where(~base & (F.size(compile_rules(rules, prefix)) == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    label = F.col(lang) if lang in docs.columns else None
+    return counted.where(~base & (F.size(compile_rules(rules, prefix, label)) == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))

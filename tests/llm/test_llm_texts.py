@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -70,6 +71,27 @@ def test_quality_rules_can_be_given(docs):
     assert broken[3] == ["short"] and broken[4] == []
 
 
+def _lines(words, n):
+    rng = random.Random(1)
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_stop_words_judge_only_covered_languages(spark):
+    russian, greek, arabic, hindi, korean = "дом стоит у реки", "το σπίτι είναι κοντά", "البيت قريب من النهر", "घर नदी के पास है", "집은 강 옆에 있다"
+    clean = [_lines(t.split(), 60) for t in (russian, greek, arabic, hindi, korean)]
+    rows = [(i, t, lang) for i, t in enumerate(clean) for lang in (None, "xx", "en")]
+    polish, junk = _lines("dom stoi przy rzece".split(), 60), _lines("cheap pills casino win".split(), 60)
+    rows += [(10, polish, "pl"), (11, polish, None), (20, junk, "en"), (21, junk, "en-US"), (22, junk + " the", None), (23, junk, "pl")]
+    rows += [(30, _lines("house, «the» (of river".split(), 60), "en"), (31, _lines(["the,", "river", "(near", "it)", "stands"], 60), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    broken = {}
+    for r in quality_rules.quality_report(docs).collect():
+        broken.setdefault(r["doc_id"], set()).add("stop_words" in r["broken"])
+    assert {i for i, x in broken.items() if x != {False}} == {20, 21, 22}
+    assert sorted({r["doc_id"] for r in quality_rules.filter_documents(docs).collect()}) == [0, 1, 2, 3, 4, 10, 11, 23, 30, 31]
+    assert {r["doc_id"] for r in quality_rules.filter_documents(docs.drop("lang")).collect()} >= {0, 1, 2, 3, 4, 10, 11}
+
+
 PARTS = ["a", "b.c", "@", ".", "-", "x@y.zz", "1", "256", "0", ".7", "4111111111111111", "4111 1111-1111 1111", "+", "+1 (743) 555-3824", " ", "é"]
 
 
