@@ -16,9 +16,12 @@ others meet the rest part by part; else the node branches.  A pair of
 similarity 0.75 shares a root node but with probability 0.25 ** TREES, and each
 further branching of that path keeps it with 1 - 0.25 ** BRANCHES.
 
-Shingles are told apart by 64-bit hashes.  Rows that share a doc_id share its
-component.  Null and empty texts have no shingles and no links; rows without a
-doc_id are their own and have no component id.  Repeated rows get equal results.
+Shingles are told apart by 64-bit hashes.  Rows that share a doc_id are one
+document if their sets are equal; else each text of the doc_id is a document of
+its own, with a 64-bit hash of id and text in the id's place until the end, so
+that no text goes for what another of its doc_id is like.  Null and empty texts
+have no shingles and no links; rows without a doc_id are their own and have no
+component id.  Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -342,11 +345,51 @@ def _walk(rows: DataFrame, n_docs: int) -> DataFrame:
     return out
 
 
+def _own_id(doc_id: Column, text: Column) -> Column:
+    """What stands for a doc_id where its rows have different sets."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def _with_own_ids(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows (doc_id, text)`` with `_own_id` in place of the doc_ids in ``several (s)``, and the true one as ``of``."""
+    own = F.when(F.col("s").isNotNull(), _own_id(F.col("doc_id"), F.col("text"))).otherwise(F.col("doc_id"))
+    return rows.join(several, F.col("doc_id") == F.col("s"), "left").select(own.alias("doc_id"), "text", F.col("doc_id").alias("of"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether that is the row's own)."""
+    """Per row: doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether that is the row's own).
+
+    Of a doc_id with different sets, one that stands for its component is kept only with the text that does.
+    """
+    return _judged(docs, doc_id, text, percent).drop("own")
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """`near_duplicates`, with ``own``: the row's `_own_id` where rows of its doc_id have different sets, else null."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = materialize(document_sets(named), "near-documents")
     n_docs = sets.count()
+    a_set = F.struct("set_a", "set_b", "n_shingles")
+    several = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(a_set).alias("x"), F.max(a_set).alias("y"))
+    several = _saved(several.where("x <> y").select(F.col("doc_id").alias("s")), "near-several", n_docs)
+    if several.isEmpty():
+        return _components(named, sets, percent, n_docs).withColumn("own", F.lit(None).cast("long"))
+    known = materialize(_with_own_ids(named, several), "near-own-ids")
+    found = materialize(_components(known.select("doc_id", "text"), materialize(document_sets(known), "near-documents"), percent, n_docs), "near-own")
+    # a component's least true id, and of that id's texts the one that stands for it
+    true_ids = known.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("own"), "of").distinct()
+    rows = found.join(true_ids, found["doc_id"] == true_ids["own"], "left")
+    least = rows.where("own IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("of", "own")).alias("least"))
+    least = least.withColumnRenamed("component_id", "c")
+    return rows.join(least, F.col("component_id") == F.col("c"), "left").select(
+        F.col("of").alias("doc_id"), "n_shingles", F.col("least.of").alias("component_id"),
+        F.coalesce(F.col("own") == F.col("least.own"), F.lit(True)).alias("kept"),
+        F.when(F.col("own") != F.col("of"), F.col("own")).alias("own"),
+    )
+
+
+def _components(named: DataFrame, sets: DataFrame, percent: int, n_docs: int) -> DataFrame:
+    """`near_duplicates` of ``named (doc_id, text)``, whose rows of one doc_id have one set; ``sets`` are their `document_sets`."""
     least = least_matches(percent)
     same = ["set_a", "set_b", "n_shingles"]
     known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -381,8 +424,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents that stand for their component, with their columns; of repeated rows of one doc_id one stays."""
-    kept = near_duplicates(docs, doc_id, text, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__near_id")).distinct()
-    one = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__near_id"), "left_semi")
-    alone = docs.where(F.col(doc_id).isNull())
-    return one.dropDuplicates([doc_id]).unionByName(alone)
+    """The documents that stand for their component, with their columns; of repeated rows of one document one stays."""
+    judged = materialize(_judged(docs, doc_id, text, percent).where("kept AND doc_id IS NOT NULL").select("doc_id", "own").distinct(), "near-kept")
+    known, alone = docs.where(F.col(doc_id).isNotNull()), docs.where(F.col(doc_id).isNull())
+    plain = judged.where("own IS NULL").select(F.col("doc_id").alias("__near_id"))
+    one = known.join(plain, F.col(doc_id) == F.col("__near_id"), "left_semi").dropDuplicates([doc_id])
+    several = judged.where("own IS NOT NULL").select(F.col("doc_id").alias("__near_id"), F.col("own").alias("__near_own"))
+    if several.isEmpty():
+        return one.unionByName(alone)
+    same = (F.col(doc_id) == F.col("__near_id")) & (_own_id(F.col(doc_id), F.col(text)) == F.col("__near_own"))
+    more = known.join(several, same, "left_semi").dropDuplicates([doc_id, text])
+    return one.unionByName(more).unionByName(alone)

@@ -88,6 +88,22 @@ def test_near_duplicates_of_few_and_no_rows(spark):
     assert sorted(kept.collect(), key=str) == sorted([(3, "a b c d e f", "x", 1), (None, "a b c d e f", "z", 3)], key=str)
 
 
+def test_different_texts_of_one_doc_id_stay_unless_a_kept_row_holds_them(spark):
+    x, y, z, u = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z", "one two three four five six")
+    rows = [(1, x), (5, x), (5, y), (7, y), (8, z), (8, u), (8, u), (9, None), (9, u), (10, x), (None, x)]
+    docs = _docs(spark, [(i, t, "x", 1) for i, t in rows])
+    found = near_dup.near_duplicates(docs)
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    want = [
+        (1, 4, 1, True), (5, 4, 1, False), (5, 4, 5, True), (7, 4, 5, False), (8, 4, 8, True), (8, 2, 8, True), (8, 2, 8, True),
+        (9, 0, 9, True), (9, 2, 8, False), (10, 4, 1, False), (None, 4, None, True),
+    ]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    kept = near_dup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(1, x), (5, y), (8, z), (8, u), (9, None), (None, x)], key=str)
+
+
 def test_equal_sets_are_one_class_whatever_the_chunk(spark):
     import pyarrow as pa
 
