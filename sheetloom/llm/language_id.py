@@ -6,10 +6,10 @@ sample is one phrase.  The language whose sample gives the fewest phrases,
 each weighed by the logarithm of the sample's length, for each character, wins.
 
 Phrases end at word ends, so a word's phrases are counted once and kept, and a
-text is a sum over its words; no text is cut short.  The sample is bounded:
-`SAMPLE_DOCS` documents of a language by the order of a hash, at most
-`SAMPLE_CHARS` characters of each, at most `MAX_LANGUAGES` languages (the most
-frequent).  Documents whose crc32 (of the id as text) leaves 2 modulo 4 are
+text is a sum over its words; no text is cut short.  Every label is learned;
+the sample of each is bounded: `SAMPLE_DOCS` documents of a language by the
+order of a hash (fewer, but one at least, where that makes more than `ALL_DOCS`
+in all), at most `SAMPLE_CHARS` characters of each.  Documents whose crc32 (of the id as text) leaves 2 modulo 4 are
 never learned from.
 
 A null text, or one without a letter, is ``und`` with score 0, as is every text
@@ -32,7 +32,7 @@ from sheetloom.llm.batches import ready_workers
 
 SAMPLE_DOCS = 40
 SAMPLE_CHARS = 1000
-MAX_LANGUAGES = 64
+ALL_DOCS = 2560  # documents of all languages together, above which each has fewer
 CACHED_WORDS = 500_000  # per worker; a full cache is emptied
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -138,20 +138,20 @@ def language_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The bounded sample of labelled text for each language, words joined by spaces."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     labelled = named.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    names = [r["lang"] for r in counts.collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("place", F.row_number().over(order))
-    picked = picked.where(F.col("place") <= SAMPLE_DOCS).select("doc_id", "lang", "place")
-    # at most SAMPLE_DOCS rows for each of MAX_LANGUAGES languages
-    ids = picked.collect()
-    chosen = labelled.where(F.col("doc_id").isin([r["doc_id"] for r in ids])) if ids else labelled.limit(0)
     middle = F.greatest(F.lit(1), (F.length("text") - SAMPLE_CHARS) / 2 + 1).cast("int")
+    part = F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS))
+    labelled = labelled.select("doc_id", "lang", part.alias("part")).where(F.col("part").rlike(r"\p{L}"))
+    n_languages = labelled.select("lang").distinct().count()
+    n_docs = max(1, min(SAMPLE_DOCS, ALL_DOCS // max(1, n_languages)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_docs)
+    # at most SAMPLE_DOCS rows for each language
+    ids = picked.select("doc_id", "lang").distinct().collect()
+    wanted = docs.sparkSession.createDataFrame(ids, labelled.select("doc_id", "lang").schema)
+    chosen = labelled.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")
     parts: dict[str, list] = {}
-    wanted = {(r["doc_id"], r["lang"]) for r in ids}
-    for r in chosen.select("doc_id", "lang", F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS)).alias("part")).distinct().collect():
-        if (r["doc_id"], r["lang"]) in wanted:
-            parts.setdefault(r["lang"], []).append((r["doc_id"], r["part"]))
+    for r in chosen.distinct().collect():
+        parts.setdefault(r["lang"], []).append((r["doc_id"], r["part"]))
     words = {name: [w for _, part in sorted(rows) for w in normalised(part)] for name, rows in parts.items()}
     return {name: f" {' '.join(own)} " for name, own in words.items() if own}
 

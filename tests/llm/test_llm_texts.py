@@ -323,3 +323,13 @@ def test_languages_of_held_out_rows(spark, none):
     assert language_id.identify_languages(none).collect() == []
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify_languages(unlabelled).collect()} == {"und"}
+
+
+def test_every_label_is_learned(spark):
+    script = lambda k: "".join(chr(0x4E00 + 7 * k + j) for j in range(7))
+    rows = [(100 * k + i, script(k), f"l{k:02}") for k in range(70) for i in range(8 if k else 4)]
+    rows += [(9000 + i, "12 ...", "l99") for i in range(50)] + [(9100 + i, "ж" * 9, "l99") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.language_samples(docs)) == {f"l{k:02}" for k in range(70)} | {"l99"}
+    wrong = language_id.identify_languages(docs).join(docs, "doc_id").where("text <> '12 ...' AND lang_pred <> lang")
+    assert wrong.count() == 0
