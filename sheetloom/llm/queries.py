@@ -9,6 +9,7 @@ from sheetloom.catalog.inputs import Query
 from sheetloom.llm.chat_format import PART, format_chats
 from sheetloom.llm.language_id import identify_languages
 from sheetloom.llm.license_scan import license_report
+from sheetloom.llm.line_dedup import MIN_CHARS, drop_repeated_lines
 from sheetloom.llm.near_dup import near_duplicates
 from sheetloom.llm.pieces import read_model, token_report
 from sheetloom.llm.pii import pii_report
@@ -216,6 +217,27 @@ FROM placed
 """
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Unlike the engine's filters and digests, this compares whole lines as text.
+OP13_SQL = f"""
+WITH cut AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS lines FROM documents),
+placed AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM cut),
+keyed AS (
+  SELECT doc_id, place, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM placed),
+owned AS (SELECT *, MIN(doc_id) OVER (PARTITION BY key) AS least FROM keyed),
+judged AS (SELECT doc_id, place, line, length(key) >= {MIN_CHARS} AND doc_id > least AS gone FROM owned)
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped,
+       sha256(COALESCE(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": Query(op1_near_dedup),
     "op2_pii": Query(op2_pii),
@@ -227,4 +249,5 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": Query(op7_quality_rules, OP7_SQL),
     "op8_substring_dedup": Query(op8_substring_dedup, OP8_SQL),
     "op9_license_scan": Query(op9_license_scan),
+    "op13_line_dedup": Query(op13_line_dedup, OP13_SQL),
 }
