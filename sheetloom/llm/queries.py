@@ -13,10 +13,12 @@ from sheetloom.llm.line_dedup import MIN_CHARS, drop_repeated_lines
 from sheetloom.llm.near_dup import near_duplicates
 from sheetloom.llm.pieces import read_model, token_report
 from sheetloom.llm.pii import pii_report
+from sheetloom.llm.prefix_trie import branched, numbered_turns, trie_nodes
 from sheetloom.llm.quality_rules import RULES, STOP_WORDS, quality_report
 from sheetloom.llm.source_mix import mix_report
 from sheetloom.llm.substring_dedup import remove_repeats
 from sheetloom.llm.vector_search import top_k
+from sheetloom.session import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -217,6 +219,50 @@ FROM placed
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_nodes(branched(materialize(numbered_turns(_table(spark, sf_dir, "conversations")), "trie-numbered")))
+
+
+#: CRC-32 of text, as DuckDB has none: eight halvings for each byte.
+CRC32 = """
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0})), lambda i: ascii(substr({0}, i + 1, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an expression of ASCII text."""
+    return f"xor({CRC32.format(text)}, 4294967295)"
+
+
+#: A turn's digest, which settles the order of turns with one number.
+TURN_DIGEST = "md5(length({role})::VARCHAR || ':' || {role} || {text})"
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+chats AS (
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, {TURN_DIGEST.format(role="role", text="text")}) AS s FROM t GROUP BY conv_id),
+taken AS (SELECT conv_id, s, ({crc32_sql("conv_id::VARCHAR")} % 6)::BIGINT AS h FROM chats),
+built AS (
+  SELECT a.conv_id, list_concat(COALESCE(b.s[1 : a.h], []), a.s[a.h + 1 :]) AS s
+  FROM taken a LEFT JOIN chats b ON b.conv_id = a.conv_id - a.conv_id % 100),
+prefixes AS (SELECT conv_id, d, s[1 : d] AS p, len(s) = d AS is_end, COALESCE(length(s[d].t), 0) AS size
+             FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT d, p, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, MIN(size) AS size,
+         sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p),
+childs AS (SELECT a.d, a.p, MIN(b.conv_id) AS up, COUNT(c.d) AS n_children
+           FROM nodes a LEFT JOIN nodes b ON b.d = a.d - 1 AND b.p = a.p[1 : a.d - 1] LEFT JOIN nodes c ON c.d = a.d + 1 AND c.p[1 : a.d] = a.p
+           GROUP BY a.d, a.p),
+whole AS (SELECT * FROM nodes JOIN childs USING (d, p)),
+above AS (SELECT d, p, n_convs, size, n_children, unnest(range(0, d + 1)) AS k FROM whole),
+sums AS (SELECT k AS d, p[1 : k] AS p, SUM(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, SUM((n_convs - 1) * size) AS saved FROM above GROUP BY ALL)
+SELECT conv_id, d AS depth, up AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+FROM whole JOIN sums USING (d, p)
+"""
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -249,5 +295,6 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": Query(op7_quality_rules, OP7_SQL),
     "op8_substring_dedup": Query(op8_substring_dedup, OP8_SQL),
     "op9_license_scan": Query(op9_license_scan),
+    "op11_prefix_trie": Query(op11_prefix_trie, OP11_SQL),
     "op13_line_dedup": Query(op13_line_dedup, OP13_SQL),
 }

@@ -2,10 +2,11 @@
 
 import hashlib
 import random
+import zlib
 
 import pytest
 
-from sheetloom.llm import line_dedup
+from sheetloom.llm import line_dedup, prefix_trie
 
 DOCS = "doc_id long, text string, digest int, kept string"
 _ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,3 +63,106 @@ def test_only_suspects_leave_the_filter(spark):
     found = line_dedup.suspected_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert 500 <= found.count() < 500 + 20_000 * 0.05
     assert found.groupBy("digest").count().where("count = 500").count() == 1
+
+
+TURNS = "conv_id long, turn long, role string, text string, depth string, n_convs int"
+
+
+def _md5(role, text):
+    return hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+
+
+def _chats(rows, default):
+    """Each conversation's (turn, role, text) in order."""
+    out = {}
+    for c, t, role, text in rows:
+        out.setdefault(c, []).append((t, default if role is None else role, default if text is None else text))
+    for turns in out.values():
+        turns.sort(key=lambda x: (x[0] is not None, x[0] or 0, _md5(x[1], x[2])))
+    return out
+
+
+def _trie(chats):
+    """The nodes of sequences by conversation, by brute force over all pairs."""
+    prefixes = {}
+    for c, s in chats.items():
+        for d in range(len(s) + 1):
+            prefixes.setdefault(tuple(s[:d]), []).append(c)
+    out = []
+    for p, members in prefixes.items():
+        below = [q for q in prefixes if q[: len(p)] == p]
+        ends = ",".join(map(str, sorted(c for c in members if len(chats[c]) == len(p))))
+        saved = sum((len(prefixes[q]) - 1) * len(q[-1][1]) for q in below if q)
+        leaves = sum(not any(len(r) == len(q) + 1 and r[: len(q)] == q for r in below) for q in below)
+        up = min(prefixes[p[:-1]]) if p else None
+        n_children = sum(len(q) == len(p) + 1 for q in below)
+        out.append((min(members), len(p), up, len(members), n_children, leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def _turn_rows(seed, n_convs=60):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(n_convs):
+        for t in range(rng.choice([1, 2, 2, 3, 5, 8])):
+            role = rng.choice(["user", "assistant", "system", None])
+            rows.append((c, t if rng.random() < 0.9 else rng.choice([None, 1]), role, rng.choice(["", None, "a", "bb", "é😀", "long " * 50])))
+    rows += [(c, t, "user", f"turn {t}") for c in range(200, 260) for t in range(4)]  # one large group of copies
+    rows += [(300 + c, t, "user", f"turn {t}") for c in range(20) for t in range(c + 1)]  # each a prefix of the next
+    rows += [(-7, 0, "user", "a"), (-7, 0, "user", "a"), (705, 0, "user", "left empty by its absent giver"), (None, 0, "user", "a"), (None, None, None, None)]
+    rows += [(800, t, "user" if t % 2 else "assistant", "w" * (t % 3)) for t in range(700)]
+    return rows
+
+
+def _turns(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], TURNS).repartition(3)
+
+
+NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def _nodes(found):
+    return sorted((tuple(r[c] for c in NODE) for r in found.collect()), key=str)
+
+
+@pytest.mark.parametrize("shard_turns", [prefix_trie.SHARD_TURNS, 20])
+def test_tries_are_those_of_brute_force(spark, monkeypatch, shard_turns):
+    monkeypatch.setattr(prefix_trie, "ID_BITS", 1 if shard_turns == 20 else 16)  # ids of one node in many pieces
+    rows = [r for r in _turn_rows(shard_turns) if shard_turns == 20 or r[0] != 800]
+    chats = {c: [x[1:] for x in s] for c, s in _chats(rows, "").items() if c is not None}
+    numbered = prefix_trie.numbered_turns(_turns(spark, rows)).cache()
+    if shard_turns > 20:
+        assert _nodes(prefix_trie.trie_nodes(prefix_trie.plain(numbered), shard_turns)) == _trie(chats)
+    built = {}
+    for c, s in chats.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = chats.get(c - (abs(c) % 100) * (1 if c >= 0 else -1), [])[:h] + s[h:]
+    assert [] in built.values()  # a conversation that is left without turns
+    if shard_turns == 20:
+        built = {c: s for c, s in built.items() if c != 800}
+        numbered = numbered.where("conv_id <> 800")
+    assert _nodes(prefix_trie.trie_nodes(prefix_trie.branched(numbered), shard_turns)) == _trie(built)
+
+
+def test_a_long_conversation_is_one_path(spark):
+    rows = [(1, t, "user", "word") for t in range(5000)] + [(2, t, "user", "word") for t in range(4000)]
+    found = {r["depth"]: r for r in prefix_trie.trie_nodes(prefix_trie.plain(prefix_trie.numbered_turns(_turns(spark, rows)))).collect()}
+    assert len(found) == 5001 and found[0]["saved_tokens"] == 4 * 4000 and found[4001]["n_convs"] == 1
+    assert found[0]["n_leaves"] == 1 and found[4000]["n_convs"] == 2 and found[4000]["n_children"] == 1
+
+
+def test_no_conversations_have_no_trie(spark):
+    assert prefix_trie.trie_nodes(prefix_trie.branched(prefix_trie.numbered_turns(_turns(spark, [(None, 1, "user", "x")])))).collect() == []
+
+
+def test_ternary_trees_are_searched_in_balance():
+    tree = prefix_trie.TernaryTree()
+    for k in prefix_trie._medians(1000):
+        tree.insert([k], [1], k)
+    steps = []
+    for code in range(1000):
+        node, n = tree.equal[0], 1
+        while tree.code[node] != code:
+            node, n = (tree.lower[node] if code < tree.code[node] else tree.higher[node]), n + 1
+        steps.append(n)
+    assert max(steps) == 10
