@@ -17,6 +17,7 @@ from sheetloom.llm.prefix_trie import branched, numbered_turns, trie_nodes
 from sheetloom.llm.quality_rules import RULES, STOP_WORDS, quality_report
 from sheetloom.llm.source_mix import mix_report
 from sheetloom.llm.substring_dedup import remove_repeats
+from sheetloom.llm.turn_repair import DELETE, INSERT, REROLE, TRUNCATED, repair_report
 from sheetloom.llm.vector_search import top_k
 from sheetloom.session import materialize
 
@@ -263,6 +264,77 @@ FROM whole JOIN sums USING (d, p)
 """
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(_table(spark, sf_dir, "conversations"))
+
+
+#: Unlike the engine's table of lengths, this walks a conversation's rows through the states of the grammar:
+#: S start, P after the system turn, A before an assistant's turn, U after one.
+OP12_SQL = f"""
+WITH RECURSIVE
+t AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         ({crc32_sql("(conv_id::VARCHAR || ':' || COALESCE(turn::VARCHAR, ' '))")} % 20)::BIGINT AS kind
+  FROM conversations WHERE conv_id IS NOT NULL),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS time
+  FROM t),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {TURN_DIGEST.format(role="role", text="text")}, time) AS i FROM damaged),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut
+  FROM placed),
+rows AS (
+  SELECT conv_id, turn, role, text, i, initial, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated,
+         initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM judged),
+counted AS (
+  SELECT conv_id, COUNT(*) AS n, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (blank) AS blank,
+         COUNT(*) FILTER (duplicate) AS duplicate, COUNT(*) FILTER (truncated) AS truncated, COUNT(*) FILTER (illegal) AS illegal
+  FROM rows GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, state, {{'c': {INSERT}::BIGINT * k, 'a': repeat('I', k)}} AS best
+  FROM counted, (VALUES ('S', 0), ('A', 1), ('U', 2)) AS v(state, k)
+  UNION ALL
+  SELECT conv_id, i, state, MIN({{'c': c, 'a': a}}) AS best FROM (
+    SELECT conv_id, i, c + {INSERT} * k AS c, a || repeat('I', k) AS a,
+           CASE WHEN k = 0 THEN state WHEN (k % 2 = 1) = (state = 'A') THEN 'U' ELSE 'A' END AS state
+    FROM (
+      SELECT w.conv_id, r.i, w.best.c + {DELETE} AS c, w.best.a || 'D' AS a, w.state
+      FROM walk w JOIN rows r ON r.conv_id = w.conv_id AND r.i = w.i + 1
+      UNION ALL
+      SELECT w.conv_id, r.i, w.best.c + CASE WHEN kept THEN 0 ELSE {REROLE} END + CASE WHEN r.truncated THEN {TRUNCATED} ELSE 0 END,
+             w.best.a || CASE WHEN kept THEN 'K' ELSE 'R' END, CASE WHEN w.state = 'A' THEN 'U' ELSE 'A' END
+      FROM (SELECT w.*, r.initial = CASE WHEN w.state = 'A' THEN 'a' ELSE 'u' END AS kept
+            FROM walk w JOIN rows r ON r.conv_id = w.conv_id AND r.i = w.i + 1) w
+      JOIN rows r ON r.conv_id = w.conv_id AND r.i = w.i + 1 AND NOT r.blank AND NOT r.duplicate
+      UNION ALL
+      SELECT w.conv_id, r.i, w.best.c + CASE WHEN r.truncated THEN {TRUNCATED} ELSE 0 END, w.best.a || 'K', 'P'
+      FROM walk w JOIN rows r ON r.conv_id = w.conv_id AND r.i = w.i + 1 AND NOT r.blank AND NOT r.duplicate AND r.initial = 's' AND w.state = 'S'
+    ), (VALUES (0), (1), (2), (3)) AS v(k))
+  GROUP BY conv_id, i, state),
+done AS (
+  SELECT w.conv_id, MIN(w.best) AS best FROM walk w JOIN counted c ON c.conv_id = w.conv_id AND c.n = w.i AND w.state IN ('S', 'U') GROUP BY w.conv_id),
+edits AS (SELECT conv_id, unnest(string_split(best.a, '')) AS edit, unnest(range(1, strlen(best.a) + 1)) AS p FROM done WHERE best.a <> ''),
+numbered AS (
+  SELECT *, COUNT(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i, COUNT(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS k,
+         COUNT(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) AS m
+  FROM edits),
+repaired AS (
+  SELECT e.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k + m) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                               || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS shown
+  FROM numbered e LEFT JOIN rows r ON r.conv_id = e.conv_id AND r.i = e.i WHERE edit <> 'D' GROUP BY e.conv_id)
+SELECT o.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated,
+       COALESCE(illegal, 0) AS illegal, COALESCE(best.c, 0) AS cost, COALESCE(best.a, '') AS audit, sha256(COALESCE(shown, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) o
+LEFT JOIN counted USING (conv_id) LEFT JOIN done USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -296,5 +368,6 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": Query(op8_substring_dedup, OP8_SQL),
     "op9_license_scan": Query(op9_license_scan),
     "op11_prefix_trie": Query(op11_prefix_trie, OP11_SQL),
+    "op12_turn_repair": Query(op12_turn_repair, OP12_SQL),
     "op13_line_dedup": Query(op13_line_dedup, OP13_SQL),
 }

@@ -1,12 +1,14 @@
 """Line dedup, conversation tries and conversation repair, against brute force and SQL."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
 
 import pytest
 
-from sheetloom.llm import line_dedup, prefix_trie
+from sheetloom.llm import line_dedup, prefix_trie, turn_repair
 
 DOCS = "doc_id long, text string, digest int, kept string"
 _ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -166,3 +168,109 @@ def test_ternary_trees_are_searched_in_balance():
             node, n = (tree.lower[node] if code < tree.code[node] else tree.higher[node]), n + 1
         steps.append(n)
     assert max(steps) == 10
+
+
+def _damaged(rows):
+    out = []
+    for c, t, role, text in rows:
+        if c is None:
+            continue
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{c}:{' ' if t is None else t}".encode()) % 20
+        text = "" if kind == 1 else re.sub(r"[.!?]", "", text) if kind == 2 else text
+        out += [(c, t, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    return out
+
+
+def _walked(letters):
+    """The least (cost, audit) through the states of the grammar; X must go, capitals are truncated."""
+    best = {"S": (0, "")}
+
+    def inserted(b):
+        for _ in range(3):
+            for s, (c, a) in list(b.items()):
+                t = "U" if s == "A" else "A"
+                b[t] = min(b.get(t, (9**9, "")), (c + 2, a + "I"))
+        return b
+
+    best = inserted(best)
+    for x in letters:
+        new = {}
+        for s, (c, a) in best.items():
+            ways = [(s, (c + 3, a + "D"))]
+            if x != "X":
+                cost = c + x.isupper()
+                same = x.lower() == ("a" if s == "A" else "u")
+                ways.append(("U" if s == "A" else "A", (cost + (0 if same else 2), a + ("K" if same else "R"))))
+                if s == "S" and x.lower() == "s":
+                    ways.append(("P", (cost, a + "K")))
+            for t, found in ways:
+                new[t] = min(new.get(t, (9**9, "")), found)
+        best = inserted(new)
+    return min(best[s] for s in "SU" if s in best)
+
+
+def _repair(turns):
+    turns_of = [t for t, _, _ in turns if t is not None]
+    gaps = max(turns_of) - min(turns_of) + 1 - len(set(turns_of)) if turns_of else 0
+    seen, letters, n = set(), "", {"blank": 0, "duplicate": 0, "truncated": 0}
+    for _, role, text in turns:
+        words = re.findall(r"[^\x20\x09-\x0D]", text)
+        fault = "blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1] not in ".!?" else None
+        seen.add((role, text))
+        if fault:
+            n[fault] += 1
+        x = role[:1] if role[:1] in ("s", "u", "a") else "o"
+        letters += "X" if fault in ("blank", "duplicate") else x.upper() if fault else x
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(turns))
+    cost, audit = _walked(letters)
+    m, k, i, lines = len(audit) - audit.count("D"), 0, 0, []
+    for edit in audit:
+        k += edit != "D"
+        role = "user" if (k + m) % 2 else "assistant"
+        if edit != "D":
+            lines.append(f"{turns[i][1] if edit == 'K' else role}:{'' if edit == 'I' else turns[i][2]}")
+        i += edit != "I"
+    return (gaps, n["blank"], n["duplicate"], n["truncated"], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def _spoken(seed):
+    rng = random.Random(seed)
+    text = lambda: rng.choice(["Yes.", "No!", "Why?", "cut off", "", " \t\n", None, f"Line {rng.randrange(10**6)}.", "end. \x0b\n", "é中."])
+    role = lambda: rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "User"])
+    rows = [(c, t if rng.random() < 0.95 else None, role(), text()) for c in range(150) for t in range(rng.choice([1, 2, 4, 5, 9]))]
+    for c, n in ((1000, 300), (1001, 64), (1002, 65), (1003, 1500)):  # long ones, turns missing and repeated
+        rows += [(c, t // 2 if t % 50 == 0 else t, role(), text() if rng.random() < 0.3 else f"Turn {t} of {c}.") for t in range(n)]
+    rows += [(1004, None, "user", "The same.")] * 400 + [(1005, 7, role(), text()) for _ in range(200)]
+    rows += [(1006, t, ["user", "assistant"][t % 2], "w " * 20_000 + f"{t}.") for t in range(6)]
+    return [*rows, (None, 0, "user", "No one's."), (2000, 5, None, None), (2001, None, None, None), (-3, 2, "user", "Hm."), (-3, 2, "user", "Hm.")]
+
+
+@pytest.mark.parametrize("block", [turn_repair.BLOCK, 3])
+def test_repairs_are_those_of_a_walk_through_the_grammar(spark, block):
+    rows = _spoken(block)
+    chats = _chats(_damaged(rows), " ")
+    found = turn_repair.repair_report(_turns(spark, rows), block).collect()
+    assert {r["conv_id"] for r in found} == {r[0] for r in rows if r[0] is not None} and len(found) == len({r["conv_id"] for r in found})
+    names = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    for r in found:
+        turns = chats.get(r["conv_id"], [])
+        assert tuple(r[c] for c in names) == (_repair(turns) if turns else (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())), r["conv_id"]
+
+
+def test_sound_conversations_are_left_alone(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"Turn {t} of {c}.") for c in range(20) for t in range(2 * c)]
+    rows += [(50, 0, "system", "Be kind."), (50, 1, "user", "Hello!"), (50, 2, "assistant", "Good day.")]
+    for r in turn_repair.repair_conversations(_turns(spark, rows)).collect():
+        assert r["cost"] == 0 and set(r["audit"]) <= {"K"}
+        assert r["repaired"] == "\n".join(f"{x[2]}:{x[3]}" for x in rows if x[0] == r["conv_id"])
+
+
+def test_cheapest_edits_by_all_short_signatures():
+    for n in range(5):
+        for letters in itertools.product("XsuaoSUA", repeat=n):
+            assert turn_repair.cheapest("".join(letters)) == _walked(letters)
+
+
+def test_no_turns_need_no_repair(spark):
+    assert turn_repair.repair_report(_turns(spark, [])).collect() == []
