@@ -1,3 +1,7 @@
+import inspect
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,32 +217,52 @@ def test_unique_and_duplicates(sheet):
     assert values(distinct.drop_missing_rows(df, "City"), "City") == ["Lima", "Oslo", "Lima"]
 
 
-@pytest.mark.parametrize("sample", [300, 10**6])
-def test_exact_medians_with_narrowing(spark, monkeypatch, sample):
-    monkeypatch.setattr(medians, "SAMPLE_ROWS", sample)  # a poor sample must only cost passes
+def test_order_keys_are_the_bits_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([
+        rng.integers(-(2**63), 2**63, 20_000).view(np.float64), rng.normal(size=2000), rng.integers(-1000, 1000, 500) / 100.0,
+        np.exp2(np.arange(-1074, 1024).astype(float)), -np.exp2(np.arange(-1074, 1024, 7).astype(float)), [0.0, np.inf, -np.inf],
+    ])
+    powers = np.exp2(np.arange(-1020, 1024).astype(float))
+    x = np.concatenate([x[~np.isnan(x)], np.nextafter(powers, 0), np.nextafter(powers, np.inf), [5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]])
+    bits = np.abs(x).view(np.int64)
+    df = spark.createDataFrame([(float(v), int(b)) for v, b in zip(x, np.where(x < 0, -bits, bits))], "v double, want long")
+    assert medians.with_order_keys(df, {"v": "key"}).where("NOT key <=> want").count() == 0
+
+
+def test_exact_medians_of_many_columns(spark):
     df = spark.range(20001).select(
         (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("a"),
         F.when(F.col("id") % 3 != 0, 5.0).otherwise(F.col("id").cast("double")).alias("hot"),
-        F.when(F.col("id") < 7, F.col("id").cast("double")).alias("few"),
+        F.when(F.col("id") < 8, F.col("id").cast("double")).alias("few"),
         F.lit(None).cast("double").alias("none"),
-        F.when(F.col("id") % 2 == 0, -1.0).otherwise(1e300).alias("two"),
+        F.when(F.col("id") < 20000, F.when(F.col("id") % 2 == 0, -1.0).otherwise(1e300)).alias("two"),
+        (1 + F.col("id") * F.lit(2.0**-52)).alias("last bits"),
+        F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("zeros"),
+        (-F.col("id") * F.lit(5e-324)).alias("least"),
     )
     pdf = df.toPandas()
-    cols = {c: F.col(c) for c in df.columns}
-    for small in (10, 10**6):
-        got, extra = medians.exact_medians(df, cols, {"n": F.count(F.lit(1))}, small_rows=small)
-        assert extra == {"n": 20001}
-        assert got["none"] == (0, None)
-        for c in ("a", "hot", "few", "two"):
-            assert got[c] == (pdf[c].count(), pdf[c].median())
+    got, extra = medians.exact_medians(df, {c: F.col(f"`{c}`") for c in df.columns}, {"n": F.count(F.lit(1))})
+    assert extra == {"n": 20001}
+    assert got["none"] == (0, None)
+    for c in pdf.columns.drop("none"):
+        assert got[c] == (pdf[c].count(), pdf[c].median()), c
+    assert medians.exact_medians(df.limit(0), {"a": F.col("a")})[0] == {"a": (0, None)}
 
 
-def test_grouped_median_both_ways(spark):
+def test_grouped_median_of_hot_and_small_groups(spark):
+    group = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.concat(F.lit("own"), F.col("id"))).otherwise(F.concat(F.lit("g"), F.col("id") % 11))
     df = spark.range(6000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 11)).alias("g"),
-        F.when(F.col("id") % 13 != 0, F.pmod(F.xxhash64("id"), F.lit(500)) / 4.0).alias("v"),
+        F.when(F.col("id") % 29 != 0, group).alias("g"), (F.col("id") % 2).alias("h"),
+        F.when(F.col("id") % 13 != 0, F.pmod(F.xxhash64("id"), F.lit(5000)) / 7.0).alias("v"),
     )
-    want = df.toPandas().groupby("g")["v"].median().to_dict()
-    for small in (10, 10**6):
-        got = medians.grouped_median(df, ["g"], F.col("v"), "m", small_rows=small).collect()
-        assert {r["g"]: r["m"] for r in got} == want
+    want = df.toPandas().groupby(["g", "h"], dropna=False)["v"].median().dropna().to_dict()
+    got = medians.grouped_median(df, ["g", "h"], F.col("v"), "m").collect()
+    assert {(r["g"], r["h"]): r["m"] for r in got} == {(None if pd.isna(g) else g, h): m for (g, h), m in want.items()}
+    assert len(got) == len(want)
+
+
+def test_no_pass_of_a_median_sorts_or_lists_values(spark):
+    """Spark's own median and lists keep a group's values in one task."""
+    code = inspect.getsource(medians)
+    assert "F.median" not in code and "collect_list" not in code and "percentile" not in code

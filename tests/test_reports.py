@@ -79,7 +79,7 @@ def test_anomalies(sheet):
 
 def test_anomalies_in_several_columns(sheet):
     df = sheet("a double, b double", [(float(i), float(i % 3)) for i in range(20)] + [(900.0, 1.0), (1.0, 77.0)])
-    found = anomalies.detect_anomalies(df, ["a", "b"], small_rows=5)
+    found = anomalies.detect_anomalies(df, ["a", "b"])
     assert {(r["column"], r["_row_id"]) for r in found.collect()} == {("a", 20), ("b", 21)}
     assert anomalies.count_anomalies(df, ["a", "b"]) == {"a": 1, "b": 1}
 
