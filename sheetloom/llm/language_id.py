@@ -6,11 +6,12 @@ sample is one phrase.  The language whose sample gives the fewest phrases,
 each weighed by the logarithm of the sample's length, for each character, wins.
 
 Phrases end at word ends, so a word's phrases are counted once and kept, and a
-text is a sum over its words; no text is cut short.  Every label is learned;
-the sample of each is bounded: `SAMPLE_DOCS` documents of a language by the
-order of a hash (fewer, but one at least, where that makes more than `ALL_DOCS`
-in all), at most `SAMPLE_CHARS` characters of each.  Documents whose crc32 (of the id as text) leaves 2 modulo 4 are
-never learned from.
+text is a sum over its words; no text is cut short.  Every label is learned, of
+whole texts.  The rows learned from are bounded: `SAMPLE_DOCS` documents of a
+language (fewer, but one at least, where that makes more than `ALL_DOCS` in all),
+texts of at most `LONG_TEXT` characters first, then by the order of a hash, as far
+as they have `SAMPLE_CHARS` characters together; the first is always taken.
+Documents whose crc32 (of the id as text) leaves 2 modulo 4 are never learned from.
 
 A null text, or one without a letter, is ``und`` with score 0, as is every text
 if nothing was learned.  Ties go to the first language by name.  Rows without
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from sheetloom.llm.batches import ready_workers
 
 SAMPLE_DOCS = 40
-SAMPLE_CHARS = 1000
+SAMPLE_CHARS = 40_000
+LONG_TEXT = 4000
 ALL_DOCS = 2560  # documents of all languages together, above which each has fewer
-CACHED_WORDS = 500_000  # per worker; a full cache is emptied
+CACHED_CHARS = 4_000_000  # letters of words whose phrases a worker keeps; a full cache is emptied
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -97,12 +99,14 @@ class LanguageModel:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.counts = np.zeros((1, len(self.names) + 1), np.int64)
 
     def learn(self, words: list[str]) -> None:
         rows = np.zeros((len(words), len(self.names) + 1), np.int64)
         for i, word in enumerate(words):
             self.known[word] = len(self.counts) + i
+            self.held += len(word)
             if any(map(str.isalpha, word)):
                 cut = f" {word} "
                 rows[i] = [*(a.phrases(cut) for a in self.automata), len(cut) - 1]
@@ -111,7 +115,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.names:
             return [("und", 0.0)] * len(texts)
-        if len(self.known) > CACHED_WORDS:
+        if self.held > CACHED_CHARS:
             self.forget()
         rows = [normalised(t) if t else [] for t in texts]
         known = self.known
@@ -138,17 +142,20 @@ def language_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The bounded sample of labelled text for each language, words joined by spaces."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     labelled = named.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    middle = F.greatest(F.lit(1), (F.length("text") - SAMPLE_CHARS) / 2 + 1).cast("int")
-    part = F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS))
-    labelled = labelled.select("doc_id", "lang", part.alias("part")).where(F.col("part").rlike(r"\p{L}"))
+    labelled = labelled.select("doc_id", "lang", F.col("text").alias("part")).where(F.col("part").rlike(r"\p{L}"))
     n_languages = labelled.select("lang").distinct().count()
     n_docs = max(1, min(SAMPLE_DOCS, ALL_DOCS // max(1, n_languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_docs)
+    sized = labelled.select("doc_id", "lang", F.length("part").cast("long").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.col("size") > LONG_TEXT, F.xxhash64("doc_id"), "doc_id", "size")
+    picked = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_docs)
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = picked.withColumn("upto", upto).where((F.col("place") == 1) | (F.col("upto") <= SAMPLE_CHARS))
     # at most SAMPLE_DOCS rows for each language
-    ids = picked.select("doc_id", "lang").distinct().collect()
-    wanted = docs.sparkSession.createDataFrame(ids, labelled.select("doc_id", "lang").schema)
-    chosen = labelled.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")
+    ids = picked.select("doc_id", "lang", "size").distinct().collect()
+    keys = ["doc_id", "lang", "size"]
+    whole = labelled.withColumn("size", F.length("part").cast("long"))
+    wanted = docs.sparkSession.createDataFrame(ids, whole.select(*keys).schema)
+    chosen = whole.join(F.broadcast(wanted), keys, "left_semi").select("doc_id", "lang", "part")
     parts: dict[str, list] = {}
     for r in chosen.distinct().collect():
         parts.setdefault(r["lang"], []).append((r["doc_id"], r["part"]))

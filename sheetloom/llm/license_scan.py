@@ -31,51 +31,78 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Hand-written names of license families: label, keyword, ways of naming it.
+# Hand-written names of license families: label, keyword (see `Signature`), and patterns of names of three kinds.
+# Tags mean a license wherever one is cited; titles are parts of a license's title; names are also those of
+# organisations, programs or things, and mean a license only next to the word.
 FAMILIES = {
-    "mit": ("mit|x11|expat", ("mit", "x11", "expat")),
-    "apache": ("apache|asl", ("apache", "apache software", "asl 2 0", "apache 2 0")),
-    "gpl": ("gpl|gnu", ("gpl", "gnu gpl", "gplv2", "gplv3", "gnu general public", "gpl 2 0", "gpl 3 0")),
-    "lgpl": ("lgpl|lesser|library", ("lgpl", "gnu lgpl", "lgplv2 1", "lgplv3", "gnu lesser general public", "gnu library general public", "lesser general public")),
-    "agpl": ("agpl|affero", ("agpl", "gnu agpl", "agplv3", "gnu affero general public", "affero general public")),
-    "bsd": ("bsd|berkeley", ("bsd", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "new bsd", "simplified bsd", "modified bsd", "berkeley software distribution")),
-    "mpl": ("mpl|mozilla", ("mpl", "mpl 2 0", "mpl 1 1", "mozilla public")),
-    "epl": ("epl|eclipse", ("epl", "epl 2 0", "eclipse public", "eclipse distribution")),
-    "cddl": ("cddl|common development", ("cddl", "cddl 1 0", "common development and distribution")),
-    "isc": ("isc|internet systems", ("isc", "internet systems consortium")),
-    "zlib": ("zlib|libpng", ("zlib", "zlib libpng", "libpng")),
-    "unlicense": ("unlicense|public domain", ("unlicense", "public domain")),
-    "cc0": ("cc0|zero", ("cc0", "cc0 1 0", "creative commons zero")),
-    "cc-by": ("cc by|attribution", ("cc by", "cc by 4 0", "cc by 3 0", "creative commons attribution")),
-    "cc-by-sa": ("cc by sa|sharealike|share alike", ("cc by sa", "cc by sa 4 0", "cc by sa 3 0", "creative commons attribution sharealike", "creative commons attribution share alike")),
-    "cc-by-nc": ("cc by nc|noncommercial|non commercial", ("cc by nc", "cc by nc 4 0", "cc by nc 3 0", "creative commons attribution noncommercial", "creative commons attribution non commercial")),
-    "cc-by-nd": ("cc by nd|noderiv|no deriv", ("cc by nd", "cc by nd 4 0", "creative commons attribution noderivatives", "creative commons attribution no derivatives")),
-    "cc-by-nc-sa": ("cc by nc sa", ("cc by nc sa", "cc by nc sa 4 0", "cc by nc sa 3 0")),
-    "cc-by-nc-nd": ("cc by nc nd", ("cc by nc nd", "cc by nc nd 4 0")),
-    "boost": ("boost|bsl", ("boost software", "bsl 1 0")),
-    "artistic": ("artistic", ("artistic", "perl artistic", "artistic 2 0")),
-    "wtfpl": ("wtfpl", ("wtfpl",)),
-    "eupl": ("eupl|european union public", ("eupl", "eupl 1 2", "european union public")),
-    "ofl": ("ofl|open font", ("ofl", "sil open font", "open font")),
-    "odbl": ("odbl|open database", ("odbl", "open database")),
-    "python": ("psf|python", ("psf", "python software foundation", "python")),
-    "postgresql": ("postgresql", ("postgresql",)),
-    "ms-pl": ("ms pl|microsoft", ("ms pl", "microsoft public", "microsoft reciprocal")),
-    "openssl": ("openssl", ("openssl", "openssl and ssleay")),
-    "sspl": ("sspl|server side", ("sspl", "server side public")),
-    "busl": ("busl|business source", ("busl", "business source")),
-    "elastic": ("elastic", ("elastic",)),
-    "proprietary": ("proprietary|commercial", ("proprietary", "commercial")),
+    "mit": ("mit|x11|expat", "expat", "", "(?:mit x11|x11 mit|mit|x11)"),
+    "apache": ("apache|asl", "(?:asl 2 0|apache 2 0)", "", "apache(?: software(?: foundation)?)?"),
+    "gpl": ("gpl|gnu", "(?:gnu )?gpl(?:v[23]|(?: v?[23](?: 0)?))?", "gnu (?:general )?public", ""),
+    "lgpl": ("lgpl|lesser|library", "(?:gnu )?lgpl(?:v[23](?: 1)?|(?: v?[23](?: [01])?))?", "(?:gnu )?(?:lesser|library) general public", ""),
+    "agpl": ("agpl|affero", "(?:gnu )?agpl(?:v3|(?: v?3(?: 0)?))?", "(?:gnu )?affero general public", ""),
+    "bsd": ("bsd|berkeley", "(?:bsd [234] clause|0bsd)", "(?:new|simplified|modified|revised|two clause|three clause|four clause) bsd", "(?:bsd|berkeley software distribution)"),
+    "mpl": ("mpl|mozilla", "mpl(?:v2| 2 0| 1 1)", "mozilla public", "mpl"),
+    "epl": ("epl|eclipse", "epl [12] 0", "eclipse (?:public|distribution)", "epl"),
+    "cddl": ("cddl|common development", "cddl(?: 1 [01])?", "common development and distribution", ""),
+    "isc": ("isc|internet systems", "", "internet systems consortium", "isc"),
+    "zlib": ("zlib|libpng", "", "zlib libpng", "(?:zlib|libpng)"),
+    "unlicense": ("unlicense", "(?:the )?unlicense", "", ""),
+    "cc0": ("cc0|zero", "cc0(?: 1 0)?", "creative commons (?:zero|cc0)", ""),
+    "cc-by": ("cc by|attribution", "cc by(?: [1234] 0)?", "creative commons attribution", ""),
+    "cc-by-sa": ("cc by sa|sharealike|share alike", "cc by sa(?: [1234] 0)?", "creative commons attribution share ?alike", ""),
+    "cc-by-nc": ("cc by nc|noncommercial|non commercial", "cc by nc(?: [1234] 0)?", "creative commons attribution non ?commercial", ""),
+    "cc-by-nd": ("cc by nd|noderiv|no deriv", "cc by nd(?: [1234] 0)?", "creative commons attribution no ?deriv(?:ative)?s", ""),
+    "cc-by-nc-sa": ("cc by nc sa", "cc by nc sa(?: [1234] 0)?", "", ""),
+    "cc-by-nc-nd": ("cc by nc nd", "cc by nc nd(?: [1234] 0)?", "", ""),
+    "boost": ("boost|bsl", "bsl 1 0", "boost software", "boost"),
+    "artistic": ("artistic", "artistic 2 0", "(?:perl|clarified) artistic", "artistic"),
+    "wtfpl": ("wtfpl", "wtfpl", "", ""),
+    "eupl": ("eupl|european union public", "eupl(?: 1 [12])?", "european union public", ""),
+    "ofl": ("ofl|open font", "(?:ofl 1 1|sil ofl)", "(?:sil )?open font", "ofl"),
+    "odbl": ("odbl|open database", "odbl(?: 1 0)?", "(?:open data commons )?open database", ""),
+    "python": ("psf|python", "psf 2 0", "python software foundation", "(?:psf|python)"),
+    "postgresql": ("postgresql", "", "", "postgresql"),
+    "ms-pl": ("ms pl|microsoft", "ms pl", "microsoft (?:public|reciprocal)", ""),
+    "openssl": ("openssl", "", "openssl and ssleay", "openssl"),
+    "sspl": ("sspl|server side", "sspl(?: 1 0)?", "server side public", ""),
+    "busl": ("busl|business source", "busl 1 1", "business source", "busl"),
+    "elastic": ("elastic", "", "", "elastic(?: 2 0)?"),
+    "proprietary": ("proprietary", "", "", "proprietary(?: software)?"),
 }
 
-# Hand-written ways of citing a name: priority, score, pattern around it.
-CITATIONS = (
-    (0, 1.0, r"spdx license identifier {}(?: only| or later)?"),
-    (1, 0.95, r"(?:is |are |be |been )?(?:licensed|released|distributed|published|available|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?(?: v(?:ersion)? [0-9]+)?"),
-    (2, 0.8, r"{} licen[cs]e(?: v(?:ersion)?)? [0-9]+(?: [0-9]+)?"),
-    (3, 0.7, r"{} licen[cs]e"),
-    (3, 0.6, r"licen[cs]e {}"),
-)
+_LICENSE = "licen[cs]es?"
+_VERSION = "(?: v(?:ersion)?)? ?[0-9]+(?: [0-9]+)?"
+# Hand-written ways of citing a name: priority, score, pattern around it.  Each holds "licen", "spdx" or "terms".
+CITED_TAGS = (
+    (0, 1.0, "spdx license identifier (?:{})(?: only| or later| plus)?"),
+    (1, 0.95, "licen[cs]ed under (?:the )?(?:terms of )?(?:the )?{}"),
+    (1, 0.95, "dual licen[cs]ed (?:under )?(?:the )?{}"),
+    (1, 0.95, "under (?:the )?terms of (?:the )?{}"),
+    (1, 0.95, "either (?:the )?{} or (?:[^ ]+ ){{1,6}}licen[cs]e"),
+    (2, 0.9, f"{{}}(?: or later)? {_LICENSE}{_VERSION}"),
+    (2, 0.85, f"{{}}(?: or later)? {_LICENSE}"),
+    (2, 0.85, f"{_LICENSE} (?:is )?(?:the )?{{}}"),
+    (3, 0.7, "{} licen[cs]ed"),
+    (3, 0.6, "{} with (?:[^ ]+ ){{1,4}}exception (?:[^ ]+ ){{0,4}}licen[cs]e"),
+)
+CITED_TITLES = (
+    (0, 1.0, f"spdx license identifier {{}} {_LICENSE}"),
+    (1, 0.95, f"under (?:the )?(?:terms of )?(?:the )?{{}} {_LICENSE}{_VERSION}"),
+    (1, 0.95, f"under (?:the )?(?:terms of )?(?:the )?{{}} {_LICENSE}"),
+    (2, 0.9, f"{{}} {_LICENSE}{_VERSION}"),
+    (2, 0.85, f"{{}} {_LICENSE}"),
+    (3, 0.7, "licen[cs]ed under (?:the )?{}"),
+)
+CITED_NAMES = (
+    (0, 1.0, "spdx license identifier {}"),
+    (1, 0.95, f"(?:licen[cs]ed|released|distributed|published|available|covered|provided) under (?:the )?(?:terms of )?(?:the )?{{}} {_LICENSE}{_VERSION}"),
+    (1, 0.95, f"(?:licen[cs]ed|released|distributed|published|available|covered|provided) under (?:the )?(?:terms of )?(?:the )?{{}} {_LICENSE}"),
+    (1, 0.9, "licen[cs]ed under (?:the )?(?:terms of )?(?:the )?{}"),
+    (2, 0.8, f"{{}} {_LICENSE}{_VERSION}"),
+    (2, 0.8, f"{{}} style {_LICENSE}"),
+    (3, 0.7, f"{{}} {_LICENSE}"),
+    (3, 0.7, "{} licen[cs]ed"),
+)
 
 # Hand-written sentences of license texts.
 SENTENCES = (
@@ -90,6 +117,7 @@ SENTENCES = (
     ("bsd", "endorse", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products"),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "public domain", "released into the public domain"),
     ("unlicense", "public domain", "this is free and unencumbered software released into the public domain"),
     ("zlib", "as is", "this software is provided as is without any express or implied warranty"),
     ("boost", "boost", "boost software license version 1 0"),
@@ -114,16 +142,18 @@ def signatures() -> list[Signature]:
     """The rules in order: the base phrases, license sentences, citations of every name."""
     rules = [Signature(label, phrase, phrase, 3, 0.7) for phrase, label in BASE_PHRASES.items()]
     rules += [Signature(label, keyword, sentence, 0, 0.9) for label, keyword, sentence in SENTENCES]
-    for priority, score, shape in CITATIONS:
-        for label, (keyword, names) in FAMILIES.items():
-            rules += [Signature(label, keyword, shape.format(name), priority, score) for name in names]
+    for kind, shapes in enumerate((CITED_TAGS, CITED_TITLES, CITED_NAMES), start=1):
+        for priority, score, shape in shapes:
+            for label, family in FAMILIES.items():
+                if family[kind]:
+                    rules.append(Signature(label, family[0], shape.format(family[kind]), priority, score))
     return rules
 
 
 #: Every rule's pattern holds one of these, so that a text without them has no detection.
 GATE = (
-    "licen", "spdx", "permission", "redistribut", "warranty", "domain", "free", "reserved", "creativecommons", "apache",
-    "gnu", "boost", "mozilla", "endorse", "released", "distributed", "published", "available", "covered", "copyright",
+    "licen", "spdx", "terms", "permission", "redistribut", "warranty", "domain", "free", "reserved", "creativecommons", "apache",
+    "gnu", "boost", "mozilla", "endorse", "copyright",
 )
 
 

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetloom.llm.batches import ready_workers
 from sheetloom.llm.words import Words, mix, text_words
@@ -224,11 +225,14 @@ def _touched(cells: DataFrame, least: int) -> DataFrame:
     return _in_groups(cells, GROUP_ROWS).applyInArrow(touch, "cell bigint, rep bigint, signature binary, component bigint")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, n_docs: int) -> DataFrame:
-    """``(id, shingles)`` of the documents with these ids."""
+def _full_sets(docs: DataFrame, repeated: DataFrame, ids: DataFrame, n_docs: int) -> DataFrame:
+    """``(id, shingles)`` of the documents with these ids, one row each; the ids in ``repeated (again)`` have several rows of one set."""
     ids = _saved(ids.distinct(), "near-ids", n_docs)
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.join(small, docs["doc_id"] == small["id"], "left_semi").select("doc_id", "text")
+    if not repeated.isEmpty():
+        again = F.col("doc_id") == F.col("again")
+        chosen = chosen.join(repeated, again, "left_anti").unionByName(chosen.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,9 +244,9 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n_docs: int) -> DataFrame:
     return materialize(chosen.mapInArrow(spell, "id bigint, shingles array<bigint>"), "near-sets")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, n_docs: int) -> DataFrame:
+def _confirmed(docs: DataFrame, repeated: DataFrame, pairs: DataFrame, percent: int, n_docs: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
-    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n_docs)
+    sets = _full_sets(docs, repeated, pairs.select(F.explode(F.array("a", "b")).alias("id")), n_docs)
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -250,12 +254,12 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, n_docs: int) ->
     return counted.where(100 * F.col("shared") >= percent * F.col("union")).select("a", "b")
 
 
-def _confirmed_across(docs: DataFrame, touched: DataFrame, least: int, percent: int, n_docs: int) -> DataFrame:
+def _confirmed_across(docs: DataFrame, repeated: DataFrame, touched: DataFrame, least: int, percent: int, n_docs: int) -> DataFrame:
     """Pairs ``(a, b)`` of different components in a cell whose full sets are similar enough.
 
     A cell gets every set once, however many near pairs it has.
     """
-    sets = _full_sets(docs, touched.select(F.col("rep").alias("id")), n_docs).withColumnRenamed("id", "rep")
+    sets = _full_sets(docs, repeated, touched.select(F.col("rep").alias("id")), n_docs).withColumnRenamed("id", "rep")
 
     def confirm(table: pa.Table) -> pa.Table:
         table, heads, sizes = _sorted_cells(table)
@@ -395,6 +399,8 @@ def _components(named: DataFrame, sets: DataFrame, percent: int, n_docs: int) ->
     known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = _saved(
         known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "near-classes", n_docs)
+    repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    repeated = _saved(repeated, "near-repeated", n_docs)
     roots = classes.select("rep", F.explode("keys").alias("cell"))
     sizes = roots.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = roots.join(sizes, "cell")
@@ -404,11 +410,11 @@ def _components(named: DataFrame, sets: DataFrame, percent: int, n_docs: int) ->
         "rep", "signature",
     )
     tried = _saved(_proposed(parted, least), "near-tried", n_docs)
-    links = _saved(_confirmed(named, tried, percent, n_docs), "near-links", n_docs)
+    links = _saved(_confirmed(named, repeated, tried, percent, n_docs), "near-links", n_docs)
     components = _saved(connected_components(links.toDF("u", "v")), "near-components", n_docs)
     cells = _saved(_walk(_with_component(rows.select("cell", "rep", "signature"), components), n_docs), "near-leaves", n_docs)
     touched = _saved(_touched(cells, least), "near-touched", n_docs)
-    more = _saved(_confirmed_across(named, touched, least, percent, n_docs), "near-more", n_docs)
+    more = _saved(_confirmed_across(named, repeated, touched, least, percent, n_docs), "near-more", n_docs)
     if not more.isEmpty():
         components = _saved(connected_components(links.unionByName(more).toDF("u", "v")), "near-components", n_docs)
     # classes that hold one doc_id are one document, and so are rows of a class
@@ -423,15 +429,24 @@ def _components(named: DataFrame, sets: DataFrame, percent: int, n_docs: int) ->
     )
 
 
+def _one_row(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of the keys, the least by a hash of all its columns."""
+    fields = [f for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    names = [F.col(f"`{f.name}`") for f in fields]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.min_by(row, F.xxhash64(*names)).alias("__near_row")).select("__near_row.*")
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stand for their component, with their columns; of repeated rows of one document one stays."""
     judged = materialize(_judged(docs, doc_id, text, percent).where("kept AND doc_id IS NOT NULL").select("doc_id", "own").distinct(), "near-kept")
     known, alone = docs.where(F.col(doc_id).isNotNull()), docs.where(F.col(doc_id).isNull())
     plain = judged.where("own IS NULL").select(F.col("doc_id").alias("__near_id"))
-    one = known.join(plain, F.col(doc_id) == F.col("__near_id"), "left_semi").dropDuplicates([doc_id])
+    one = known.join(plain, F.col(doc_id) == F.col("__near_id"), "left_semi")
+    one = _one_row(one, [doc_id])
     several = judged.where("own IS NOT NULL").select(F.col("doc_id").alias("__near_id"), F.col("own").alias("__near_own"))
     if several.isEmpty():
         return one.unionByName(alone)
     same = (F.col(doc_id) == F.col("__near_id")) & (_own_id(F.col(doc_id), F.col(text)) == F.col("__near_own"))
-    more = known.join(several, same, "left_semi").dropDuplicates([doc_id, text])
+    more = _one_row(known.join(several, same, "left_semi"), [doc_id, text])
     return one.unionByName(more).unionByName(alone)

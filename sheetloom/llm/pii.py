@@ -9,7 +9,9 @@ Offsets are code points, ends exclusive.  A null text counts as empty.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +34,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
-SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+SMALL_IBAN = re.compile(r"(?<![A-Za-z0-9])[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?![A-Za-z0-9])")
+SMALL_IBAN_DIGITS = 10  # in lower case, words look like account numbers
+SSN = re.compile(r"(?<![0-9-])[0-9]{3}([- ]?)[0-9]{2}\1[0-9]{4}(?![0-9-])")
 ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{16,})")
 
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "secret": 0.2}
@@ -42,10 +46,14 @@ CONTEXT_WORDS = {
     "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
     "phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social", "security"),
-    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "api", "auth"),
+    "ssn": ("ssn", "social security", "social insurance"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "passphrase", "key", "keys", "apikey", "api", "auth", "credential", "credentials"),
 }
 CONTEXT_BONUS = 0.4
+# A context word is a whole word: "monkey" and "author" are none of them; "api_key" and "KEY2" hold one.
+CONTEXT_PATTERNS = {kind: re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})(?![^\W\d_])") for kind, words in CONTEXT_WORDS.items()}
+SECRET_BITS = 2.75  # least entropy of a secret's characters
+LONE_LETTERS, LONE_BITS, LONE_VOWELS = 20, 3.6, 0.25  # a secret of letters of one case is as long and as mixed, with fewer vowels than words have
 
 
 def luhn(digits: str) -> bool:
@@ -131,20 +139,44 @@ def _ibans(text: str) -> list[tuple[int, int]]:
         if end >= 0:
             out.append((m.start(), end))
         m = IBAN.search(text, max(end, m.end()))
-    return out
+    for m in SMALL_IBAN.finditer(text):
+        number = m.group().replace(" ", "").upper()
+        if len(number) >= 15 and sum("0" <= c <= "9" for c in number) >= SMALL_IBAN_DIGITS and mod97(number):
+            out.append(m.span())
+    return sorted(out)
 
 
 def _ssns(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SSN.finditer(text) if m.group()[:3] not in ("000", "666") and m.group()[0] != "9"]
 
 
-def _mixed(value: str) -> bool:
-    """Digits and letters, and many different ones: no word and no number."""
-    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 8
+def entropy(value: str) -> float:
+    """Bits a character, by the frequencies of the characters."""
+    return sum(-n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def _random(piece: str) -> bool:
+    """Eight or more characters with digits among letters, or with capitals among small letters: no word, name or number."""
+    if len(piece) < 8 or piece.isdigit():
+        return False
+    head = piece.rstrip("0123456789")  # a name may end in a number
+    return not head.isalpha() or len(head) < len(piece) - 3 or (head[1:] != head[1:].lower() and head != head.upper())
+
+
+def secret_like(value: str) -> bool:
+    """Whether a value looks drawn at random: no path or address, and a piece of it is no word, name or number."""
+    if value.startswith(("/", "./", "../", "~")) or "//" in value or entropy(value) < SECRET_BITS:
+        return False
+    pieces = re.split(r"[-_./+=]+", value)
+    if any(map(_random, pieces)):
+        return True
+    if len(pieces) > 1 or len(value) < LONE_LETTERS or not value.isalpha() or entropy(value) < LONE_BITS:
+        return False
+    return sum(c in "aeiouyAEIOUY" for c in value) < LONE_VOWELS * len(value)
 
 
 def _secrets(text: str) -> list[tuple[int, int]]:
-    return [m.span(1) for m in ASSIGNED.finditer(text) if _mixed(m.group(1))]
+    return [m.span(1) for m in ASSIGNED.finditer(text) if secret_like(m.group(1))]
 
 
 FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns, "secret": _secrets}
@@ -153,8 +185,11 @@ _ASSIGNS = re.compile("[=:]").search
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
-    return min(1.0, SCORES[kind] + CONTEXT_BONUS * any(word in before or word in after for word in CONTEXT_WORDS[kind]))
+    """The kind's own score, more where a context word stands whole within `CONTEXT` characters on either side."""
+    near = CONTEXT_PATTERNS[kind].search
+    # one character more on the outer side tells whether a word at the edge is whole
+    before, after = text[max(0, start - CONTEXT - 1) : start].lower(), text[end : end + CONTEXT + 1].lower()
+    return min(1.0, SCORES[kind] + CONTEXT_BONUS * bool(near(before) or near(after)))
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -168,8 +203,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         kinds += ["ip", "card", "iban", "ssn"]
         if "+" in text:
             kinds.append("phone")
-        if _ASSIGNS(text):
-            kinds.append("secret")
+    if _ASSIGNS(text):
+        kinds.append("secret")
     out = [(kind, a, b, score(text, kind, a, b)) for kind in kinds for a, b in FINDERS[kind](text)]
     return sorted((s for s in out if s[0] in BASE_KINDS or s[3] >= MIN_SCORE), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -14,7 +14,7 @@ from sheetloom.llm.near_dup import near_duplicates
 from sheetloom.llm.pieces import read_model, token_report
 from sheetloom.llm.pii import pii_report
 from sheetloom.llm.prefix_trie import branched, numbered_turns, trie_nodes
-from sheetloom.llm.quality_rules import RULES, STOP_WORDS, quality_report
+from sheetloom.llm.quality_rules import PUNCTUATION, RULES, STOP_WORD_LANGUAGES, STOP_WORDS, UNKNOWN_LANGUAGES, quality_report
 from sheetloom.llm.source_mix import mix_report
 from sheetloom.llm.substring_dedup import remove_repeats
 from sheetloom.llm.turn_repair import DELETE, INSERT, REROLE, TRUNCATED, repair_report
@@ -126,15 +126,19 @@ _RATIOS = {
     "stop_ratio": "n_stop / greatest(n_words, 1)",
 }
 _BROKEN = " OR ".join(
-    f"(n_words >= {r.min_words} AND ({_RATIOS[r.metric]}) {sign} {limit})"
+    f"(n_words >= {r.min_words} AND ({_RATIOS[r.metric]}) {sign} {limit}{' AND stop_words_apply' if r.metric == 'stop_ratio' else ''})"
     for r in RULES
     for sign, limit in (("<", r.low), (">", r.high))
     if limit is not None
 )
 
+_QUOTED_PUNCTUATION = PUNCTUATION.replace("'", "''")
+_LISTED, _UNKNOWN = (", ".join(f"'{x}'" for x in names) for names in (STOP_WORD_LANGUAGES, UNKNOWN_LANGUAGES))
+
 OP7_SQL = f"""
 WITH w AS (
   SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+         COALESCE(lower(regexp_extract(trim(lang), '^[^-_]*', 0)), '') AS label,
          list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents),
 windows AS (
@@ -146,10 +150,11 @@ counted AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, COALESCE(n, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(words, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop,
-         length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper
+         len(list_filter(words, lambda x: lower(trim(x, '{_QUOTED_PUNCTUATION}')) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop,
+         label, length(regexp_replace(t, '[^\\p{{Latin}}]', '', 'g')) AS n_latin, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper
   FROM w LEFT JOIN covered USING (doc_id)),
-judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+judged AS (SELECT *, 2 * n_latin >= n_letters AND (label IN ({_LISTED}) OR (label IN ({_UNKNOWN}) AND n_stop > 0)) AS stop_words_apply,
+           n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_BROKEN}) AS kept FROM judged
 """
 
