@@ -160,7 +160,8 @@ def _random(piece: str) -> bool:
     if len(piece) < 8 or piece.isdigit():
         return False
     head = piece.rstrip("0123456789")  # a name may end in a number
-    return not head.isalpha() or len(head) < len(piece) - 3 or (head[1:] != head[1:].lower() and head != head.upper())
+    capitals = sum(c.isupper() for c in head)  # and CamelCase has few of them
+    return not head.isalpha() or len(head) < len(piece) - 4 or len(head) <= 4 * capitals <= 3 * len(head)
 
 
 def secret_like(value: str) -> bool:
