@@ -199,7 +199,8 @@ def repeated_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
     """Per document that loses lines: doc_id and the ``digests`` of the keys that a smaller doc_id holds."""
     suspects = materialize(suspected_lines(docs, broadcast_bytes), "line-suspects")
     both = suspects.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    owners = both.select(F.col("digest").alias("d"), "least")
+    # written, so that both sides of the join come straight from a shuffle and a very common line can be split at run time
+    owners = materialize(both.select(F.col("digest").alias("d"), "least"), "line-owners")
     later = suspects.join(owners, (F.col("digest") == F.col("d")) & (F.col("doc_id") > F.col("least")))
     return later.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
 
