@@ -114,6 +114,33 @@ def recipe_replay(spark: SparkSession, sf: str) -> DataFrame:
     return apply_recipe(sheet, RECIPE, table(spark, sf, "customer", "c_custkey")).df.drop(ROW_ID)
 
 
+CHAIN_RECIPE = [
+    {"action": "fill_missing", "params": {"strategies": {"price": {"method": "ffill"}}}},
+    {"action": "rank", "params": {"column": "price", "new_column": "Rank"}},
+    {"action": "rank", "params": {"column": "Rank", "new_column": "Again", "ascending": True}},
+    {"action": "quick_fix", "params": {"fix_id": "remove_empty_rows"}},
+    {"action": "serial_number", "params": {"new_column": "Sr No", "start": 10}},
+    {"action": "fill_missing", "params": {"strategies": {"priority": {"method": "ffill"}, "status": {"method": "bfill"}}}},
+]
+
+CHAINED = f"""
+WITH messy AS ({plain(MESSY_ORDERS)}),
+filled AS (SELECT * REPLACE (last_value(price IGNORE NULLS) OVER (ORDER BY o_orderkey) AS price) FROM messy),
+ranked AS (SELECT *, CASE WHEN price IS NOT NULL THEN CAST(rank() OVER (ORDER BY price DESC NULLS LAST) AS DOUBLE) END AS "Rank" FROM filled),
+again AS (SELECT *, CASE WHEN "Rank" IS NOT NULL THEN CAST(rank() OVER (ORDER BY "Rank" NULLS LAST) AS DOUBLE) END AS "Again" FROM ranked)
+SELECT o_orderkey, o_custkey, price,
+       last_value(CASE WHEN trim(priority) <> '' THEN priority END IGNORE NULLS) OVER (ORDER BY o_orderkey) AS priority,
+       first_value(status IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS status,
+       remark, grade, "Rank", "Again", 9 + row_number() OVER (ORDER BY o_orderkey) AS "Sr No"
+FROM again
+"""
+
+
+def recipe_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps on the row order that depend on one another."""
+    return apply_recipe(derived(spark, sf, MESSY_ORDERS, "o_orderkey"), CHAIN_RECIPE).df.drop(ROW_ID)
+
+
 def recipe_skips(spark: SparkSession, sf: str) -> DataFrame:
     """Three of six steps are skipped; the others still apply."""
     replay = apply_recipe(derived(spark, sf, MESSY_ORDERS, "o_orderkey"), BROKEN_RECIPE)
@@ -163,6 +190,7 @@ QUERIES = {
            UNION ALL SELECT 'undo_reset', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM l""",
     ),
     "recipe_replay": Query(recipe_replay, REPLAYED),
+    "recipe_chain": Query(recipe_chain, CHAINED),
     "recipe_skips": Query(
         recipe_skips,
         f"""SELECT row_number() OVER (ORDER BY status) AS "Sr No", status, o_orderkey, 3 AS skipped

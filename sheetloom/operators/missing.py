@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions.cells import as_text, double_to_text, is_missing, round_half_even, text_to_number, to_number
 from sheetloom.operators.medians import exact_medians
-from sheetloom.operators.ordered import directional_fill
+from sheetloom.operators.ordered import OrderIndex, directional_fill
 from sheetloom.rows import col, data_columns, field_type, is_fractional, is_numeric, is_text
 
 NUMERIC_TEXT_SHARE = 0.7
@@ -75,11 +75,12 @@ def top_missing(df: DataFrame, n: int = 10) -> DataFrame:
     return report.orderBy(F.col("missing_count").desc(), "position").limit(n)
 
 
-def fill_missing(df: DataFrame, strategies: dict[str, dict[str, Any]]) -> DataFrame:
+def fill_missing(df: DataFrame, strategies: dict[str, dict[str, Any]], index: OrderIndex | None = None) -> DataFrame:
     """Apply ``{column: {"method": ..., "value": ...}}`` in the given order.
 
     Unknown columns and methods are ignored.  Neighbouring steps of one kind
-    share their work: statistics one job, directional fills one shuffle.
+    share their work: statistics one job, directional fills one shuffle.  An
+    ``index`` of the row order serves the fills up to the first dropped row.
     """
     steps = [
         (c, spec["method"], spec.get("value", ""))
@@ -98,8 +99,9 @@ def fill_missing(df: DataFrame, strategies: dict[str, dict[str, Any]]) -> DataFr
         elif kind == "direction":
             down = [c for c, m, _ in batch if m == "ffill"]
             up = [c for c, m, _ in batch if m == "bfill"]
-            df = directional_fill(df, down, up)
+            df = directional_fill(df, down, up, index)
         else:
+            df, index = OrderIndex.plain(df), None
             for c, _, _ in batch:
                 df = df.where(~is_missing(df, c))
         i = j

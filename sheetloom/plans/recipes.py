@@ -1,4 +1,9 @@
-"""Recorded steps, replayed on another table as one lazy plan."""
+"""Recorded steps, replayed on another table.
+
+Steps within rows stay one lazy plan.  Steps on the row order share an index of
+it, for which the table is written once, so that scans grow with the number of
+such steps and not with its powers.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +16,14 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetloom.operators.fixes import apply_fix
+from sheetloom.operators.fixes import REGISTRY, apply_fix, find_fix
 from sheetloom.operators.formulas import concatenate, if_column, text_extract
 from sheetloom.operators.lookups import hlookup, vlookup
 from sheetloom.operators.missing import fill_missing
-from sheetloom.operators.ordered import rank_column, serial_number
+from sheetloom.operators.ordered import OrderIndex, rank_column, serial_number
 from sheetloom.operators.pivots import pivot_table
-from sheetloom.rows import with_row_id
-from sheetloom.session import scratch_dir
+from sheetloom.rows import BUCKET, require_columns, require_row_id, with_row_id
+from sheetloom.session import materialize, scratch_dir
 
 # Replayable actions and their labels.
 ACTION_LABELS = {
@@ -35,6 +40,7 @@ ACTION_LABELS = {
     "hlookup": "HLOOKUP",
 }
 LOOKUP_ACTIONS = ("vlookup", "index_match", "hlookup")
+BUILT_IN = tuple(REGISTRY)  # a fix registered later may do anything to the rows
 
 
 @dataclass
@@ -58,6 +64,54 @@ def _pivot(df: DataFrame, p: dict) -> DataFrame:
     return with_row_id(pivoted).checkpoint()
 
 
+# Steps that may drop, add or replace rows; after them an index of the row order no longer holds.
+ROW_FIXES = ("remove_duplicates", "remove_empty_rows")
+
+
+def _directions(p: dict) -> list[str]:
+    return [(spec or {}).get("method") for spec in (p.get("strategies") or {}).values()]
+
+
+def keeps_rows(action: str, p: dict) -> bool:
+    """Whether a step leaves the rows as they are, whatever it does to their cells."""
+    if action == "quick_fix":
+        known = find_fix(p.get("fix_id"))
+        return known is not None and known in BUILT_IN and known.id not in ROW_FIXES
+    if action == "fill_missing":
+        return "drop_rows" not in _directions(p)
+    if action in ("vlookup", "index_match"):
+        return p.get("how", "left") == "left"
+    return action in ("if", "concatenate", "text_extract", "serial_number", "rank")
+
+
+@dataclass
+class _Sheet:
+    """The table of a replay and, from the first step on that needs one, an index of its row order.
+
+    The index writes the table once.  Steps read that, or what the last step on
+    the order has written: a step that counts first never repeats the shuffles
+    of an earlier one.
+    """
+
+    df: DataFrame
+    index: OrderIndex | None = None
+    shuffled: bool = False  # a step on the order is in the plan
+
+    def in_order(self, counts: bool, run: Callable[[DataFrame, OrderIndex], DataFrame]) -> None:
+        df, index, shuffled = self.df, self.index, self.shuffled
+        if index is None:
+            index = OrderIndex(OrderIndex.plain(df), write=True)
+            df, shuffled = index.table, False
+        elif counts and shuffled:
+            df, shuffled = materialize(OrderIndex.plain(df), "ordered"), False
+        self.df, self.index, self.shuffled = run(df, index), index, True
+
+    def in_place(self, keeps: bool, run: Callable[[DataFrame], DataFrame]) -> None:
+        self.df = run(OrderIndex.plain(self.df))
+        if not keeps:
+            self.index = None
+
+
 STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "quick_fix": _quick_fix,
     "fill_missing": lambda df, p: fill_missing(df, p.get("strategies", {})),
@@ -74,6 +128,20 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 }
 
 
+# Steps on the row order, whether they count before they run.
+ORDER_STEPS: dict[str, tuple[bool, Callable[[DataFrame, dict, OrderIndex], DataFrame]]] = {
+    "serial_number": (False, lambda df, p, index: serial_number(df, p.get("new_column", "Sr No"), p.get("start", 1), index)),
+    "rank": (True, lambda df, p, index: STEPS["rank"](df, p)),
+    "fill_missing": (True, lambda df, p, index: fill_missing(df, p.get("strategies", {}), index)),
+}
+
+
+def _on_order(action: str, p: dict) -> bool:
+    if action == "fill_missing":
+        return bool({"ffill", "bfill"} & set(_directions(p)))
+    return action in ORDER_STEPS
+
+
 def _vlookup(df: DataFrame, lookup: DataFrame, p: dict) -> DataFrame:
     return vlookup(df, lookup, p["key_column"], p["lookup_key_column"], p["value_columns"], p.get("how", "left"))
 
@@ -97,6 +165,7 @@ def apply_recipe(df: DataFrame, steps: list[dict[str, Any]], lookup_df: DataFram
     steps profile the table first, ends the replay.
     """
     replay = Replay(df)
+    sheet = _Sheet(df)
     for i, step in enumerate(steps, start=1):
         action = step.get("action")
         params = step.get("params") or {}
@@ -105,18 +174,32 @@ def apply_recipe(df: DataFrame, steps: list[dict[str, Any]], lookup_df: DataFram
             if action in LOOKUP_STEPS:
                 if lookup_df is None:
                     raise ValueError("no lookup table was given")
-                replay.df = LOOKUP_STEPS[action](replay.df, lookup_df, params)
+                sheet.in_place(keeps_rows(action, params), lambda df: LOOKUP_STEPS[action](df, lookup_df, params))
+            elif action in STEPS and _on_order(action, params):
+                counts, run = ORDER_STEPS[action]
+                _check_columns(sheet.df, action, params)
+                sheet.in_order(counts, lambda df, index: run(df, params, index))
+                if not keeps_rows(action, params):
+                    sheet.index = None
             elif action in STEPS:
-                replay.df = STEPS[action](replay.df, params)
+                sheet.in_place(keeps_rows(action, params), lambda df: STEPS[action](df, params))
             else:
                 raise ValueError("this action cannot be replayed")
         except (ValueError, KeyError, TypeError, AnalysisException) as error:
             replay.skipped.append({**entry, "reason": _reason(error)})
         else:
             replay.applied.append(entry)
+    replay.df = OrderIndex.plain(sheet.df) if BUCKET in sheet.df.columns else sheet.df
     return replay
 
 
+def _check_columns(df: DataFrame, action: str, p: dict) -> None:
+    """What a step on the order needs, before a table is written for it."""
+    require_row_id(df)
+    if action == "rank" and "column" in p:
+        require_columns(df, p["column"])
+
+
 def _reason(error: Exception) -> str:
     return f"missing parameter {error}" if isinstance(error, KeyError) else str(error)
 
