@@ -164,6 +164,11 @@ def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("left_row_id", "right_row_id", F.round("score", 4).alias("score"))
 
 
+def fuzzy_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows behind the ids of `fuzzy_pairs`."""
+    return similarity.text_members(table(spark, sf, "part", "p_partkey"), ["p_name"])
+
+
 def fuzzy_groups(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.similar_groups(table(spark, sf, "pages", "page_id"), ["url"])
 
@@ -326,6 +331,12 @@ QUERIES = {
                      AS numeric_share FROM ({plain(ROUGH_EVENTS)}) WHERE trim(mixed) <> ''""",
     ),
     "fuzzy_pairs": Query(fuzzy_pairs, _pairs_sql("part", "p_partkey", "p_name")),
+    "fuzzy_members": Query(
+        fuzzy_members,
+        r"""SELECT p_partkey AS row_id, MIN(p_partkey) OVER (
+                     PARTITION BY array_to_string(list_sort(regexp_split_to_array(trim(lower(COALESCE(p_name, ''))), '\s+')), ' ')) AS representative
+            FROM part""",
+    ),
     "fuzzy_groups": Query(fuzzy_groups, _groups_sql("pages", "page_id", "url")),
     "fuzzy_groups_parts": Query(fuzzy_groups_parts),
     "rate_limit_batch": Query(

@@ -522,7 +522,7 @@ def similar_pairs(
     """Matching pairs ``(left_row_id, right_row_id, score)`` of distinct texts.
 
     A text that occurs several times stands for all its rows under the
-    smallest row id; :func:`similar_groups` lists every row.
+    smallest row id; :func:`text_members` lists the rows behind each.
     """
     df, columns, threshold = _check(df, columns, threshold, max_rows)
     schema = "left_row_id long, right_row_id long, score double"
@@ -538,6 +538,21 @@ def similar_pairs(
     )
 
 
+def text_members(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Every row's text representative ``(row_id, representative)``: the rows behind the ids of :func:`similar_pairs`.
+
+    A representative is the least row id among the rows whose sorted words are
+    equal.  A row of its own text, or without any text, stands for itself or for
+    the first of its kind; an aggregate and a join on the text's digest, no pairs.
+    """
+    require_row_id(df)
+    columns = text_columns(df) if columns is None else list(columns)
+    require_columns(df, *columns)
+    rows = df.select(F.col(ROW_ID), F.unhex(F.sha2(sorted_words(row_text(df, columns)), 256)).alias("digest"))
+    least = rows.groupBy(F.col("digest").alias("d")).agg(F.min(ROW_ID).alias("representative"))
+    return rows.join(least, F.col("digest") == F.col("d")).select(F.col(ROW_ID).alias("row_id"), "representative")
+
+
 def similar_groups(
     df: DataFrame,
     columns: list[str] | None = None,

@@ -167,3 +167,12 @@ def test_components(spark):
     assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
     early = {r["node"]: r["component"] for r in connected_components(df, max_rounds=1).collect()}
     assert set(early) == set(want) and all(want[c] == want[n] for n, c in early.items())
+
+
+def test_members_are_the_rows_behind_a_pair(sheet):
+    df = sheet("Name string, n long", [(x, 1) for x in ["red  apple", "Apple red", None, "apple red ", "pear", "", "red apples"]])
+    found = {r["row_id"]: r["representative"] for r in sim.text_members(df).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 2, 6: 6}
+    pairs = sim.similar_pairs(df, ["Name"], 90).collect()
+    assert {(r["left_row_id"], r["right_row_id"]) for r in pairs} == {(0, 6)}
+    assert {i for i, rep in found.items() if rep == 0} == {0, 1, 3}
