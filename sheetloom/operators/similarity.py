@@ -14,7 +14,12 @@ How the join stays exact without comparing everything:
 3. The chunks of a text are free to choose; the rarest ones are taken, by a
    fixed-size frequency sketch, so boilerplate shared by many rows is avoided
    wherever the text has anything else to offer.
-4. Length, position and letter-count bounds are part of the join, so pairs
+4. Where the edits leave no chunk whole (short texts, low thresholds), a text
+   is a bag of tokens (letter, how often it came before).  A match has a known
+   number of tokens in common, so the rarest few of each side must meet.
+5. The index keys go into a filter of bounded size, shipped once; only probing
+   keys that it knows are written.
+6. Length, position and letter-count bounds are part of the join, so pairs
    that fail them are never emitted; the rest is verified with a bit-parallel
    LCS.
 
@@ -45,6 +50,8 @@ SKETCH_SIZE = 1 << 18
 SKETCH_TEXTS = 1_000_000
 BLOCK = 512
 SLICE_LETTERS = 50_000
+FILTER_BITS = 1 << 20, 1 << 28  # least and most bits of the filter of index keys; 32 MB at most
+BITS_PER_KEY = 16
 LINK_ROUNDS = 1  # neighbour links only save work; they need not be complete
 SEPARATOR = " | "
 
@@ -133,6 +140,15 @@ class Geometry:
         slack = least * (n // BLOCK + 1) if n > 2 * BLOCK else 0  # long texts choose block by block
         return self.chunks(n) * least + slack > n
 
+    def index_letters(self, n: np.ndarray) -> np.ndarray:
+        """Rarest tokens of a text of length n of which one is among those of any match no longer than it."""
+        shortest = -(-n * self.threshold // (200 - self.threshold))
+        return n + 1 + -(n + shortest) * self.threshold // 200
+
+    def probe_letters(self, n: np.ndarray) -> np.ndarray:
+        """The same for matches that are no shorter."""
+        return n + 1 + -n * self.threshold // 100
+
     @cached_property
     def letters_needed(self) -> bool:
         if not self.widths:
@@ -193,16 +209,34 @@ class _Texts:
         bits = ((1 << np.minimum(counts, 8)) - 1).astype(np.uint8)
         return np.ascontiguousarray(bits).view(np.int64), np.maximum(counts - 8, 0).sum(axis=1)
 
+    @cached_property
+    def letter_tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, owners) of every letter with the number of times it came before in its text."""
+        order = np.lexsort((self.codes, self.owner))
+        codes, owner = self.codes[order], self.owner[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(fresh)
+        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        h = (codes * _MIX ^ nth.astype(np.uint64)) * _MIX
+        return _key(h ^ (h >> np.uint64(29)), 1, False), owner
+
+    def rarest_letters(self, limits: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, owners, ranks) of the first ``limits`` tokens of every text, in one order for all texts."""
+        keys, owner = self.letter_tokens
+        order = np.lexsort((keys, sketch[_cells(keys)], owner))
+        rank = np.arange(len(order)) - self.start[owner]  # a text has as many tokens as letters
+        kept = rank < limits[owner]
+        return keys[order][kept], owner[kept], rank[kept]
+
     def probe_keys(self, g: Geometry) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(width, keys, flat places) under which a text looks for longer partners."""
+        """(width, keys, flat places) of the chunks under which a text looks for longer partners."""
         for w in g.widths:
             forms = [(_gram_hashes(self.codes, w), w, False), (_gram_hashes(self.codes, w - 1), w - 1, True)]
             forms += [(_gram_hashes(self.codes, w + 1, skip=j), w + 1, False) for j in range(1, w)]
             for h, span, shortened in forms:
                 at = np.flatnonzero(self.room >= span)
                 yield w, _key(h[at], w, shortened), at
-        if g.letters_needed:
-            yield 1, _key(_gram_hashes(self.codes, 1), 1, False), np.arange(len(self.codes))
 
     def index_keys(self, g: Geometry, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(width, keys, flat places) of the chosen chunks of every text."""
@@ -213,13 +247,9 @@ class _Texts:
             forms[w] = keys
             costs[w] = sum(sketch[_cells(k)] for k in keys).astype(float)
         chosen: dict[int, list[int]] = {w: [] for w in g.widths}
-        letters = []
         for start, n in zip(self.start.tolist(), self.length.tolist()):
-            if not g.edits(n):
-                continue  # only an equal text could match
-            if g.by_letters(n):
-                letters.append(np.arange(start, start + n))
-                continue
+            if not g.edits(n) or g.by_letters(n):
+                continue  # only an equal text could match, or one with the same rare letters
             own = {w: costs[w][start : start + n] for w in g.widths}
             for at, w in rarest_chunks(own, n, g.chunks(n)):
                 chosen[w].append(start + at)
@@ -227,9 +257,6 @@ class _Texts:
             at = np.array(places, np.int64)
             for keys in forms[w]:
                 yield w, keys[at], at
-        if letters:
-            at = np.concatenate(letters)
-            yield 1, _key(_gram_hashes(self.codes, 1), 1, False)[at], at
 
 
 def rarest_chunks(cost: dict[int, np.ndarray], n: int, chunks: int) -> list[tuple[int, int]]:
@@ -282,16 +309,27 @@ def _sketch_batches(threshold: int):
         cells = np.zeros(SKETCH_SIZE, np.int64)
         for pdf in batches:
             for part in _slices(pdf):
-                for _, keys, _ in _Texts(part["s"].tolist()).probe_keys(Geometry(threshold)):
+                texts, g = _Texts(part["s"].tolist()), Geometry(threshold)
+                for _, keys, _ in texts.probe_keys(g):
                     cells += np.bincount(_cells(keys), minlength=SKETCH_SIZE)
+                if g.letters_needed:
+                    cells += np.bincount(_cells(texts.letter_tokens[0]), minlength=SKETCH_SIZE)
         used = np.flatnonzero(cells)
         yield pd.DataFrame({"cell": used, "n": cells[used]})
 
     return run
 
 
-def _key_batches(threshold: int, sketch):
-    """One row per key: role 0 indexes a text, role 1 looks for longer ones."""
+INDEX, PROBE = 0, 1
+KEY_SCHEMA = "rep long, component long, n int, role int, k long, p int, w0 long, w1 long, w2 long, w3 long, rest int"
+
+
+def _key_batches(threshold: int, role: int, sketch, known=None):
+    """One row per key of a role: indexing a text, or looking for longer ones.
+
+    ``p`` is the place of a chunk, or -1 and further down the rank of a letter.
+    Keys that a filter of the index does not know are left out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = Geometry(threshold)
@@ -300,26 +338,49 @@ def _key_batches(threshold: int, sketch):
                 texts = _Texts(part["s"].tolist())
                 rep, component = part["rep"].to_numpy(), part["component"].to_numpy()
                 bags, rest = texts.letter_counts()
-                for role, found in enumerate((texts.index_keys(g, sketch.value), texts.probe_keys(g))):
-                    for width, keys, at in found:
-                        owner = texts.owner[at]
-                        place = texts.place[at] if width > 1 else np.zeros(len(at))  # a letter may be anywhere
-                        yield pd.DataFrame(
-                            {
-                                "rep": rep[owner],
-                                "component": component[owner],
-                                "n": texts.length[owner].astype(np.int32),
-                                "role": np.full(len(at), role, np.int32),
-                                "k": keys.view(np.int64),
-                                "p": place.astype(np.int32),
-                                **{f"w{i}": bags[owner, i] for i in range(4)},
-                                "rest": rest[owner].astype(np.int32),
-                            }
-                        )
+                for keys, owner, place in _role_keys(texts, g, role, sketch.value):
+                    if known is not None:
+                        met = _may_hold(known.value, keys)
+                        keys, owner, place = keys[met], owner[met], place[met]
+                    yield pd.DataFrame(
+                        {
+                            "rep": rep[owner],
+                            "component": component[owner],
+                            "n": texts.length[owner].astype(np.int32),
+                            "role": np.full(len(keys), role, np.int32),
+                            "k": keys.view(np.int64),
+                            "p": place.astype(np.int32),
+                            **{f"w{i}": bags[owner, i] for i in range(4)},
+                            "rest": rest[owner].astype(np.int32),
+                        }
+                    )
 
     return run
 
 
+def _role_keys(texts: _Texts, g: Geometry, role: int, sketch: np.ndarray):
+    """(keys, owners, places) of the chunks and then of the letters."""
+    for _, keys, at in texts.index_keys(g, sketch) if role == INDEX else texts.probe_keys(g):
+        yield keys, texts.owner[at], texts.place[at]
+    if g.letters_needed:
+        if role == INDEX:
+            wanted = [bool(g.edits(n)) and g.by_letters(n) for n in texts.length.tolist()]
+            limits = np.where(wanted, g.index_letters(texts.length), 0)
+        else:
+            limits = g.probe_letters(texts.length)
+        keys, owner, rank = texts.rarest_letters(limits, sketch)
+        yield keys, owner, -1 - rank
+
+
+def _may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a filter, as 64-bit words, may hold each key: two bits a key."""
+    last = np.uint64(64 * len(words) - 1)
+    held = np.ones(len(keys), bool)
+    for bit in (keys & last, (keys >> np.uint64(32)) & last):
+        held &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return held
+
+
 # --------------------------------------------------------------------------
 # candidates and verification
 # --------------------------------------------------------------------------
@@ -355,17 +416,42 @@ def _gram_sketch(reps: DataFrame, threshold: int):
     return reps.sparkSession.sparkContext.broadcast(sketch)
 
 
+def _key_filter(indexed: DataFrame):
+    """A Bloom filter of the index keys, shared with the tasks.
+
+    Its size follows their number up to a fixed bound.  Beyond that it lets more
+    probing keys pass, which costs rows and changes no result.
+    """
+    least, most = FILTER_BITS
+    bits = min(max(1 << (BITS_PER_KEY * indexed.count()).bit_length(), least), most)
+    place = lambda c: c.bitwiseAND(F.lit(bits - 1))
+    found = (
+        indexed.select(F.explode(F.array(place(F.col("k")), place(F.shiftrightunsigned("k", 32)))).alias("bit"))
+        .groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
+        .toArrow()  # one row a word of the filter at most
+    )
+    words = np.zeros(bits // 64, np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return indexed.sparkSession.sparkContext.broadcast(words)
+
+
 def _close(threshold: int) -> Column:
-    """Length and position bounds between an indexed and a probing text."""
+    """Length and place bounds between an indexed and a probing text.
+
+    Of letters, the first that two texts share leaves them no more in common
+    than comes after it in either.
+    """
     total = F.col("na") + F.col("nb")
     least = F.ceil(total * threshold / F.lit(200))  # LCS of a match
     shift = F.col("pb") - F.col("pa")
+    after = F.least(F.col("na") + F.col("pa"), F.col("nb") + F.col("pb")) + 1
+    near = (shift >= least - F.col("na") - 1) & (shift <= F.col("nb") - least + 1)
     return (
         (F.col("na") >= F.col("nb"))
         & (F.col("nb") * 200 >= total * threshold)
         & ((F.col("na") > F.col("nb")) | (F.col("a") < F.col("b")))
-        & (shift >= least - F.col("na") - 1)
-        & (shift <= F.col("nb") - least + 1)
+        & F.when(F.col("pa") < 0, after >= least).otherwise(near)
     )
 
 
@@ -384,11 +470,11 @@ def _candidates(reps: DataFrame, threshold: int, across_components: bool) -> Dat
     component are of no use.  Each key's largest component is then split off,
     and the join is built so that its members only ever meet outsiders.
     """
-    signed = reps.select("rep", "s", "component").mapInPandas(
-        _key_batches(threshold, _gram_sketch(reps, threshold)),
-        "rep long, component long, n int, role int, k long, p int, w0 long, w1 long, w2 long, w3 long, rest int",
-    )
-    keyed = materialize(signed, "keys")
+    sketch, texts = _gram_sketch(reps, threshold), reps.select("rep", "s", "component")
+    indexed = materialize(texts.mapInPandas(_key_batches(threshold, INDEX, sketch), KEY_SCHEMA), "index")
+    known = _key_filter(indexed)
+    probing = materialize(texts.mapInPandas(_key_batches(threshold, PROBE, sketch, known), KEY_SCHEMA), "probes")
+    keyed = indexed.union(probing)
     if across_components:
         sizes = keyed.groupBy("k", "component").agg(
             F.count("*").alias("c"), F.min("role").alias("r0"), F.max("role").alias("r1")
