@@ -52,6 +52,8 @@ BLOCK = 512
 SLICE_LETTERS = 50_000
 FILTER_BITS = 1 << 20, 1 << 28  # least and most bits of the filter of index keys; 32 MB at most
 BITS_PER_KEY = 16
+WORD = 64
+PAIRS_AT_ONCE = 4_096
 LINK_ROUNDS = 1  # neighbour links only save work; they need not be complete
 SEPARATOR = " | "
 
@@ -94,9 +96,54 @@ def lcs_length(a: str, b: str) -> int:
     return same + len(a) - row.bit_count()
 
 
+def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """LCS lengths of many pairs.
+
+    Pairs whose shorter text fits a 64-bit word are worked on side by side, a
+    word each; longer ones one by one, where a step is worth its call.
+    """
+    found = np.zeros(len(left), np.int64)
+    words = []
+    for i, (a, b) in enumerate(zip(left, right)):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) > WORD:
+            found[i] = lcs_length(a, b)
+        elif a:
+            words.append((len(b), i, a, b))
+    words.sort(key=lambda w: w[:2])  # slices of like length need little padding
+    at = 0
+    while at < len(words):
+        _, index, a, b = zip(*words[at : at + PAIRS_AT_ONCE])
+        found[list(index)] = _lcs_words(_Texts(list(a)), _Texts(list(b)))
+        at += PAIRS_AT_ONCE
+    return found
+
+
+def _lcs_words(a: _Texts, b: _Texts) -> np.ndarray:
+    """The same for texts ``a`` of at most 64 letters: the bit-parallel recurrence over all pairs at once."""
+    pairs = len(a.length)
+    letters, kind = np.unique(a.codes, return_inverse=True)
+    # places of each letter of a pair's text; a letter it lacks and the padding have none
+    cells, cell = np.unique(a.owner * (len(letters) + 1) + kind, return_inverse=True)
+    places = np.zeros(len(cells) + 1, np.uint64)
+    np.add.at(places, cell, np.uint64(1) << a.place.astype(np.uint64))
+    known = np.minimum(np.searchsorted(letters, b.codes), len(letters) - 1)
+    wanted = b.owner * (len(letters) + 1) + np.where(letters[known] == b.codes, known, len(letters))
+    slot = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
+    steps = np.full((int(b.length.max()), pairs), len(cells))
+    steps[b.place, b.owner] = np.where(cells[slot] == wanted, slot, len(cells))
+    row = np.full(pairs, ~np.uint64(0))
+    for step in steps:
+        hit = row & places[step]
+        row = (row + hit) | (row - hit)
+    unused = np.uint64(WORD) - a.length.astype(np.uint64)
+    return a.length - np.bitwise_count((row << unused) >> unused).astype(np.int64)
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(lcs_lengths(a.tolist(), b.tolist()), dtype="int32")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -533,10 +580,12 @@ def _run_batches(threshold: int):
         last = None
         for pdf in batches:
             out = []
-            for rep, text in zip(pdf["rep"], pdf["s"]):
+            texts = pdf["s"].tolist()
+            linked = _matching([texts[0] if last is None else last[1], *texts[:-1]], texts, threshold) if texts else []
+            for rep, text, same in zip(pdf["rep"], texts, linked):
                 edge = None if last is not None else text
                 leader = rep
-                if last is not None and _matches(last[1], text, threshold):
+                if last is not None and same:
                     leader = last[2]
                 if last is not None:
                     out.append((last[0], last[2], last[3]))
@@ -548,11 +597,12 @@ def _run_batches(threshold: int):
     return run
 
 
-def _matches(a: str, b: str, threshold: int) -> bool:
-    total = len(a) + len(b)
-    if 200 * min(len(a), len(b)) < threshold * total:
-        return False
-    return 200 * lcs_length(a, b) >= threshold * total
+def _matching(left: list[str], right: list[str], threshold: int) -> list[bool]:
+    """Which pairs reach the threshold; lengths that rule it out are not compared."""
+    total = [len(a) + len(b) for a, b in zip(left, right)]
+    close = [200 * min(len(a), len(b)) >= threshold * n for a, b, n in zip(left, right, total)]
+    common = lcs_lengths([a if c else "" for a, c in zip(left, close)], right)
+    return [c and bool(200 * n >= threshold * t) for c, n, t in zip(close, common, total)]
 
 
 def _neighbour_edges(reps: DataFrame, threshold: int) -> DataFrame:
