@@ -235,6 +235,26 @@ for _func in pivots.FUNCTIONS:
     PIVOTS[f"pivot_rows_{_func}"] = Query(partial(pivot, func=_func), _pivot_rows_sql(_func))
     PIVOTS[f"pivot_cols_{_func}"] = Query(partial(pivot, func=_func, columns="line"), _pivot_columns_sql(_func))
 
+SPEND = """
+SELECT CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderpriority END AS priority, o_custkey,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS price FROM {orders}
+"""
+
+
+def pivot_long(spark: SparkSession, sf: str, func: str) -> DataFrame:
+    """A header per customer: more than a table has columns."""
+    return pivots.pivot_long(derived(spark, sf, SPEND), ["priority"], "price", func, "o_custkey")
+
+
+def _pivot_long_sql(value: str) -> str:
+    return f"""SELECT priority, CAST(dense_rank() OVER (ORDER BY o_custkey) AS BIGINT) AS header_position,
+                      o_custkey AS header, {value} AS value FROM ({plain(SPEND)})
+               WHERE priority IS NOT NULL AND price IS NOT NULL GROUP BY priority, o_custkey"""
+
+
+PIVOTS["pivot_long_max"] = Query(partial(pivot_long, func="max"), _pivot_long_sql("max(price)"))
+PIVOTS["pivot_long_median"] = Query(partial(pivot_long, func="median"), _pivot_long_sql("median(price)"))
+
 # -- duplicates, order -----------------------------------------------------
 
 

@@ -74,6 +74,13 @@ def _mode_sql(column: str, test: str) -> str:
     return f"(SELECT {column} FROM messy WHERE NOT {test} GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1)"
 
 
+def fill_nothing_to_go_by(spark: SparkSession, sf: str) -> DataFrame:
+    """A column without any value has no mean and no median, and stays as it is."""
+    events = table(spark, sf, "events", "event_id").select(ROW_ID, "event_id", F.lit(None).cast("double").alias("blank"), "user_id")
+    once = missing.fill_missing(events, {"blank": {"method": "mean"}, "user_id": {"method": "mode"}})
+    return missing.fill_missing(once, {"blank": {"method": "median"}}).drop(ROW_ID)
+
+
 FILL_IN_ORDER = {
     "price": {"method": "drop_rows"},
     "status": {"method": "constant", "value": "?"},
@@ -150,6 +157,25 @@ SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN scor
 """
 
 
+def quality_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings behind the score, a row each."""
+    df = derived(spark, sf, ROUGH_EVENTS, "event_id").drop("event_id")
+    return quality.quality_report(df).issues_frame(spark)
+
+
+ISSUES_SQL = f"""
+WITH f AS (SELECT *, round(total_missing_cells * 100.0 / (total_rows * total_columns), 1) AS mp,
+                  round(duplicate_rows * 100.0 / total_rows, 1) AS dp FROM ({QUALITY_SQL}))
+SELECT 'missing_values' AS type, CASE WHEN mp > 15 THEN 'high' ELSE 'medium' END AS severity,
+       total_missing_cells || ' cells are blank (~' || CAST(mp AS DOUBLE) || '% of the table).' AS message FROM f
+WHERE total_missing_cells > 0
+UNION ALL SELECT 'duplicate_rows', CASE WHEN dp > 10 THEN 'high' ELSE 'medium' END,
+       duplicate_rows || ' rows repeat an earlier row exactly (~' || CAST(dp AS DOUBLE) || '%).' FROM f WHERE duplicate_rows > 0
+UNION ALL SELECT 'anomalies', 'medium', anomalies || ' unusual numbers in 1 column(s).' FROM f WHERE anomalies > 0
+UNION ALL SELECT 'mixed_types', 'low', 'Numbers and text are mixed in: mixed.' FROM f
+"""
+
+
 def mixed_type_columns(spark: SparkSession, sf: str) -> DataFrame:
     df = derived(spark, sf, ROUGH_EVENTS, "event_id").drop("event_id")
     out = quality.mixed_type_columns(df)
@@ -164,6 +190,17 @@ def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("left_row_id", "right_row_id", F.round("score", 4).alias("score"))
 
 
+def fuzzy_pairs_low(spark: SparkSession, sf: str) -> DataFrame:
+    """A threshold at which no chunk of a text is sure to survive."""
+    found = similarity.similar_pairs(table(spark, sf, "part", "p_partkey"), ["p_name"], threshold=60)
+    return found.select("left_row_id", "right_row_id", F.round("score", 4).alias("score"))
+
+
+def fuzzy_groups_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of equal and similar part names, largest first."""
+    return similarity.ordered_groups(similarity.similar_groups(table(spark, sf, "part", "p_partkey"), ["p_name"]))
+
+
 def fuzzy_members(spark: SparkSession, sf: str) -> DataFrame:
     """The rows behind the ids of `fuzzy_pairs`."""
     return similarity.text_members(table(spark, sf, "part", "p_partkey"), ["p_name"])
@@ -195,12 +232,12 @@ def _texts_sql(source: str, key: str, text: str) -> str:
                r AS (SELECT s, min(id) AS id FROM t GROUP BY s)"""
 
 
-def _pairs_sql(source: str, key: str, text: str) -> str:
+def _pairs_sql(source: str, key: str, text: str, least: int = 87) -> str:
     return f"""
     WITH {_texts_sql(source, key, text)},
     p AS (SELECT a.id AS l, b.id AS r, {_lcs_sql('a.s', 'b.s')} AS lcs, length(a.s) + length(b.s) AS total
-          FROM r a JOIN r b ON a.id < b.id AND 200 * least(length(a.s), length(b.s)) >= 87 * (length(a.s) + length(b.s)))
-    SELECT l AS left_row_id, r AS right_row_id, round(200.0 * lcs / total, 4) AS score FROM p WHERE 200 * lcs >= 87 * total"""
+          FROM r a JOIN r b ON a.id < b.id AND 200 * least(length(a.s), length(b.s)) >= {least} * (length(a.s) + length(b.s)))
+    SELECT l AS left_row_id, r AS right_row_id, round(200.0 * lcs / total, 4) AS score FROM p WHERE 200 * lcs >= {least} * total"""
 
 
 def _groups_sql(source: str, key: str, text: str) -> str:
@@ -312,6 +349,10 @@ QUERIES = {
         partial(fill, strategies={"priority": {"method": "drop_rows"}, "grade": {"method": "drop_rows"}}),
         _fill_sql() + f" WHERE NOT {COLUMNS['priority'][1]} AND grade IS NOT NULL",
     ),
+    "fill_nothing_to_go_by": Query(
+        fill_nothing_to_go_by,
+        "SELECT event_id, CAST(NULL AS DOUBLE) AS blank, user_id FROM events",
+    ),
     "fill_in_order": Query(
         partial(fill, strategies=FILL_IN_ORDER),
         f"""WITH messy AS (SELECT * FROM ({MESSY}) WHERE price IS NOT NULL)
@@ -324,6 +365,7 @@ QUERIES = {
     "anomalies_mad": Query(partial(anomaly_rows, sql=SPIKED_EVENTS), _anomaly_sql(SPIKED_EVENTS)),
     "anomalies_mad_zero": Query(partial(anomaly_rows, sql=FLAT_EVENTS), _anomaly_sql(FLAT_EVENTS)),
     "quality_report": Query(quality_report, QUALITY_SQL),
+    "quality_issues": Query(quality_issues, ISSUES_SQL),
     "mixed_type_columns": Query(
         mixed_type_columns,
         f"""SELECT 'mixed' AS "column", count(*) AS cells,
@@ -331,6 +373,8 @@ QUERIES = {
                      AS numeric_share FROM ({plain(ROUGH_EVENTS)}) WHERE trim(mixed) <> ''""",
     ),
     "fuzzy_pairs": Query(fuzzy_pairs, _pairs_sql("part", "p_partkey", "p_name")),
+    "fuzzy_pairs_low": Query(fuzzy_pairs_low, _pairs_sql("part", "p_partkey", "p_name", 60)),
+    "fuzzy_groups_sorted": Query(fuzzy_groups_sorted, _groups_sql("part", "p_partkey", "p_name")),
     "fuzzy_members": Query(
         fuzzy_members,
         r"""SELECT p_partkey AS row_id, MIN(p_partkey) OVER (
