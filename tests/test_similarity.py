@@ -176,3 +176,35 @@ def test_members_are_the_rows_behind_a_pair(sheet):
     pairs = sim.similar_pairs(df, ["Name"], 90).collect()
     assert {(r["left_row_id"], r["right_row_id"]) for r in pairs} == {(0, 6)}
     assert {i for i, rep in found.items() if rep == 0} == {0, 1, 3}
+
+
+def test_lcs_of_many_pairs():
+    rng = random.Random(5)
+    left = ["".join(rng.choices("abcé文😀 ", k=rng.randint(0, 90))) for _ in range(3000)] + ["a" * 64, "a" * 65, "", "x", "a" * 64]
+    right = ["".join(rng.choices("abdé文 x", k=rng.randint(0, 90))) for _ in range(3000)] + ["a" * 64, "a" * 70, "", "", "b" * 300]
+    assert sim.lcs_lengths(left, right).tolist() == [sim.lcs_length(a, b) for a, b in zip(left, right)]
+    assert sim.lcs_lengths(left[:200], right[:200]).tolist() == [lcs_table(a, b) for a, b in zip(left[:200], right[:200])]
+    assert sim.lcs_lengths([], []).tolist() == []
+
+
+@pytest.mark.parametrize("threshold", [40, 60])
+def test_rarest_letters_lose_no_pair(sheet, threshold):
+    rng = random.Random(threshold)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 12))) for _ in range(150)]
+    texts = words + [w[: rng.randint(2, len(w))] + rng.choice("xyz") for w in words] + ["", "a", "文", "文書"]
+    df = sheet("t string", texts)
+    found = {(r["left_row_id"], r["right_row_id"]) for r in sim.similar_pairs(df, threshold=threshold).collect()}
+    assert found == brute_pairs(texts, threshold)
+    if threshold == 60:
+        _, reps = sim._representatives(df, ["t"])
+        reps = reps.withColumn("component", reps["rep"])
+        assert sim._candidates(reps, threshold, across_components=False).count() < 20 * len(found)
+
+
+def test_filter_of_index_keys_only_saves_work(sheet, monkeypatch):
+    """A filter far too small for its keys lets everything pass, and the pairs stay."""
+    texts = ["alpha beta gamma", "alpha beta gama", "delta epsilon", "delta epsilom", "unlike anything else"]
+    df = sheet("t string", texts)
+    whole = sim.similar_pairs(df).collect()
+    monkeypatch.setattr(sim, "FILTER_BITS", (64, 64))
+    assert sorted(sim.similar_pairs(df).collect()) == sorted(whole) and len(whole) == 2
