@@ -12,7 +12,7 @@ from sheetloom.operators import anomalies, limits, missing, quality, similarity
 from sheetloom.rows import ROW_ID
 from sheetloom.session import scratch_path
 from sheetloom.streaming import fixes as stream_fixes
-from sheetloom.streaming.limits import admit_stream, count_stream
+from sheetloom.streaming.limits import admit_stream, admitted_events, count_stream, run_admission
 
 MESSY = plain(MESSY_ORDERS)
 COLUMNS = {  # name: (type, test for missing)
@@ -296,6 +296,13 @@ def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rate_limit_stream_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events that pass on a stream, by time and id as in the table form; the stream is ended, so all windows close."""
+    root = scratch_path(spark, "admission")
+    run_admission(_stream(spark, sf, "events"), ["user_id"], "ts", "event_id", **LIMIT, root=root, close=True)
+    return admitted_events(spark, root, "ts", "event_id", LIMIT["max_requests"]).select("event_id", "user_id", "window_start")
+
+
 def rate_limit_stream_closed(spark: SparkSession, sf: str) -> DataFrame:
     """Closed windows of a watermarked count; the newest windows stay open."""
     counts = count_stream(_stream(spark, sf, "events"), ["user_id"], "ts", **LIMIT)
@@ -395,6 +402,11 @@ QUERIES = {
     ),
     "rate_limit_usage": Query(rate_limit_usage, USAGE),
     "rate_limit_stream": Query(rate_limit_stream, USAGE),
+    "rate_limit_stream_events": Query(
+        rate_limit_stream_events,
+        f"""SELECT event_id, user_id, {DAY_WINDOW} AS window_start FROM events
+            QUALIFY row_number() OVER (PARTITION BY user_id, {DAY_WINDOW} ORDER BY ts, event_id) <= 3""",
+    ),
     "rate_limit_stream_closed": Query(rate_limit_stream_closed, CLOSED),
     "stream_cleaning": Query(
         stream_cleaning,

@@ -22,6 +22,15 @@ def window_start(df: DataFrame, ts: str, seconds: int) -> Column:
     return (F.floor(whole / F.lit(seconds)) * seconds).cast("long")
 
 
+def event_time(df: DataFrame, ts: str) -> Column:
+    """The event's instant, on the clock that :func:`window_start` counts by."""
+    at = col(ts)
+    if not isinstance(field_type(df, ts), T.TimestampNTZType):
+        return at.cast("timestamp")
+    second = F.extract(F.lit("SECOND"), at)
+    return F.make_timestamp(F.year(at), F.month(at), F.dayofmonth(at), F.hour(at), F.minute(at), second, F.lit("UTC"))
+
+
 def _window(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("window_start", window_start(df, ts, seconds))
 

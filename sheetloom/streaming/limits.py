@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sheetloom.operators.limits import window_start
-from sheetloom.rows import col
+from sheetloom.operators.limits import event_time, window_start
+from sheetloom.rows import col, field_type, require_columns
+from sheetloom.streaming.fixes import run_available
+
+#: The groups into which a key's window is split, so that a hot key is no single group.
+SALTS = 16
+#: Marks bear this time; no event does.
+END_OF_TIME = "9999-12-31 00:00:00"
 
 
 def admit_stream(
@@ -42,9 +48,11 @@ def admit_stream(
             nth = range(seen + 1, seen + len(pdf) + 1)
             yield pdf.assign(allowed=[i <= max_requests for i in nth])
             seen += len(pdf)
-        state.update((seen,))
         if end_ms > state.getCurrentWatermarkMs():
+            state.update((seen,))
             state.setTimeoutTimestamp(end_ms)
+        elif state.exists:
+            state.remove()  # later events of the window are late
 
     return source.groupBy(*[col(k) for k in keys], "window_start").applyInPandasWithState(
         count, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout
@@ -76,3 +84,106 @@ def count_stream(
         passed.alias("allowed"),
         (F.col("events") - passed).alias("refused"),
     )
+
+
+def _first_of_salt(
+    events: DataFrame, marks: DataFrame, keys: list[str], ts: str, event_id: str, max_requests: int, window_seconds: int, lateness: str
+) -> DataFrame:
+    """Per key, closed window and salt the first ``max_requests`` events: ``__k0...``, ``window_start``, ``__us``, ``__id``.
+
+    `marks` (``at timestamp``) only move the watermark.
+    """
+    named = {f"__k{i}": k for i, k in enumerate(keys)}
+    slim = events.where(col(ts).isNotNull() & col(event_id).isNotNull()).select(
+        *[col(k).alias(n) for n, k in named.items()],
+        window_start(events, ts, window_seconds).alias("window_start"),
+        F.pmod(F.xxhash64(col(event_id), col(ts)), F.lit(SALTS)).alias("__salt"),
+        event_time(events, ts).alias("__at"),
+        col(event_id).alias("__id"),
+    )
+    timed = slim.unionByName(marks.select(F.col("at").alias("__at")), allowMissingColumns=True)
+    # the condition names the event time, so it stays above the watermark, which marks must reach
+    timed = timed.withWatermark("__at", lateness).where(F.col("__at") < F.lit(END_OF_TIME).cast("timestamp"))
+    timed = timed.withColumn("__us", F.unix_micros("__at"))
+    groups = [*named, "window_start", "__salt"]
+    out_schema = T.StructType([timed.schema[c] for c in [*named, "window_start", "__us", "__id"]])
+    state_schema = T.StructType(
+        [T.StructField("us", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(field_type(events, event_id)))]
+    )
+
+    def keep_first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first = pd.DataFrame(dict(zip(("__us", "__id"), state.get, strict=True))) if state.exists else None
+        if not state.hasTimedOut:
+            for pdf in batches:
+                seen = pdf[["__us", "__id"]]
+                seen = seen if first is None else pd.concat([first, seen])
+                first = seen.sort_values(["__us", "__id"]).head(max_requests)
+        close_ms = (int(key[-2]) + window_seconds) * 1000 + 1
+        if state.hasTimedOut or close_ms < state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield first.assign(**dict(zip(groups, key, strict=True)))[out_schema.names]
+        else:
+            state.update((first["__us"].tolist(), first["__id"].tolist()))
+            state.setTimeoutTimestamp(close_ms)
+
+    return timed.groupBy(*groups).applyInPandasWithState(
+        keep_first, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def run_admission(
+    events: DataFrame,
+    keys: list[str],
+    ts: str,
+    event_id: str,
+    max_requests: int,
+    window_seconds: int,
+    root: str,
+    lateness: str = "10 minutes",
+    close: bool = False,
+) -> None:
+    """Take in what the stream has; :func:`admitted_events` then gives the events that pass in the windows closed so far.
+
+    A window passes its first ``max_requests`` events by time and id, whatever
+    the order of arrival, once the watermark is beyond its end.  Its events are
+    dealt to `SALTS` groups, each of which holds that many events at most, and
+    all of which close in one micro-batch.  `close` ends the stream: a mark
+    moves the watermark to the end of time, so the newest windows close too,
+    and everything that comes after it is late.
+
+    Late events, and events without a time or an id, take no part; null keys
+    are a key.  `root` holds the query's checkpoint, its marks and its output;
+    going on with it goes on with the windows still open.
+    """
+    require_columns(events, *keys, ts, event_id)
+    spark = events.sparkSession
+    end = spark.range(1).select(F.lit(END_OF_TIME).cast("timestamp").alias("at"))
+    end.where(F.lit(False)).write.mode("ignore").parquet(f"{root}/marks")
+    marks = spark.readStream.schema(end.schema).parquet(f"{root}/marks")
+    first = _first_of_salt(events, marks, keys, ts, event_id, max_requests, window_seconds, lateness)
+    # names and types by which admitted_events reads the output
+    names = spark.createDataFrame([], T.StructType([T.StructField(k, first.schema[f"__k{i}"].dataType) for i, k in enumerate(keys)]))
+    names.write.mode("ignore").parquet(f"{root}/keys")
+
+    def drain() -> None:
+        run_available(first, f"{root}/first", f"{root}/checkpoint")
+
+    drain()
+    if close:
+        end.write.mode("append").parquet(f"{root}/marks")
+        drain()
+
+
+def admitted_events(spark: SparkSession, root: str, ts: str, event_id: str, max_requests: int) -> DataFrame:
+    """The events that pass in the closed windows: the keys, ``window_start``, their time and id."""
+    keys = spark.read.parquet(f"{root}/keys").columns
+    inner = [f"__k{i}" for i in range(len(keys))]
+    order = Window.partitionBy(*inner, "window_start").orderBy("__us", "__id")
+    ranked = spark.read.parquet(f"{root}/first").withColumn("__nth", F.row_number().over(order))
+    return ranked.where(F.col("__nth") <= max_requests).select(
+        *[F.col(n).alias(k) for n, k in zip(inner, keys, strict=True)],
+        "window_start",
+        F.timestamp_micros("__us").alias(ts),
+        F.col("__id").alias(event_id),
+    )
