@@ -11,8 +11,10 @@ Each leaf then takes as many whole epochs as its budget holds, and of the next
 epoch the longest prefix that fits, in the order of a seeded hash.  The prefix
 is found as one hash value per leaf: token sums of 4,096 hash ranges point to
 the range in which the budget ends, and only that range is ordered by row.
-So no task orders a whole leaf, and documents meet the decisions of their leaf
-in one join whose smaller side has a row for each leaf.
+So no task orders a whole leaf.  Documents meet the decisions of their leaf by
+broadcast while those take at most `BROADCAST_BYTES`; beyond that each decision
+is repeated for the `SALTS` parts into which a leaf's documents are dealt, so no
+task reads a whole leaf either way.
 
 Tokens are words.  A null key counts as the empty string, a null text has no
 tokens.  Rows with one doc_id share a hash value and are taken or left
@@ -33,6 +35,9 @@ from sheetloom.session import materialize
 RANGE_DIGITS = 3  # hexadecimal digits of the hash that number its range
 WIDE = "decimal(38,0)"
 SEPARATOR = "\x1f"
+BROADCAST_BYTES = 8 << 20  # keys and numbers of all leaves
+LEAF_BYTES = 128  # of one leaf, next to its keys
+SALTS = 32
 
 Weights = Mapping[tuple[str, ...], int]
 
@@ -72,6 +77,16 @@ def deal(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     )
 
 
+def _meet(rows: DataFrame, leaves: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """`rows` next to the row of their leaf; `leaves` is a written table, `spread` are columns that tell rows apart."""
+    size = leaves.agg(F.sum(F.lit(LEAF_BYTES) + sum((F.octet_length(F.col(k)) for k in keys), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(leaves), keys)
+    parts = leaves.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__mix_salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread)), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, [*keys, "__mix_salt"]).drop("__mix_salt")
+
+
 def leaf_budgets(leaves: DataFrame, keys: list[str], weights: Weights, percent: int, max_epochs: int, budget: int | None = None) -> DataFrame:
     """``share`` of every leaf of ``leaves (keys..., tokens)``; the whole budget is `budget` or `percent` of all tokens."""
     capacity = (F.sum("tokens") * max_epochs).cast(WIDE)
@@ -96,7 +111,7 @@ def plan_mix(
     seed: int = 0,
     budget: int | None = None,
 ) -> DataFrame:
-    """One row for each leaf of ``counted (keys..., doc_id, tokens)``: ``epochs`` and ``last``.
+    """One row for each leaf of ``counted (keys..., doc_id, tokens)``: ``epochs`` and ``last``, as a written table.
 
     A document is taken ``epochs`` times, and once more if its hash for the
     next epoch is not above ``last``.
@@ -109,7 +124,7 @@ def plan_mix(
         F.when(F.col("tokens") > 0, F.expr("coalesce(share, 0) % tokens")).otherwise(0).cast("long").alias("rest"),
     )
     begun = materialize(begun, "mix-epochs")
-    hashed = counted.join(begun, keys).select(*keys, "tokens", "rest", document_hash(seed).alias("hash"))
+    hashed = _meet(counted, begun, keys, ["doc_id", "tokens"]).select(*keys, "tokens", "rest", document_hash(seed).alias("hash"))
     ranges = hashed.groupBy(*keys, "rest", F.substring("hash", 1, RANGE_DIGITS).alias("range")).agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("range"))
     # the first range that does not fit whole; a leaf all of whose ranges fit takes everything
@@ -120,15 +135,17 @@ def plan_mix(
         .agg(F.min("range").alias("range"), F.min(F.struct("range", (F.col("upto") - F.col("tokens")).alias("before")))["before"].alias("before"))
     )
     ends = materialize(ends, "mix-ends")
-    inside = hashed.join(ends, keys).where(F.substring("hash", 1, RANGE_DIGITS) == F.col("range"))
+    inside = _meet(hashed, ends, keys, ["hash", "tokens"]).where(F.substring("hash", 1, RANGE_DIGITS) == F.col("range"))
+    inside = inside.groupBy(*keys, "hash", "rest", "before").agg(F.sum("tokens").alias("tokens"))
     fits = F.col("before") + F.sum("tokens").over(Window.partitionBy(*keys).orderBy("hash"))
     last = inside.withColumn("fits", fits <= F.col("rest")).where("fits").groupBy(*keys).agg(F.max("hash").alias("hash"))
-    return (
+    plan = (
         begun.join(ends, keys, "left")
         .join(last, keys, "left")
         # nothing of the range fits: everything below the range; no range cuts: everything
         .select(*keys, "epochs", F.coalesce("hash", "range", F.when(F.col("rest") >= 0, F.lit("g"))).alias("last"))
     )
+    return materialize(plan, "mix-plan")
 
 
 def document_hash(seed: int) -> Column:
@@ -153,7 +170,7 @@ def mix_report(docs: DataFrame, keys: Mapping[str, Column], weights: Weights, do
     """Per row: doc_id, its keys, its tokens and ``n_copies`` (0: left out)."""
     counted = _counted(docs, keys, doc_id, text)
     plan = plan_mix(counted, list(keys), weights, seed=seed, **options)
-    return counted.join(plan, list(keys)).select("doc_id", *keys, F.col("tokens").alias("n_tokens"), copies(seed).alias("n_copies"))
+    return _meet(counted, plan, list(keys), ["doc_id", "tokens"]).select("doc_id", *keys, F.col("tokens").alias("n_tokens"), copies(seed).alias("n_copies"))
 
 
 def mix_documents(docs: DataFrame, keys: Mapping[str, Column], weights: Weights, doc_id: str = "doc_id", text: str = "text", seed: int = 0, **options) -> DataFrame:
@@ -161,10 +178,10 @@ def mix_documents(docs: DataFrame, keys: Mapping[str, Column], weights: Weights,
     own = {f"__mix_{k}": c for k, c in keys.items()}
     counted = _counted(docs, own, doc_id, text)
     plan = plan_mix(counted, list(own), weights, seed=seed, **options)
-    plan = plan.select(*own, F.col("epochs").alias("__mix_epochs"), F.col("last").alias("__mix_last"))
+    plan = plan.withColumnsRenamed({"epochs": "__mix_epochs", "last": "__mix_last"})
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__mix_epochs").cast("string"), F.col(doc_id).cast("string")))
     named = docs.withColumns({k: F.coalesce(c.cast("string"), F.lit("")) for k, c in own.items()})
-    taken = named.join(plan, list(own)).withColumn(
+    taken = _meet(named, plan, list(own), [doc_id, text]).withColumn(
         "__mix_copies", (F.col("__mix_epochs") + F.when(place <= F.col("__mix_last"), 1).otherwise(0)).cast("int")
     )
     many = taken.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))

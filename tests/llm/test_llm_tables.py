@@ -221,6 +221,22 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
         assert got == want, percent
 
 
+def test_mix_is_the_same_with_and_without_broadcast(spark, monkeypatch):
+    """Half of all rows in one leaf, ids null and repeated, keys null."""
+    rows = [(i % 400 if i % 9 else None, "w " * (i % 7), "en" if i % 2 else f"l{i % 11}", None if i % 5 else "s") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    keys = {"lang": F.col("lang"), "source": F.col("source")}
+    results = []
+    for limit in (source_mix.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(source_mix, "BROADCAST_BYTES", limit)
+        report = source_mix.mix_report(docs, keys, {("en",): 3}, percent=70, max_epochs=2, seed=3)
+        mixed = source_mix.mix_documents(docs, keys, {("en",): 3}, percent=70, max_epochs=2, seed=3)
+        assert mixed.columns == docs.columns
+        results.append((sorted(map(repr, report.collect())), sorted(map(repr, mixed.collect()))))
+    assert results[0] == results[1] and len(results[0][0]) == len(rows)
+    assert len(results[0][1]) == report.agg(F.sum("n_copies")).first()[0]
+
+
 def test_mix_takes_prefixes_of_seeded_epochs(spark):
     rows = [(i, "w " * (i % 7), "en" if i % 3 else None, i) for i in range(300)] + [(None, None, "en", 0), (4, "w w w w", "en", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_tokens int")
