@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -257,7 +258,7 @@ def test_mix_takes_prefixes_of_seeded_epochs(spark):
 
 def _best(rows, k=5):
     fine = [
-        (i, [math.floor(256 * x) for x in v]) for i, v, _ in rows
+        (i, [math.floor(256 * Fraction(x)) for x in v]) for i, v, _ in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
     out = []
@@ -267,7 +268,7 @@ def _best(rows, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e6])
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e12, 1e150, 1e307])
 def test_top_k_is_that_of_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(vector_search, "LEAF", 4)
     rng = random.Random(6)
