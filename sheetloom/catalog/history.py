@@ -75,6 +75,21 @@ def session_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("o_orderkey", "c_name", "c_mktsegment")
 
 
+def session_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """A fill, a fix, lost rows and a formula kept as patches; the last is undone, the others read again."""
+    session = SheetSession.create(spark, derived(spark, sf, MESSY_ORDERS, "o_orderkey"))
+    session.update(fill_missing(session.working, {"status": EDITS["status"]}), changed=["status"])
+    trimmed = fixes.apply_fix(session.working, "trim_spaces")
+    session.update(trimmed, changed=versions.changed_columns(session.working, trimmed))
+    session.update(fill_missing(session.working, {"price": EDITS["price"]}), changed=[])
+    session.update(if_column(session.working, "o_custkey", ">", 500, "late", "early", "Part"), changed=[])
+    session.undo()
+    session.redo()
+    session.update(if_column(session.working, "o_custkey", ">", 900, "late", "early", "Part"), changed=["Part"])
+    session.undo()
+    return SheetSession.open(spark, session.root).working.select("o_orderkey", "status", "priority", "price", "Part")
+
+
 LOGGED = [
     ("if", {"column": "price", "op": ">=", "value": 250000, "true_value": "Large", "false_value": "Small", "new_column": "Size"}),
     ("delete_rows", {"row_ids": [1, 2]}),
@@ -116,6 +131,11 @@ QUERIES = {
         session_lookup,
         "SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     ),
+    "session_patches": Query(
+        session_patches,
+        f"""SELECT o_orderkey, coalesce(status, 'none') AS status, trim(priority) AS priority, price,
+                   CASE WHEN o_custkey > 500 THEN 'late' ELSE 'early' END AS "Part" FROM ({M}) WHERE price IS NOT NULL""",
+    ),
     "session_steps": Query(
         session_steps,
         f"""SELECT o_orderkey, "Size", coalesce(status, '') || '/' || "Size" AS "Code",

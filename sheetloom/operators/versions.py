@@ -77,6 +77,13 @@ def compare_versions(before: DataFrame, after: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*lines)))
 
 
+def changed_columns(before: DataFrame, after: DataFrame) -> list[str]:
+    """Columns of ``after`` with another value in any row that both have, or that ``before`` lacks."""
+    counts = compare_versions(before, after).where(col("column").isNotNull() & (F.col("n") > 0))
+    differing = {r["column"] for r in counts.select("column").distinct().collect()}
+    return [c for c in data_columns(after) if c in differing or c not in before.columns]
+
+
 def changed_cells(before: DataFrame, after: DataFrame) -> DataFrame:
     """Every differing cell of the rows in both versions ``(row_id, column, old_value, new_value)``, as text.
 

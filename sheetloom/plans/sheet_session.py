@@ -1,7 +1,10 @@
 """A sheet with undo, redo, reset, a lookup table, sheets and a step log.
 
 Every version is a Parquet table below one folder, written once and never
-changed; undo and redo only move pointers.  The pointers are a small JSON
+changed: a whole copy, or a patch over an earlier version, which holds the row
+ids that are left and the columns that changed.  A patched version is read by
+joining on the row id; `FOLD` patches above each other make way for a whole
+copy.  Undo and redo only move pointers.  The pointers are a small JSON
 record, appended as a new file after each change, so a lost job leaves the
 last complete state in place.
 """
@@ -13,11 +16,16 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetloom.plans.recipes import StepLog
+from sheetloom.rows import ROW_ID, col, data_columns
 from sheetloom.session import scratch_path
 from sheetloom.sources.files import delete, exists, list_entries
 from sheetloom.sources.workbook import SheetNotFound
 
 
+#: Patches that a version may lie above a whole copy.
+FOLD = 8
+
+
 class SessionNotFound(KeyError):
     """No session in that folder."""
 
@@ -91,12 +99,50 @@ class SheetSession:
         self._state["next"] = version + 1
         return version
 
+    def _store_patch(self, df: DataFrame, changed: list[str]) -> int:
+        """``df`` as a patch of the working table; as a whole copy if rows are new or nothing would be saved."""
+        base = self._state["working"]
+        before, depth = self.working, self._depth(base)
+        if ROW_ID not in df.columns or ROW_ID not in before.columns or depth >= FOLD:
+            return self._store(df)
+        kinds = dict(before.dtypes)
+        names = data_columns(df)
+        unknown = [c for c in changed if c not in kinds and c not in names]
+        if unknown:
+            raise ValueError(f"no such columns: {unknown}")
+        held = [c for c, kind in df.dtypes if c != ROW_ID and (c in changed or kinds.get(c) != kind)]
+        if names and len(held) == len(names):
+            return self._store(df)
+        version = self._store(df.select(col(ROW_ID), *[col(c) for c in held]))
+        if not self._table(version).join(before.select(ROW_ID), ROW_ID, "left_anti").isEmpty():
+            return self._store(df)  # the base has no values for new rows
+        self._patches[str(version)] = {"base": base, "columns": names, "held": held}
+        return version
+
+    @property
+    def _patches(self) -> dict:
+        return self._state.setdefault("patches", {})
+
+    def _depth(self, version: int) -> int:
+        depth = 0
+        while (patch := self._patches.get(str(version))) is not None:
+            version, depth = patch["base"], depth + 1
+        return depth
+
     def _path(self, version: int) -> str:
         return f"{self.root}/version={version}"
 
-    def _read(self, version: int) -> DataFrame:
+    def _table(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self._path(version))
 
+    def _read(self, version: int) -> DataFrame:
+        patch = self._patches.get(str(version))
+        if patch is None:
+            return self._table(version)
+        kept = [c for c in patch["columns"] if c not in patch["held"]]
+        base = self._read(patch["base"]).select(col(ROW_ID), *[col(c) for c in kept])
+        return base.join(self._table(version), ROW_ID).select(col(ROW_ID), *[col(c) for c in patch["columns"]])
+
     def _save(self) -> None:
         self._state["seq"] += 1
         record = self.spark.createDataFrame([(json.dumps(self._state),)], "value string")
@@ -112,9 +158,18 @@ class SheetSession:
     def original(self) -> DataFrame:
         return self._read(self._state["original"])
 
-    def update(self, df: DataFrame, instruction: str = "", explanation: str = "") -> DataFrame:
-        """Make ``df`` the working table; the old one can be undone to."""
-        version = self._store(df)
+    def update(
+        self, df: DataFrame, instruction: str = "", explanation: str = "", changed: list[str] | None = None
+    ) -> DataFrame:
+        """Make ``df`` the working table; the old one can be undone to.
+
+        Without `changed` all of it is written.  With it, only the columns it
+        names are, next to those that are new or of another type, and the ids
+        of the rows left: the other columns must be as they were.  Where that
+        is not known, :func:`~sheetloom.operators.versions.changed_columns`
+        finds out.  A table with new rows is written whole.
+        """
+        version = self._store(df) if changed is None else self._store_patch(df, changed)
         self._push("undo")
         self._state["redo"] = []
         self._state["working"] = version
@@ -166,6 +221,10 @@ class SheetSession:
         """Delete versions no stack refers to any more."""
         s = self._state
         live = {s["original"], s["working"], *s["undo"], *s["redo"], *s["sheets"].values(), s["lookup"]}
+        for version in list(live):
+            while (patch := self._patches.get(str(version))) is not None:
+                version = patch["base"]
+                live.add(version)
         dead = [v for v in range(s["next"]) if v not in live and exists(self.spark, self._path(v))]
         for version in dead:
             delete(self.spark, self._path(version))
