@@ -10,11 +10,12 @@ import csv
 import io
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetloom.rows import ROW_ID, col, data_columns, denan, require_row_id
+from sheetloom.session import materialize
 
 # Delimiters tried, bytes looked at, cells read as blank.
 DELIMITERS = ",;\t|"
@@ -29,6 +30,8 @@ INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 BYTE_ORDER_MARK = "﻿"
 ROW_BITS = 40
+ID_BITS = 63
+TASK_ROW_BITS = 33  # of a running id, below the task's number
 
 
 def normalize_headers(names: list[str]) -> list[str]:
@@ -128,7 +131,8 @@ def _number_rows(df: DataFrame) -> DataFrame:
     """``_row_id`` by file and by position in the file.
 
     Within one file, splits are handed to tasks in file order, so the running
-    id follows it; several files are put in name order by the high bits.
+    id follows it; several files are put in name order by the high bits.  Where
+    file, task and row take too many bits, rows are numbered without gaps.
     """
     files = sorted(df.inputFiles())
     running = F.monotonically_increasing_id()
@@ -136,10 +140,25 @@ def _number_rows(df: DataFrame) -> DataFrame:
         return df.withColumn(ROW_ID, running)
     task_bits = max(1, (df.rdd.getNumPartitions() - 1).bit_length())
     file_bits = (len(files) - 1).bit_length()
-    if task_bits + 33 + file_bits > 63:
-        raise ValueError("too many files to keep their row order; convert the table to Parquet first")
     df = df.select("*", F.col("_metadata.file_path").alias("__path"), running.alias(ROW_ID))
-    return _join_file_number(df, files, task_bits + 33)
+    if task_bits + TASK_ROW_BITS + file_bits > ID_BITS:
+        return _number_densely(df)
+    return _join_file_number(df, files, task_bits + TASK_ROW_BITS)
+
+
+def _number_densely(df: DataFrame) -> DataFrame:
+    """``_row_id`` 0, 1, 2, ... by file name (``__path``) and by the running id in ``_row_id``.
+
+    The rows are written once, so that numbers and rows are of one scan.  A
+    segment is what one task read of one file; the rows before it are summed
+    over the segments alone, of which there are no more than files and splits.
+    """
+    written = materialize(df.withColumn("__task", F.shiftright(col(ROW_ID), TASK_ROW_BITS)), "numbered")
+    segments = written.groupBy("__path", "__task").agg(F.min(ROW_ID).alias("__first"), F.count("*").alias("__rows"))
+    earlier = Window.orderBy("__path", "__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = segments.select("__path", "__task", "__first", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
+    numbered = written.join(starts, ["__path", "__task"]).withColumn(ROW_ID, F.col("__start") + col(ROW_ID) - F.col("__first"))
+    return numbered.select(*[col(c) for c in df.columns if c != "__path"])
 
 
 def _join_file_number(df: DataFrame, files: list[str], shift: int) -> DataFrame:
