@@ -1,11 +1,17 @@
-"""Fixed-window rate limits on a stream of events."""
+"""Fixed-window rate limits on a stream of events.
+
+Stateful operators hold many keys and windows in one state: a group of them is
+one call of Python and one entry of the state store, however few events a key has.
+"""
 
 from __future__ import annotations
 
+import pickle
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,12 +20,50 @@ from sheetloom.operators.limits import event_time, window_start
 from sheetloom.rows import col, field_type, require_columns
 from sheetloom.streaming.fixes import run_available
 
-#: The groups into which a key's window is split, so that a hot key is no single group.
+#: The parts into which a key's window is split, so that a hot key is in no single group.
 SALTS = 16
+#: The groups to which keys, windows and salts are dealt; as many tasks can work side by side.
+GROUPS = 256
 #: Marks bear this time; no event does.
 END_OF_TIME = "9999-12-31 00:00:00"
 
 
+def _cell_text(df: DataFrame, name: str) -> Column:
+    """A key's cell as text that :func:`_cell` turns back."""
+    kind, cell = field_type(df, name), col(name)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(cell)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(cell).cast("string")
+    return (cell + F.lit(0).cast(kind) if isinstance(kind, T.FractionalType) else cell).cast("string")  # one zero
+
+
+def _cell(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.unhex(text)
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(text.cast("long"))
+    return text.cast(kind)
+
+
+def _key_text(df: DataFrame, keys: list[str]) -> Column:
+    """All cells of a key, nulls among them, as one text: in pandas, null numbers would become NaN."""
+    return F.to_json(F.array(*[_cell_text(df, k) for k in keys]))
+
+
+def _kept(state: GroupState) -> dict:
+    return pickle.loads(bytes(state.get[0])) if state.exists else {}
+
+
+def _keep(state: GroupState, kept: dict, next_ms: int) -> None:
+    """Hold what is still open until the first of its windows ends."""
+    if kept:
+        state.update((pickle.dumps(kept),))
+        state.setTimeoutTimestamp(next_ms)
+    elif state.exists:
+        state.remove()
+
+
 def admit_stream(
     events: DataFrame,
     keys: list[str],
@@ -87,15 +131,15 @@ def count_stream(
 
 
 def _first_of_salt(
-    events: DataFrame, marks: DataFrame, keys: list[str], ts: str, event_id: str, max_requests: int, window_seconds: int, lateness: str
+    events: DataFrame, marks: DataFrame, keys: list[str], ts: str, event_id: str, max_requests: int, window_seconds: int,
+    lateness: str, groups: int,
 ) -> DataFrame:
     """Per key, closed window and salt the first ``max_requests`` events: ``__k0...``, ``window_start``, ``__us``, ``__id``.
 
-    `marks` (``at timestamp``) only move the watermark.
+    Some more may come along, where a group has several salts.  `marks` (``at timestamp``) only move the watermark.
     """
-    named = {f"__k{i}": k for i, k in enumerate(keys)}
     slim = events.where(col(ts).isNotNull() & col(event_id).isNotNull()).select(
-        *[col(k).alias(n) for n, k in named.items()],
+        _key_text(events, keys).alias("__key"),
         window_start(events, ts, window_seconds).alias("window_start"),
         F.pmod(F.xxhash64(col(event_id), col(ts)), F.lit(SALTS)).alias("__salt"),
         event_time(events, ts).alias("__at"),
@@ -105,31 +149,32 @@ def _first_of_salt(
     # the condition names the event time, so it stays above the watermark, which marks must reach
     timed = timed.withWatermark("__at", lateness).where(F.col("__at") < F.lit(END_OF_TIME).cast("timestamp"))
     timed = timed.withColumn("__us", F.unix_micros("__at"))
-    groups = [*named, "window_start", "__salt"]
-    out_schema = T.StructType([timed.schema[c] for c in [*named, "window_start", "__us", "__id"]])
-    state_schema = T.StructType(
-        [T.StructField("us", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(field_type(events, event_id)))]
-    )
+    timed = timed.withColumn("__group", F.pmod(F.xxhash64("__key", "window_start", "__salt"), F.lit(groups)))
+    out_schema = T.StructType([timed.schema[c] for c in ("__key", "window_start", "__us", "__id")])
 
-    def keep_first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = pd.DataFrame(dict(zip(("__us", "__id"), state.get, strict=True))) if state.exists else None
+    def keep_first(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = _kept(state)  # (key, window): its first events, as (time, id) in order
         if not state.hasTimedOut:
             for pdf in batches:
-                seen = pdf[["__us", "__id"]]
-                seen = seen if first is None else pd.concat([first, seen])
-                first = seen.sort_values(["__us", "__id"]).head(max_requests)
-        close_ms = (int(key[-2]) + window_seconds) * 1000 + 1
-        if state.hasTimedOut or close_ms < state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield first.assign(**dict(zip(groups, key, strict=True)))[out_schema.names]
-        else:
-            state.update((first["__us"].tolist(), first["__id"].tolist()))
-            state.setTimeoutTimestamp(close_ms)
-
-    return timed.groupBy(*groups).applyInPandasWithState(
-        keep_first, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
+                for place, event in zip(zip(pdf["__key"], pdf["window_start"]), zip(pdf["__us"], pdf["__id"])):
+                    first = kept.setdefault(place, [])
+                    if len(first) < max_requests or first and event < first[-1]:
+                        insort(first, event)
+                        del first[max_requests:]
+        close_ms = {start: (start + window_seconds) * 1000 + 1 for _, start in kept}
+        now_ms = state.getCurrentWatermarkMs()
+        closed = [place for place in kept if close_ms[place[1]] < now_ms]
+        if closed:
+            rows = [(*place, *event) for place in closed for event in kept.pop(place)]
+            yield pd.DataFrame(rows, columns=out_schema.names)
+        _keep(state, kept, min((close_ms[start] for _, start in kept), default=0))
+
+    firsts = timed.groupBy("__group").applyInPandasWithState(
+        keep_first, out_schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout
     )
+    cells = F.from_json("__key", "array<string>")
+    typed = [_cell(cells[i], field_type(events, k)).alias(f"__k{i}") for i, k in enumerate(keys)]
+    return firsts.select(*typed, "window_start", "__us", "__id")
 
 
 def run_admission(
@@ -142,15 +187,17 @@ def run_admission(
     root: str,
     lateness: str = "10 minutes",
     close: bool = False,
+    groups: int = GROUPS,
 ) -> None:
     """Take in what the stream has; :func:`admitted_events` then gives the events that pass in the windows closed so far.
 
     A window passes its first ``max_requests`` events by time and id, whatever
-    the order of arrival, once the watermark is beyond its end.  Its events are
-    dealt to `SALTS` groups, each of which holds that many events at most, and
-    all of which close in one micro-batch.  `close` ends the stream: a mark
-    moves the watermark to the end of time, so the newest windows close too,
-    and everything that comes after it is late.
+    the order of arrival, once the watermark is beyond its end.  A key's window
+    has `SALTS` parts, each of which holds that many events at most, and all of
+    which close in one micro-batch; parts are dealt to `groups` states, a number
+    that stays with `root`.  `close` ends the stream: a mark moves the watermark
+    to the end of time, so the newest windows close too, and everything that
+    comes after it is late.
 
     Late events, and events without a time or an id, take no part; null keys
     are a key.  `root` holds the query's checkpoint, its marks and its output;
@@ -161,7 +208,7 @@ def run_admission(
     end = spark.range(1).select(F.lit(END_OF_TIME).cast("timestamp").alias("at"))
     end.where(F.lit(False)).write.mode("ignore").parquet(f"{root}/marks")
     marks = spark.readStream.schema(end.schema).parquet(f"{root}/marks")
-    first = _first_of_salt(events, marks, keys, ts, event_id, max_requests, window_seconds, lateness)
+    first = _first_of_salt(events, marks, keys, ts, event_id, max_requests, window_seconds, lateness, groups)
     # names and types by which admitted_events reads the output
     names = spark.createDataFrame([], T.StructType([T.StructField(k, first.schema[f"__k{i}"].dataType) for i, k in enumerate(keys)]))
     names.write.mode("ignore").parquet(f"{root}/keys")

@@ -79,3 +79,29 @@ def test_one_window_with_many_events(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = _admitted(spark, stream, str(tmp_path / "run"), 50, close=True)
     assert [i for _, _, i in _ids(got)] == [7 * i for i in range(50)]
+
+
+def test_states_hold_many_keys(spark, tmp_path):
+    """A state for every key and window made Python calls grow with the keys."""
+    df = spark.range(400).select(
+        F.col("id").alias("event_id"), F.col("id").cast("string").alias("who"), F.lit(START).alias("ts")
+    )
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run_admission(stream, ["who"], "ts", "event_id", 2, 60, str(tmp_path / "run"), groups=8)
+    assert 1 <= spark.read.format("statestore").load(str(tmp_path / "run/checkpoint")).count() <= 8
+
+
+@pytest.mark.parametrize("kind", ["binary", "double", "date", "timestamp", "decimal(20, 3)", "boolean"])
+def test_keys_of_any_type_come_back(spark, tmp_path, kind):
+    values = ["1", "0", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values * 2)], "event_id long, v string")
+    whole = F.when(F.col("v") == "1", START + dt.timedelta(microseconds=7)).when(F.col("v") == "0", START - dt.timedelta(days=9))
+    key = whole.cast(kind) if kind in ("date", "timestamp") else F.col("v").cast(kind)
+    df = df.select("event_id", key.alias("who"), F.lit(START).alias("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = _admitted(spark, stream, str(tmp_path / "run"), 1, close=True)
+    want = limits.admitted(df, ["who"], "ts", "event_id", 1, 60)
+    assert got.schema["who"].dataType == df.schema["who"].dataType
+    assert sorted(map(str, got.select("event_id", "who").collect())) == sorted(map(str, want.select("event_id", "who").collect()))
