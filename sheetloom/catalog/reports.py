@@ -277,7 +277,8 @@ def rate_limit_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a pattern, since a stream takes no path of a single file; it holds for a folder of files as well
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:

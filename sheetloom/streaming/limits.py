@@ -26,6 +26,8 @@ SALTS = 16
 GROUPS = 256
 #: Marks bear this time; no event does.
 END_OF_TIME = "9999-12-31 00:00:00"
+#: The end of the window of events without a time.
+NEVER = (1 << 63) - 1
 
 
 def _cell_text(df: DataFrame, name: str) -> Column:
@@ -71,36 +73,46 @@ def admit_stream(
     max_requests: int,
     window_seconds: int,
     lateness: str = "10 minutes",
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Every event, as it arrives, with ``window_start`` and ``allowed``.
 
-    The n-th event to arrive in a window passes iff n <= max_requests.  The
-    state of a key and window is one counter; it is dropped once the watermark
-    has passed the window, and events later than that are ignored.
+    The n-th event to arrive in a window passes iff n <= max_requests.  A key
+    and window is one counter; it is dropped once the watermark has passed the
+    window, and events later than that are ignored.  Events without a time
+    share a window that does not end.  Keys and windows are dealt to `groups`
+    states, a number that stays with the checkpoint.
     """
     source = events.withColumn("window_start", window_start(events, ts, window_seconds))
     source = source.withColumn(ts, col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    schema = T.StructType([*source.schema.fields, T.StructField("allowed", T.BooleanType())])
+    out = [*source.schema.fields, T.StructField("allowed", T.BooleanType())]
+    # whole numbers go through pandas as text, since nulls would make floats of them
+    texts = {f.name for f in source.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    end_ms = F.coalesce((F.col("window_start") + window_seconds) * 1000, F.lit(NEVER))
+    dealt = source.select(
+        *[col(c).cast("string").alias(c) if c in texts else col(c) for c in source.columns],
+        _key_text(source, keys).alias("__key"),
+        end_ms.alias("__end_ms"),
+    ).withColumn("__group", F.pmod(F.xxhash64("__key", "__end_ms"), F.lit(groups)))
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in texts else f for f in out])
 
     def count(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = state.get[0] if state.exists else 0
-        end_ms = (int(_key[-1]) + window_seconds) * 1000
-        for pdf in batches:
-            nth = range(seen + 1, seen + len(pdf) + 1)
-            yield pdf.assign(allowed=[i <= max_requests for i in nth])
-            seen += len(pdf)
-        if end_ms > state.getCurrentWatermarkMs():
-            state.update((seen,))
-            state.setTimeoutTimestamp(end_ms)
-        elif state.exists:
-            state.remove()  # later events of the window are late
-
-    return source.groupBy(*[col(k) for k in keys], "window_start").applyInPandasWithState(
-        count, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout
+        seen = _kept(state)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                allowed = []
+                for place in zip(pdf["__key"], pdf["__end_ms"]):
+                    seen[place] = nth = seen.get(place, 0) + 1
+                    allowed.append(nth <= max_requests)
+                yield pdf.assign(allowed=allowed)[schema.names]
+        now_ms = state.getCurrentWatermarkMs()  # events of windows that end before it are late from now on
+        seen = {place: n for place, n in seen.items() if place[1] > now_ms}
+        _keep(state, seen, min((end for _, end in seen), default=0))
+
+    counted = dealt.groupBy("__group").applyInPandasWithState(
+        count, schema, "seen binary", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return counted.select(*[col(f.name).cast(f.dataType).alias(f.name) if f.name in texts else col(f.name) for f in out])
 
 
 def count_stream(

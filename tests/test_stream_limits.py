@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sheetloom.catalog import reports
 from sheetloom.operators import limits
-from sheetloom.streaming.limits import admitted_events, run_admission
+from sheetloom.streaming.fixes import run_available
+from sheetloom.streaming.limits import admit_stream, admitted_events, run_admission
 
 START = dt.datetime(2024, 1, 1)
 
@@ -89,7 +91,28 @@ def test_states_hold_many_keys(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     run_admission(stream, ["who"], "ts", "event_id", 2, 60, str(tmp_path / "run"), groups=8)
-    assert 1 <= spark.read.format("statestore").load(str(tmp_path / "run/checkpoint")).count() <= 8
+    run_available(admit_stream(stream, ["who"], "ts", 2, 60, groups=8), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert spark.read.parquet(str(tmp_path / "out")).where("allowed").count() == 400
+    for checkpoint in ("run/checkpoint", "check"):
+        assert 1 <= spark.read.format("statestore").load(str(tmp_path / checkpoint)).count() <= 8
+
+
+def test_arrival_with_nulls_and_large_numbers(spark, tmp_path):
+    """Whole numbers beyond 2^53 beside nulls, zeros of both signs, null keys, events without a time."""
+    big = (1 << 53) + 1
+    keys = [(big, 0.0), (big, -0.0), (big + 1, 0.0), (None, None), (None, None), (None, 1.0)]
+    rows = [(i, k, x, None if t else START, None if i % 2 else big + 2) for t in (0, 1) for i, (k, x) in enumerate(keys)]
+    df = spark.createDataFrame(rows, "event_id long, k long, x double, ts timestamp, note long")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run_available(admit_stream(stream, ["k", "x"], "ts", 1, 60), str(tmp_path / "out"), str(tmp_path / "check"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.select(*df.columns).dtypes == df.dtypes
+    assert sorted(map(str, out.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    for timeless in (True, False):
+        passed = out.where(F.col("ts").isNull() == F.lit(timeless)).where("allowed")
+        assert passed.where(f"k = {big}").count() == passed.where(f"k = {big + 1}").count() == 1
+        assert passed.where("k IS NULL AND x IS NULL").count() == passed.where("x = 1").count() == 1
 
 
 @pytest.mark.parametrize("kind", ["binary", "double", "date", "timestamp", "decimal(20, 3)", "boolean"])
@@ -105,3 +128,15 @@ def test_keys_of_any_type_come_back(spark, tmp_path, kind):
     want = limits.admitted(df, ["who"], "ts", "event_id", 1, 60)
     assert got.schema["who"].dataType == df.schema["who"].dataType
     assert sorted(map(str, got.select("event_id", "who").collect())) == sorted(map(str, want.select("event_id", "who").collect()))
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_reads_a_table_of_any_number_of_files(spark, tmp_path, files):
+    df = spark.range(30).select(F.col("id").alias("event_id"), F.lit(START).alias("ts"))
+    whole = tmp_path / "whole"
+    df.repartition(files).write.parquet(str(whole))
+    if files == 1:
+        (tmp_path / "events.parquet").write_bytes(next(whole.glob("part-*")).read_bytes())
+    else:
+        df.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    assert reports._run(spark, reports._stream(spark, str(tmp_path), "events"), "copied").count() == 30
