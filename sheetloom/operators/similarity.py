@@ -23,16 +23,17 @@ How the join stays exact without comparing everything:
    that fail them are never emitted; the rest is verified with a bit-parallel
    LCS.
 
-For groups only connectivity matters.  Neighbours in sorted order are linked
-first (linear work); key groups then only produce pairs across different
-components, so a dense cluster never lists its own pairs.
+For groups only connectivity matters.  Neighbours in several sorted orders are
+linked first (linear work); key groups then only produce pairs across different
+components, so a dense cluster never lists its own pairs.  Of the pairs between
+two components a few are verified first, the rest only if none of them matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,8 @@ FILTER_BITS = 1 << 20, 1 << 28  # least and most bits of the filter of index key
 BITS_PER_KEY = 16
 WORD = 64
 PAIRS_AT_ONCE = 4_096
-LINK_ROUNDS = 1  # neighbour links only save work; they need not be complete
+TURNS = 4  # orders that start at so many places of a text
+FIRST_TRIES = 4  # candidates of two components that are verified before the rest
 SEPARATOR = " | "
 
 
@@ -511,7 +513,7 @@ def _enough_letters(threshold: int) -> Column:
 
 
 def _candidates(reps: DataFrame, threshold: int, across_components: bool) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of representatives.
+    """Distinct candidate pairs ``(a, b)`` of representatives, and their components ``(u, v)``.
 
     ``reps (rep, s, component)``.  With ``across_components``, pairs inside one
     component are of no use.  Each key's largest component is then split off,
@@ -552,7 +554,9 @@ def _candidates(reps: DataFrame, threshold: int, across_components: bool) -> Dat
         *[F.col(w).alias(w + tag) for w in ("w0", "w1", "w2", "w3", "rest")],
     )
     meet = (F.col("ka") == F.col("kb")) & (F.col("slota") == F.col("slotb")) & (F.col("ca") != F.col("cb"))
-    return side(0, "a").join(side(1, "b"), meet & _close(threshold) & _enough_letters(threshold)).select("a", "b").distinct()
+    return side(0, "a").join(side(1, "b"), meet & _close(threshold) & _enough_letters(threshold)).select(
+        "a", "b", F.col("ca").alias("u"), F.col("cb").alias("v")
+    ).distinct()
 
 
 def _verified(candidates: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -605,18 +609,27 @@ def _matching(left: list[str], right: list[str], threshold: int) -> list[bool]:
     return [c and bool(200 * n >= threshold * t) for c, n, t in zip(close, common, total)]
 
 
+def _orders() -> list:
+    """Texts read from several places on, the front after the end, and backwards."""
+
+    def turned(text: Column, turn: int) -> Column:
+        at = F.floor(F.length(text) * turn / TURNS).cast("int")
+        return F.concat(F.substring(text, at + 1, F.length(text)), F.substring(text, F.lit(1), at))
+
+    return [F.reverse, *[partial(turned, turn=i) for i in range(TURNS)]]
+
+
 def _neighbour_edges(reps: DataFrame, threshold: int) -> DataFrame:
-    """True edges found in linear time: runs of matching texts, read both ways."""
+    """True edges found in linear time: runs of matching neighbours, in several orders."""
     found = None
-    for backwards in (False, True):
-        order = F.reverse("s") if backwards else F.col("s")
-        sorted_texts = reps.select("rep", "s", order.alias("o")).repartitionByRange("o").sortWithinPartitions("o")
+    for order in _orders():
+        sorted_texts = reps.select("rep", "s", order(F.col("s")).alias("o")).repartitionByRange("o").sortWithinPartitions("o")
         runs = materialize(
             sorted_texts.select("rep", "s").mapInPandas(_run_batches(threshold), "rep long, leader long, edge string"),
             "runs",
         )
         # at most two rows per partition have their text: the ends
-        ends = runs.where("edge IS NOT NULL").withColumn("o", F.reverse("edge") if backwards else F.col("edge"))
+        ends = runs.where("edge IS NOT NULL").withColumn("o", order(F.col("edge")))
         before = Window.orderBy("o")
         ends = ends.select(
             "leader",
@@ -707,22 +720,10 @@ def similar_groups(
         return df.sparkSession.createDataFrame([], schema)
     rows, reps = _representatives(df, columns)
 
-    edges = materialize(_neighbour_edges(reps, threshold), "links")
-    linked = connected_components(edges, max_rounds=LINK_ROUNDS)
+    linked = connected_components(_neighbour_edges(reps, threshold))
     first = _labelled(reps, linked)
-    candidates = _candidates(first, threshold, across_components=True)
-    label = lambda tag: first.select(F.col("rep").alias(f"l{tag}"), F.col("component").alias(f"c{tag}"))
-    known = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    links = (
-        _verified(candidates, reps, threshold)
-        .select("a", "b")
-        .union(known)
-        .join(label("a"), F.col("a") == F.col("la"))
-        .join(label("b"), F.col("b") == F.col("lb"))
-        .where("ca <> cb")
-        .select(F.col("ca").alias("u"), F.col("cb").alias("v"))
-    )
-    merged = connected_components(links).withColumnRenamed("component", "root")
+    candidates = materialize(_candidates(first, threshold, across_components=True), "candidates")
+    merged = _merged(candidates, first, threshold).withColumnRenamed("component", "root")
     final = first.join(merged, F.col("component") == F.col("node"), "left").select(
         "rep", "digest", "copies", F.coalesce("root", "component").alias("g")
     )
@@ -736,6 +737,33 @@ def similar_groups(
     )
 
 
+def _merged(candidates: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """Components ``(node, component)`` of the components that a candidate links.
+
+    Two components take one true link.  So a few candidates of each two are
+    verified first, and of the others only those that still lie across.
+    """
+    order = Window.partitionBy("u", "v").orderBy(F.xxhash64("a", "b"), "a", "b")
+    few = candidates.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIRST_TRIES)
+    links = materialize(_links(few, reps, threshold), "links")
+    known = connected_components(links)
+    root = lambda of: known.select(F.col("node").alias(f"node_{of}"), F.col("component").alias(f"root_{of}"))
+    rest = (
+        candidates.join(root("u"), F.col("u") == F.col("node_u"), "left")
+        .join(root("v"), F.col("v") == F.col("node_v"), "left")
+        .where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    )
+    return connected_components(links.union(_links(rest, reps, threshold)))
+
+
+def _links(candidates: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """The components ``(u, v)`` of candidates that reach the threshold."""
+    of = reps.select(F.col("rep"), F.col("component"))
+    found = _verified(candidates.select("a", "b"), reps, threshold)
+    left, right = of.toDF("ra", "u"), of.toDF("rb", "v")
+    return found.join(left, F.col("a") == F.col("ra")).join(right, F.col("b") == F.col("rb")).select("u", "v").distinct()
+
+
 def _labelled(reps: DataFrame, components: DataFrame) -> DataFrame:
     """Representatives with a component; unlinked ones are their own."""
     joined = reps.join(components, F.col("rep") == F.col("node"), "left")

@@ -208,3 +208,32 @@ def test_filter_of_index_keys_only_saves_work(sheet, monkeypatch):
     whole = sim.similar_pairs(df).collect()
     monkeypatch.setattr(sim, "FILTER_BITS", (64, 64))
     assert sorted(sim.similar_pairs(df).collect()) == sorted(whole) and len(whole) == 2
+
+
+def test_dense_groups_leave_few_candidates(sheet, monkeypatch):
+    """Linked neighbours are one component to its end, so a dense group lists no pairs of its own."""
+    listed = []
+    plain = sim._candidates
+
+    def counted(*args, **more):
+        found = plain(*args, **more)
+        listed.append(found.count())
+        return found
+
+    monkeypatch.setattr(sim, "_candidates", counted)
+    hosts = ["www.thther", "m.thther", "blog.tionble"]
+    texts = [f"https://{hosts[i % 3]}.example.org/en/{i * 7919 % 10_000}{'?page=2&ref=x' if i % 5 == 0 else ''}" for i in range(240)]
+    found = groups_of(sim.similar_groups(sheet("Url string", texts), ["Url"]))
+    assert found == brute_groups(texts, 87)
+    assert listed[0] <= len(texts)
+
+
+def test_a_few_candidates_of_two_components_do_not_stand_for_the_rest(spark):
+    """The first tries between two components fail, a later candidate matches."""
+    far, near = [f"{c * 9}z" for c in "abcdefgh"], ["xyxyxyxyxy", "xyxyxyxyxx"]
+    reps = spark.createDataFrame(
+        [(i, t, 0) for i, t in enumerate(far + near[:1])] + [(20, near[1], 20), (30, "q" * 9, 30)], "rep long, s string, component long"
+    )
+    pairs = [(i, 20, 0, 20) for i in range(9)] + [(0, 30, 0, 30)]
+    merged = sim._merged(spark.createDataFrame(pairs, "a long, b long, u long, v long"), reps, 87)
+    assert {tuple(r) for r in merged.collect()} == {(0, 0), (20, 0)}
