@@ -24,9 +24,18 @@ How the join stays exact without comparing everything:
    LCS.
 
 For groups only connectivity matters.  Neighbours in several sorted orders are
-linked first (linear work); key groups then only produce pairs across different
-components, so a dense cluster never lists its own pairs.  Of the pairs between
-two components a few are verified first, the rest only if none of them matches.
+linked first (linear work), among them an order by letter counts.  Then only
+pairs across different components are looked for, in one of two exact ways:
+
+* Texts of one component that share their length and all counts but those of
+  digits form a box.  Boxes whose lengths and counts rule out a match never meet;
+  the texts of the others do, under the same bounds.  This is for large
+  components that lie apart, whose keys would meet at every word in common.
+* By keys as above, where boxes are too many or rule out too little.  Key groups
+  only produce pairs across components, so a dense cluster lists none of its own.
+
+Of the pairs between two components a few are verified first, the rest only if
+none of them matches.
 """
 
 from __future__ import annotations
@@ -44,7 +53,7 @@ from pyspark.sql import types as T
 from sheetloom.functions.cells import as_text, strip
 from sheetloom.operators.components import connected_components
 from sheetloom.rows import ROW_ID, require_columns, require_row_id, text_columns
-from sheetloom.session import materialize, ship_package
+from sheetloom.session import materialize, ship_package, shuffle_partitions
 
 DEFAULT_THRESHOLD = 87
 SKETCH_SIZE = 1 << 18
@@ -57,6 +66,16 @@ WORD = 64
 PAIRS_AT_ONCE = 4_096
 TURNS = 4  # orders that start at so many places of a text
 FIRST_TRIES = 4  # candidates of two components that are verified before the rest
+NEIGHBOURS = 4  # texts before it that a text is held against in the order by letters
+NEIGHBOUR_LETTERS = 256  # longer ones only against the last
+CLASSES = 64  # of letters, eight to a word
+BOX_WORDS = 6  # of the eight; the last two have the digits
+BOX_PART = 256  # texts of a box that meet in one go
+BOX_DEALS = 32
+BOX_MEETINGS = 5_000  # a text, and of texts in boxes; beyond that keys are the cheaper way
+TEXT_MEETINGS = 100_000
+CANDIDATES_A_TEXT = 20
+FEW_TEXTS = 10_000  # smaller tables are no reason for keys
 SEPARATOR = " | "
 
 
@@ -255,8 +274,14 @@ class _Texts:
         other = self.codes > np.uint64(127)
         classes = np.where(other, self.codes % np.uint64(32), classes).astype(np.int64)
         counts = np.bincount(self.owner * 32 + classes, minlength=32 * len(self.length)).reshape(-1, 32)
-        bits = ((1 << np.minimum(counts, 8)) - 1).astype(np.uint8)
-        return np.ascontiguousarray(bits).view(np.int64), np.maximum(counts - 8, 0).sum(axis=1)
+        return _unary(counts)
+
+    def class_counts(self) -> np.ndarray:
+        """Per text, how often it has each class of letters: a to z, other signs in 28 classes, ten digits."""
+        letter, digit = self.codes - np.uint64(97), self.codes - np.uint64(48)
+        classes = np.uint64(26) + self.codes % np.uint64(28)
+        classes = np.where(letter < 26, letter, np.where(digit < 10, np.uint64(54) + digit, classes)).astype(np.int64)
+        return np.bincount(self.owner * CLASSES + classes, minlength=CLASSES * len(self.length)).reshape(-1, CLASSES)
 
     @cached_property
     def letter_tokens(self) -> tuple[np.ndarray, np.ndarray]:
@@ -308,6 +333,12 @@ class _Texts:
                 yield w, keys[at], at
 
 
+def _unary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bits, eight a class, and how many letters did not fit."""
+    bits = ((1 << np.minimum(counts, 8)) - 1).astype(np.uint8)
+    return np.ascontiguousarray(bits).view(np.int64), np.maximum(counts - 8, 0).sum(axis=1)
+
+
 def rarest_chunks(cost: dict[int, np.ndarray], n: int, chunks: int) -> list[tuple[int, int]]:
     """``chunks`` disjoint windows ``(start, width)`` with the least total cost.
 
@@ -351,6 +382,16 @@ def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
+@F.pandas_udf(T.BinaryType())
+def letter_key(text: pd.Series) -> pd.Series:
+    """The letter counts of a text, a byte each, digits last."""
+    size = text.str.len().cumsum() // SLICE_LETTERS
+    found = []
+    for _, part in text.groupby(size, sort=False):
+        found += [row.tobytes() for row in np.minimum(_Texts(part.tolist()).class_counts(), 255).astype(np.uint8)]
+    return pd.Series(found, dtype=object)
+
+
 def _sketch_batches(threshold: int):
     """How many probing keys fall into each cell of the sketch."""
 
@@ -519,6 +560,10 @@ def _candidates(reps: DataFrame, threshold: int, across_components: bool) -> Dat
     component are of no use.  Each key's largest component is then split off,
     and the join is built so that its members only ever meet outsiders.
     """
+    if across_components:
+        found = _boxed_candidates(reps, threshold)
+        if found is not None:
+            return found
     sketch, texts = _gram_sketch(reps, threshold), reps.select("rep", "s", "component")
     indexed = materialize(texts.mapInPandas(_key_batches(threshold, INDEX, sketch), KEY_SCHEMA), "index")
     known = _key_filter(indexed)
@@ -559,6 +604,113 @@ def _candidates(reps: DataFrame, threshold: int, across_components: bool) -> Dat
     ).distinct()
 
 
+WORDS = [f"w{i}" for i in range(CLASSES // 8)]
+BAG_SCHEMA = f"rep long, component long, n long, {', '.join(f'{w} long' for w in WORDS)}, rest long"
+
+
+def _bag_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The letter counts of every text but the empty one."""
+    for pdf in batches:
+        for part in _slices(pdf):
+            texts = _Texts(part["s"].tolist())
+            bags, rest = _unary(texts.class_counts())
+            yield pd.DataFrame(
+                {
+                    "rep": part["rep"].to_numpy(),
+                    "component": part["component"].to_numpy(),
+                    "n": texts.length,
+                    **{w: bags[:, i] for i, w in enumerate(WORDS)},
+                    "rest": rest,
+                }
+            )
+
+
+def _tagged(df: DataFrame, tag: str) -> DataFrame:
+    return df.toDF(*[c + tag for c in df.columns])
+
+
+def _boxed_candidates(reps: DataFrame, threshold: int) -> DataFrame | None:
+    """Pairs ``(a, b, u, v)`` across components whose lengths and letter counts allow a match, each once.
+
+    None where keys are the cheaper way: too many boxes, or too many texts that
+    would meet or be candidates.  What is spent until then grows with the texts.
+    """
+    bags = materialize(reps.select("rep", "s", "component").mapInPandas(_bag_batches, BAG_SCHEMA), "bags")
+    same = ["component", "n", *WORDS[:BOX_WORDS]]
+    free = WORDS[BOX_WORDS:]
+    bits = sum((F.bit_count(w) for w in free[1:]), F.bit_count(free[0]))
+    boxes = materialize(
+        bags.groupBy(*same).agg(
+            F.min("rep").alias("box"), F.count("*").alias("size"), F.max("rest").alias("rest"), F.max(bits).alias("most"),
+            *[F.bit_or(w).alias(w) for w in free],
+        ),
+        "boxes",
+    )
+    texts, count = bags.count(), boxes.count()
+    if count * count > BOX_MEETINGS * texts:
+        return None
+    pairs = materialize(_box_pairs(boxes, threshold), "boxpairs")
+    met = pairs.agg(F.sum(F.col("sizea") * F.col("sizeb"))).first()[0] or 0
+    if met > TEXT_MEETINGS * texts:
+        return None
+    parts = lambda size: F.ceil(F.col(size) / BOX_PART).cast("int")
+    parted = pairs.select("boxa", "boxb", parts("sizea").alias("pa"), parts("sizeb").alias("pb"))
+    for tag in "ab":
+        parted = parted.withColumn(f"part{tag}", F.explode(F.sequence(F.lit(0), F.col(f"p{tag}") - 1)))
+    owned = bags.join(boxes.select(*same, "box", "size"), same)
+    owned = owned.withColumn("part", F.pmod(F.xxhash64("rep"), parts("size")).cast("int")).select(*bags.columns, "box", "part")
+    owned = materialize(owned, "boxed")
+    most = CANDIDATES_A_TEXT * max(texts, FEW_TEXTS)
+    share = met // max(most, 1)
+    if share > 1:  # a sample tells about how many candidates there are, and nothing else
+        drawn = F.pmod(F.xxhash64("boxa", "parta", "boxb", "partb"), F.lit(share)) == 0
+        if _met_in_boxes(parted.where(drawn), owned, threshold).count() * share > most:
+            return None
+    return _met_in_boxes(parted, owned, threshold)
+
+
+def _box_pairs(boxes: DataFrame, threshold: int) -> DataFrame:
+    """Boxes ``(boxa, boxb)`` of different components that may have a match, and their sizes; a has the longer texts."""
+    ratio = (200 - threshold) / threshold  # of the lengths of a match, at most
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * np.log(ratio))) if ratio > 1 else F.col("n").cast("long")
+    boxes = boxes.withColumn("band", band)
+    left = _tagged(boxes.withColumn("deal", F.pmod(F.xxhash64("box"), F.lit(BOX_DEALS))), "a")
+    left = left.withColumn("banda", F.explode(F.array("banda", F.col("banda") - 1)))
+    # few bytes and many meetings: partitions that are not put together again
+    left = left.repartition(shuffle_partitions(boxes.sparkSession), "banda", "deala")
+    right = _tagged(boxes.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BOX_DEALS - 1).cast("long")))), "b")
+    common = F.least("resta", "restb")
+    for w in WORDS[:BOX_WORDS]:
+        common = common + F.bit_count(F.col(f"{w}a").bitwiseAND(F.col(f"{w}b")))
+    loose = [F.bit_count(F.col(f"{w}a").bitwiseAND(F.col(f"{w}b"))) for w in WORDS[BOX_WORDS:]]
+    common = common + F.least(sum(loose[1:], loose[0]), "mosta", "mostb")
+    total = F.col("na") + F.col("nb")
+    meet = (
+        (F.col("banda") == F.col("bandb"))
+        & (F.col("deala") == F.col("dealb"))
+        & (F.col("nb") * 200 >= total * threshold)
+        & ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("boxa") < F.col("boxb"))))
+        & (F.col("componenta") != F.col("componentb"))
+        & (common * 200 >= total * threshold)
+    )
+    return left.join(right, meet).select("boxa", "boxb", "sizea", "sizeb")
+
+
+def _met_in_boxes(parted: DataFrame, owned: DataFrame, threshold: int) -> DataFrame:
+    """The texts of paired parts of boxes that have letters enough in common."""
+    common = F.least("resta", "restb")
+    for w in WORDS:
+        common = common + F.bit_count(F.col(f"{w}a").bitwiseAND(F.col(f"{w}b")))
+    enough = common * 200 >= (F.col("na") + F.col("nb")) * threshold
+    a, b = (_tagged(owned, tag).withColumnsRenamed({f"box{tag}": f"in{tag}", f"part{tag}": f"of{tag}"}) for tag in "ab")
+    met = parted.join(a, (F.col("boxa") == F.col("ina")) & (F.col("parta") == F.col("ofa"))).join(
+        b, (F.col("boxb") == F.col("inb")) & (F.col("partb") == F.col("ofb")) & enough
+    )
+    return met.select(
+        F.col("repa").alias("a"), F.col("repb").alias("b"), F.col("componenta").alias("u"), F.col("componentb").alias("v")
+    )
+
+
 def _verified(candidates: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     """Candidates that reach the threshold, ``(a, b, lcs, total)`` with a < b."""
     left = reps.select(F.col("rep").alias("ra"), F.col("s").alias("sa"))
@@ -573,34 +725,62 @@ def _verified(candidates: DataFrame, reps: DataFrame, threshold: int) -> DataFra
     return scored.where(F.col("lcs") * 200 >= F.col("total") * threshold)
 
 
-def _run_batches(threshold: int):
+def _run_batches(threshold: int, neighbours: int = 1):
     """Cut sorted texts into runs of matching neighbours, named by their first row.
 
     The ends of the partition keep their text, so that runs can be joined
-    across partitions.
+    across partitions.  With more ``neighbours``, runs of which two texts match
+    that are so near are linked as well, by a row of their first rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        reps, texts, leaders = [], [], []  # the last rows of the batch before
+        head = None
         for pdf in batches:
-            out = []
-            texts = pdf["s"].tolist()
-            linked = _matching([texts[0] if last is None else last[1], *texts[:-1]], texts, threshold) if texts else []
-            for rep, text, same in zip(pdf["rep"], texts, linked):
-                edge = None if last is not None else text
-                leader = rep
-                if last is not None and same:
-                    leader = last[2]
-                if last is not None:
-                    out.append((last[0], last[2], last[3]))
-                last = (rep, text, leader, edge)
+            if not len(pdf):
+                continue
+            old = len(reps)
+            reps, texts = reps + pdf["rep"].tolist(), texts + pdf["s"].tolist()
+            linked = _matching(texts[:-1], texts[1:], threshold)
+            for i in range(old, len(reps)):
+                leaders.append(leaders[i - 1] if i and linked[i - 1] else reps[i])
+            out = _linked_runs(texts, leaders, old, neighbours, threshold)
+            if head is None:
+                head = reps[0]
+            # the last row waits, as it may be the end of the partition
+            waited = range(max(old - 1, 0), len(reps) - 1)
+            out += [(reps[i], leaders[i], texts[i] if reps[i] == head else None) for i in waited]
             yield pd.DataFrame(out, columns=["rep", "leader", "edge"])
-        if last is not None:
-            yield pd.DataFrame([(last[0], last[2], last[1])], columns=["rep", "leader", "edge"])
+            reps, texts, leaders = reps[-neighbours:], texts[-neighbours:], leaders[-neighbours:]
+        if reps:
+            yield pd.DataFrame([(reps[-1], leaders[-1], texts[-1])], columns=["rep", "leader", "edge"])
 
     return run
 
 
+def _linked_runs(texts: list[str], leaders: list[int], old: int, neighbours: int, threshold: int) -> list[tuple]:
+    """Rows ``(leader, leader, None)`` of runs in which texts match that are some rows apart."""
+    links, parent = [], {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    for apart in range(2, neighbours + 1):
+        at = [
+            i
+            for i in range(max(old, apart), len(texts))
+            if min(len(texts[i]), len(texts[i - apart])) <= NEIGHBOUR_LETTERS and root(leaders[i]) != root(leaders[i - apart])
+        ]
+        for i, same in zip(at, _matching([texts[i - apart] for i in at], [texts[i] for i in at], threshold)):
+            u, v = root(leaders[i]), root(leaders[i - apart])
+            if same and u != v:
+                parent[u] = v
+                links.append((u, v, None))
+    return links
+
+
 def _matching(left: list[str], right: list[str], threshold: int) -> list[bool]:
     """Which pairs reach the threshold; lengths that rule it out are not compared."""
     total = [len(a) + len(b) for a, b in zip(left, right)]
@@ -609,14 +789,19 @@ def _matching(left: list[str], right: list[str], threshold: int) -> list[bool]:
     return [c and bool(200 * n >= threshold * t) for c, n, t in zip(close, common, total)]
 
 
+def _by_letters(text: Column) -> Column:
+    """Texts of the same letters side by side, by the text itself among them."""
+    return F.concat(letter_key(text), text.cast("binary"))
+
+
 def _orders() -> list:
-    """Texts read from several places on, the front after the end, and backwards."""
+    """Texts by their letters, read from several places on, the front after the end, and backwards."""
 
     def turned(text: Column, turn: int) -> Column:
         at = F.floor(F.length(text) * turn / TURNS).cast("int")
         return F.concat(F.substring(text, at + 1, F.length(text)), F.substring(text, F.lit(1), at))
 
-    return [F.reverse, *[partial(turned, turn=i) for i in range(TURNS)]]
+    return [_by_letters, F.reverse, *[partial(turned, turn=i) for i in range(TURNS)]]
 
 
 def _neighbour_edges(reps: DataFrame, threshold: int) -> DataFrame:
@@ -625,7 +810,9 @@ def _neighbour_edges(reps: DataFrame, threshold: int) -> DataFrame:
     for order in _orders():
         sorted_texts = reps.select("rep", "s", order(F.col("s")).alias("o")).repartitionByRange("o").sortWithinPartitions("o")
         runs = materialize(
-            sorted_texts.select("rep", "s").mapInPandas(_run_batches(threshold), "rep long, leader long, edge string"),
+            sorted_texts.select("rep", "s").mapInPandas(
+                _run_batches(threshold, NEIGHBOURS if order is _by_letters else 1), "rep long, leader long, edge string"
+            ),
             "runs",
         )
         # at most two rows per partition have their text: the ends

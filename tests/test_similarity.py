@@ -237,3 +237,98 @@ def test_a_few_candidates_of_two_components_do_not_stand_for_the_rest(spark):
     pairs = [(i, 20, 0, 20) for i in range(9)] + [(0, 30, 0, 30)]
     merged = sim._merged(spark.createDataFrame(pairs, "a long, b long, u long, v long"), reps, 87)
     assert {tuple(r) for r in merged.collect()} == {(0, 0), (20, 0)}
+
+
+HOSTS = ["tionsh.example.net", "www.thther.example.org", "m.tionble.example.com"]
+ENDS = ["", "?utm_source=feed", "?page=2&ref=x"]
+
+
+def urls(n, seed=7):
+    rnd = random.Random(seed)
+    return [f"https://{rnd.choice(HOSTS)}/en/{rnd.randrange(10 * n)}{rnd.choice(ENDS)}" for _ in range(n)]
+
+
+def test_components_that_lie_apart_need_no_keys(sheet, monkeypatch):
+    """Large components with words in common would meet at every key of those words."""
+    monkeypatch.setattr(sim, "_gram_sketch", None)
+    listed = []
+    plain = sim._boxed_candidates
+    monkeypatch.setattr(sim, "_boxed_candidates", lambda *a: listed.append(plain(*a)) or listed[0])
+    texts = urls(400)
+    df = sheet("Url string", texts)
+    assert groups_of(sim.similar_groups(df, ["Url"])) == brute_groups(texts, 87)
+    assert listed[0].count() <= len(texts)
+
+
+def test_letter_order_links_what_other_orders_leave_apart(sheet):
+    texts = urls(300)
+    _, reps = sim._representatives(sheet("Url string", texts), ["Url"])
+    linked = connected_components(sim._neighbour_edges(reps, 87))
+    of = {r["node"]: r["component"] for r in linked.collect()}
+    found = {of.get(i, i) for i in range(len(texts))}
+    assert len(found) <= 2 * len(brute_groups(texts, 87))
+
+
+@pytest.mark.parametrize(
+    "threshold, limits",
+    [(87, {"BOX_MEETINGS": 0}), (40, {"TEXT_MEETINGS": -1}), (87, {"CANDIDATES_A_TEXT": 0}), (40, {"CANDIDATES_A_TEXT": 0}),
+     (87, {"BOX_PART": 2, "BOX_DEALS": 3}), (1, {}), (100, {})],
+)
+def test_both_ways_across_components_are_exact(sheet, monkeypatch, threshold, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(sim, name, value)
+    rnd = random.Random(threshold)
+    base = ["".join(rnd.choice("abcdef 文é12") for _ in range(rnd.randint(0, 24))) for _ in range(25)]
+    texts = base + [mutated(rnd, rnd.choice(base), "abcdef 12") for _ in range(60)] + urls(30)
+    assert groups_of(sim.similar_groups(sheet("t string", texts), threshold=threshold)) == brute_groups(texts, threshold)
+
+
+def test_boxes_lose_no_match(spark, monkeypatch):
+    """Each text a component of its own: every match is among the candidates, and each pair is there once."""
+    rnd = random.Random(11)
+    base = urls(60) + ["".join(rnd.choice("abcdefgh 12") for _ in range(rnd.randint(1, 40))) for _ in range(60)] + ["a" * 700]
+    texts = list(dict.fromkeys(t for t in (mutated(rnd, rnd.choice(base), "abc12/") for _ in range(250)) if t))
+    reps = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "rep long, s string, component long")
+    monkeypatch.setattr(sim, "BOX_PART", 3)
+    for threshold in (30, 87):
+        found = [tuple(sorted((r["a"], r["b"]))) for r in sim._boxed_candidates(reps, threshold).collect()]
+        want = {
+            (i, j)
+            for i, a in enumerate(texts)
+            for j, b in enumerate(texts)
+            if i < j
+            and 200 * min(len(a), len(b)) >= threshold * (len(a) + len(b))
+            and 200 * sim.lcs_length(a, b) >= threshold * (len(a) + len(b))
+        }
+        assert len(found) == len(set(found)) and want <= set(found) and (threshold == 30 or len(want) > 50)
+
+
+def test_runs_go_on_over_batches():
+    import pandas as pd
+
+    texts = ["abcdefghijklmnop", "zzzzzzzzzzzzzzzz", "abcdefghijklmnoq", "abcdefghijklmnor", "zzzzzzzzzzzzzzzy", "q"]
+    for size in (1, 2, 6):
+        batches = [pd.DataFrame({"rep": range(10 + i, min(10 + i + size, 16)), "s": texts[i : i + size]}) for i in range(0, 6, size)]
+        out = pd.concat(list(sim._run_batches(87, 4)(iter(batches))))
+        rows = [tuple(r) for r in out[["rep", "leader"]].to_numpy().tolist()]
+        ends = out[out["edge"].notna()]
+        assert ends["rep"].tolist() == [10, 15] and ends["edge"].tolist() == [texts[0], texts[-1]]
+        near = brute_groups(texts, 87)
+        parent = {}
+        for u, v in rows:
+            a, b = u, v
+            while a in parent:
+                a = parent[a]
+            while b in parent:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        found = {}
+        for u in range(10, 16):
+            r = u
+            while r in parent:
+                r = parent[r]
+            found.setdefault(r - 10, []).append(u - 10)
+        assert {g: m for g, m in found.items() if len(m) > 1} == near
+        narrow = pd.concat(list(sim._run_batches(87)(iter(batches))))
+        assert narrow["rep"].tolist() == list(range(10, 16))
