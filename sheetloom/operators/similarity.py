@@ -28,9 +28,10 @@ linked first (linear work), among them an order by letter counts.  Then only
 pairs across different components are looked for, in one of two exact ways:
 
 * Texts of one component that share their length and all counts but those of
-  digits form a box.  Boxes whose lengths and counts rule out a match never meet;
-  the texts of the others do, under the same bounds.  This is for large
-  components that lie apart, whose keys would meet at every word in common.
+  digits form a box; where these are too many, texts that share the sums of eight
+  counts each.  Boxes whose lengths and counts rule out a match never meet; the
+  texts of the others do, under the same bounds.  This is for large components
+  that lie apart, whose keys would meet at every word in common.
 * By keys as above, where boxes are too many or rule out too little.  Key groups
   only produce pairs across components, so a dense cluster lists none of its own.
 
@@ -72,6 +73,7 @@ CLASSES = 64  # of letters, eight to a word
 BOX_WORDS = 6  # of the eight; the last two have the digits
 BOX_PART = 256  # texts of a box that meet in one go
 BOX_DEALS = 32
+BANDS = 8  # of lengths, within the longest and the shortest that match
 BOX_MEETINGS = 5_000  # a text, and of texts in boxes; beyond that keys are the cheaper way
 TEXT_MEETINGS = 100_000
 CANDIDATES_A_TEXT = 20
@@ -605,6 +607,8 @@ def _candidates(reps: DataFrame, threshold: int, across_components: bool) -> Dat
 
 
 WORDS = [f"w{i}" for i in range(CLASSES // 8)]
+SUMS = [f"p{i}" for i in range(CLASSES // 8)]
+ALIKE = WORDS[:BOX_WORDS], SUMS  # what the texts of a box share besides component and length: the finer first
 BAG_SCHEMA = f"rep long, component long, n long, {', '.join(f'{w} long' for w in WORDS)}, rest long"
 
 
@@ -636,18 +640,14 @@ def _boxed_candidates(reps: DataFrame, threshold: int) -> DataFrame | None:
     would meet or be candidates.  What is spent until then grows with the texts.
     """
     bags = materialize(reps.select("rep", "s", "component").mapInPandas(_bag_batches, BAG_SCHEMA), "bags")
-    same = ["component", "n", *WORDS[:BOX_WORDS]]
-    free = WORDS[BOX_WORDS:]
-    bits = sum((F.bit_count(w) for w in free[1:]), F.bit_count(free[0]))
-    boxes = materialize(
-        bags.groupBy(*same).agg(
-            F.min("rep").alias("box"), F.count("*").alias("size"), F.max("rest").alias("rest"), F.max(bits).alias("most"),
-            *[F.bit_or(w).alias(w) for w in free],
-        ),
-        "boxes",
-    )
-    texts, count = bags.count(), boxes.count()
-    if count * count > BOX_MEETINGS * texts:
+    bags = bags.withColumns({p: F.bit_count(w) for p, w in zip(SUMS, WORDS)})
+    texts = bags.count()
+    for alike in ALIKE:
+        same = ["component", "n", *alike]
+        boxes = materialize(_boxes(bags, same), "boxes")
+        if boxes.count() ** 2 <= BOX_MEETINGS * texts:
+            break
+    else:
         return None
     pairs = materialize(_box_pairs(boxes, threshold), "boxpairs")
     met = pairs.agg(F.sum(F.col("sizea") * F.col("sizeb"))).first()[0] or 0
@@ -658,8 +658,8 @@ def _boxed_candidates(reps: DataFrame, threshold: int) -> DataFrame | None:
     for tag in "ab":
         parted = parted.withColumn(f"part{tag}", F.explode(F.sequence(F.lit(0), F.col(f"p{tag}") - 1)))
     owned = bags.join(boxes.select(*same, "box", "size"), same)
-    owned = owned.withColumn("part", F.pmod(F.xxhash64("rep"), parts("size")).cast("int")).select(*bags.columns, "box", "part")
-    owned = materialize(owned, "boxed")
+    owned = owned.withColumn("part", F.pmod(F.xxhash64("rep"), parts("size")).cast("int"))
+    owned = materialize(owned.select("rep", "component", "n", *WORDS, "rest", "box", "part"), "boxed")
     most = CANDIDATES_A_TEXT * max(texts, FEW_TEXTS)
     share = met // max(most, 1)
     if share > 1:  # a sample tells about how many candidates there are, and nothing else
@@ -669,21 +669,32 @@ def _boxed_candidates(reps: DataFrame, threshold: int) -> DataFrame | None:
     return _met_in_boxes(parted, owned, threshold)
 
 
+def _boxes(bags: DataFrame, same: list[str]) -> DataFrame:
+    """Texts alike in ``same``, named by the least of them, with the most of all counts."""
+    free = SUMS[BOX_WORDS:]
+    most = {"rest": F.max("rest"), "most": F.max(sum((F.col(p) for p in free[1:]), F.col(free[0])))}
+    most |= {w: F.bit_or(w) for w in WORDS} | {p: F.max(p) for p in SUMS}
+    return bags.groupBy(*same).agg(
+        F.min("rep").alias("box"), F.count("*").alias("size"), *[value.alias(c) for c, value in most.items() if c not in same]
+    )
+
+
 def _box_pairs(boxes: DataFrame, threshold: int) -> DataFrame:
     """Boxes ``(boxa, boxb)`` of different components that may have a match, and their sizes; a has the longer texts."""
     ratio = (200 - threshold) / threshold  # of the lengths of a match, at most
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * np.log(ratio))) if ratio > 1 else F.col("n").cast("long")
+    width = F.lit(1.001 * np.log(ratio) / BANDS)
+    band = F.floor(F.log(F.col("n").cast("double")) / width) if ratio > 1 else F.col("n")
     boxes = boxes.withColumn("band", band)
     left = _tagged(boxes.withColumn("deal", F.pmod(F.xxhash64("box"), F.lit(BOX_DEALS))), "a")
-    left = left.withColumn("banda", F.explode(F.array("banda", F.col("banda") - 1)))
+    left = left.withColumn("banda", F.explode(F.sequence(F.col("banda") - (BANDS if ratio > 1 else 0), "banda")))
     # few bytes and many meetings: partitions that are not put together again
     left = left.repartition(shuffle_partitions(boxes.sparkSession), "banda", "deala")
     right = _tagged(boxes.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BOX_DEALS - 1).cast("long")))), "b")
-    common = F.least("resta", "restb")
-    for w in WORDS[:BOX_WORDS]:
-        common = common + F.bit_count(F.col(f"{w}a").bitwiseAND(F.col(f"{w}b")))
-    loose = [F.bit_count(F.col(f"{w}a").bitwiseAND(F.col(f"{w}b"))) for w in WORDS[BOX_WORDS:]]
-    common = common + F.least(sum(loose[1:], loose[0]), "mosta", "mostb")
+    shared = [
+        F.least(F.bit_count(F.col(f"{w}a").bitwiseAND(F.col(f"{w}b"))), f"{p}a", f"{p}b") for w, p in zip(WORDS, SUMS)
+    ]
+    free = shared[BOX_WORDS:]
+    common = sum(shared[:BOX_WORDS], F.least("resta", "restb")) + F.least(sum(free[1:], free[0]), "mosta", "mostb")
     total = F.col("na") + F.col("nb")
     meet = (
         (F.col("banda") == F.col("bandb"))

@@ -283,24 +283,29 @@ def test_both_ways_across_components_are_exact(sheet, monkeypatch, threshold, li
     assert groups_of(sim.similar_groups(sheet("t string", texts), threshold=threshold)) == brute_groups(texts, threshold)
 
 
-def test_boxes_lose_no_match(spark, monkeypatch):
-    """Each text a component of its own: every match is among the candidates, and each pair is there once."""
+@pytest.mark.parametrize("alike", [0, 1])
+def test_boxes_lose_no_match(spark, monkeypatch, alike):
+    """Every match across components is among the candidates, and each pair is there once."""
+    monkeypatch.setattr(sim, "BOX_PART", 3)
+    monkeypatch.setattr(sim, "ALIKE", sim.ALIKE[alike : alike + 1])
     rnd = random.Random(11)
     base = urls(60) + ["".join(rnd.choice("abcdefgh 12") for _ in range(rnd.randint(1, 40))) for _ in range(60)] + ["a" * 700]
-    texts = list(dict.fromkeys(t for t in (mutated(rnd, rnd.choice(base), "abc12/") for _ in range(250)) if t))
-    reps = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "rep long, s string, component long")
-    monkeypatch.setattr(sim, "BOX_PART", 3)
+    texts = list(dict.fromkeys(t for t in (mutated(rnd, rnd.choice(base), "abc12/") for _ in range(160)) if t)) + urls(90, 8)
+    reps = spark.createDataFrame([(i, t, i % 5) for i, t in enumerate(texts)], "rep long, s string, component long")
     for threshold in (30, 87):
-        found = [tuple(sorted((r["a"], r["b"]))) for r in sim._boxed_candidates(reps, threshold).collect()]
+        rows = sim._boxed_candidates(reps, threshold).collect()
+        found = [tuple(sorted((r["a"], r["b"]))) for r in rows]
         want = {
             (i, j)
             for i, a in enumerate(texts)
             for j, b in enumerate(texts)
             if i < j
+            and i % 5 != j % 5
             and 200 * min(len(a), len(b)) >= threshold * (len(a) + len(b))
             and 200 * sim.lcs_length(a, b) >= threshold * (len(a) + len(b))
         }
-        assert len(found) == len(set(found)) and want <= set(found) and (threshold == 30 or len(want) > 50)
+        assert all((r["u"], r["v"]) == (r["a"] % 5, r["b"] % 5) and r["u"] != r["v"] for r in rows)
+        assert len(found) == len(set(found)) and want <= set(found) and len(want) > 50
 
 
 def test_runs_go_on_over_batches():
